@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from bundlelens.sources.catalog import NO_SOLUTION, Pattern, patterns_frame
 
-# i: any case, u: beyond ASCII too, d: only \n ends a line.
-REGEX_FLAGS = "(?iud)"
+# i: any case, u: beyond ASCII too, d: only \n ends a line. For raw lines U makes
+# \d \w \s \b cover all of Unicode; for tables they are ASCII.
+REGEX_FLAGS = {"ascii": "(?iud)", "unicode": "(?iUd)"}
+_WORD = "[0-9A-Za-z_]"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_INSIDE = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 
 PG_LOG_TYPE = "postgres"
 
@@ -71,9 +75,17 @@ def folded(message: Column) -> Column:
     return F.replace(F.lower(message), F.lit("ſ"), F.lit("s"))
 
 
-def matches(message: Column, lowered: Column, regex: str) -> Column:
+def java_regex(regex: str, classes: str = "ascii") -> str:
+    """The pattern for Spark's regex engine, whose word edges are not ASCII by themselves."""
+    if classes == "ascii":
+        regex = re.sub(
+            r"\\(.)", lambda m: {"b": _EDGE, "B": _INSIDE}.get(m.group(1), m.group(0)), regex, flags=re.DOTALL)
+    return REGEX_FLAGS[classes] + regex
+
+
+def matches(message: Column, lowered: Column, regex: str, classes: str = "ascii") -> Column:
     """Unanchored, case-insensitive regular-expression test; null messages do not match."""
-    test = message.rlike(REGEX_FLAGS + regex)
+    test = message.rlike(java_regex(regex, classes))
     text = required_text(regex)
     if text:
         test = lowered.contains(text) & test
@@ -134,6 +146,7 @@ def match_first(
     scope: str = "by_log_type",
     message: str = "message",
     log_type: str = "log_type",
+    classes: str = "unicode",
 ) -> DataFrame:
     """Each message with the first pattern, in catalogue order, that matches it.
 
@@ -142,7 +155,7 @@ def match_first(
     lowered = F.col("_lowered")
 
     def first(ids):
-        tests = [F.when(matches(F.col(message), lowered, patterns[i].regex), F.lit(i)) for i in ids]
+        tests = [F.when(matches(F.col(message), lowered, patterns[i].regex, classes), F.lit(i)) for i in ids]
         return F.coalesce(*tests) if tests else F.lit(None).cast("int")
 
     parts = _scopes(patterns, scope, log_type)

@@ -256,7 +256,9 @@ def _messages(reports: DataFrame, by: Sequence[str], json: str) -> DataFrame:
 
 
 def _map_of(key: str, value: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value))))
+    """Map in key order; values may be maps, which Spark cannot compare."""
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))), by_key))
 
 
 def assemble_reports(

@@ -15,7 +15,20 @@ REPORT_SCHEMA = "id string, support_bundle_name string, json_report string, crea
 TABLET_TABLES = ("cluster", "tablets", "tableinfo", "region_zone_tablets")
 
 
-def append_reports(documents: DataFrame, root: str, bundle: str = "support_bundle", created_at=None) -> None:
+def _dated(rows: DataFrame, partition: str) -> DataFrame:
+    """Adds the partition column: the day of storing, or the first day of its month."""
+    day = F.to_date("created_at")
+    return rows.withColumn("created_date", day if partition == "day" else F.to_date(F.trunc(day, partition)))
+
+
+def _write_dated(rows: DataFrame, path: str, mode: str) -> None:
+    """One file per date and task; dates are spread over tasks, a big one over several."""
+    rows.hint("rebalance", "created_date").write.mode(mode).partitionBy("created_date").parquet(path)
+
+
+def append_reports(
+    documents: DataFrame, root: str, bundle: str = "support_bundle", created_at=None, partition: str = "day"
+) -> None:
     """Stores documents (``bundle`` and ``json_report``) with a new id and the time of storing.
 
     ``created_at`` may name a column to take the time from; rows that already
@@ -25,8 +38,8 @@ def append_reports(documents: DataFrame, root: str, bundle: str = "support_bundl
     rows = documents.select(
         (F.col("id").cast("string") if "id" in documents.columns else F.uuid()).alias("id"),
         F.col(bundle).alias("support_bundle_name"), "json_report", now.alias("created_at"),
-    ).withColumn("created_date", F.to_date("created_at"))
-    rows.write.mode("append").partitionBy("created_date").parquet(f"{root}/reports")
+    )
+    _write_dated(_dated(rows, partition), f"{root}/reports", "append")
 
 
 def _deleted(spark: SparkSession, root: str) -> DataFrame | None:
@@ -52,10 +65,9 @@ def delete_report(spark: SparkSession, root: str, report_id: str) -> bool:
     return True
 
 
-def compact_reports(spark: SparkSession, root: str, target: str) -> None:
+def compact_reports(spark: SparkSession, root: str, target: str, partition: str = "day") -> None:
     """Writes the remaining reports to a new folder."""
-    rows = read_reports(spark, root).withColumn("created_date", F.to_date("created_at"))
-    rows.write.mode("overwrite").partitionBy("created_date").parquet(f"{target}/reports")
+    _write_dated(_dated(read_reports(spark, root), partition), f"{target}/reports", "overwrite")
 
 
 def save_documents(documents: DataFrame, path: str) -> None:
