@@ -17,26 +17,35 @@ def to_ntz(col) -> Column:
     return F.col(col).cast(NTZ) if isinstance(col, str) else col.cast(NTZ)
 
 
-def log_timestamp(line: Column, reference_year) -> Column:
-    """Time of a raw log line, null when there is none.
+# The two forms of a line's time. Short: severity letter, month, day,
+# hour and minute, no year. Long: date and time with a fraction, ended by a blank.
+_SHORT = r"[IWEF]\d{4}\s+\d{2}:\d{2}"
+_LONG = r"\s*\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}(?=\s|$)"
+
+
+def line_stamp(line: Column) -> Column:
+    """The text of a raw line's time, '' when there is none: one regex for both forms."""
+    return F.regexp_extract(line, f"^({_SHORT}|{_LONG})", 1)
+
+
+def stamp_time(stamp: Column, reference_year) -> Column:
+    """Time of a ``line_stamp``, null when it is not a real time.
 
-    ``I1231 10:30:45.123 ...`` (first letter I, W, E or F) has minute precision
-    and no year: ``reference_year`` (a number or a column) supplies it. Any other
-    line must start with ``YYYY-MM-DD HH:MM:SS.f``; the fraction is required.
+    ``I1231 10:30`` has minute precision and no year: ``reference_year`` (a
+    number or a column) supplies it. The other form is taken as it is.
     """
     year = reference_year if isinstance(reference_year, Column) else F.lit(int(reference_year))
-    short = F.regexp_extract(line, r"^[IWEF](\d{4}\s+\d{2}:\d{2})", 1)
-    short_text = F.concat(
-        F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.substring(short, 1, 2), F.lit("-"),
-        F.substring(short, 3, 2), F.lit(" "), F.right(short, F.lit(5)), F.lit(":00"),
+    short = F.concat(
+        F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.substring(stamp, 2, 2), F.lit("-"),
+        F.substring(stamp, 4, 2), F.lit(" "), F.right(stamp, F.lit(5)), F.lit(":00"),
     )
-    long = F.regexp_extract(
-        line, r"^\s*(\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6})(?:\s|$)", 1
-    )
-    text = F.when(is_short_form(line), F.when(short != "", short_text)).otherwise(
-        F.when(long != "", F.regexp_replace(long, r"\s+", " "))
-    )
-    return text.try_cast(NTZ)
+    text = F.when(is_short_form(stamp), short).otherwise(F.regexp_replace(F.trim(stamp), r"\s+", " "))
+    return F.when(stamp != "", text.try_cast(NTZ))
+
+
+def log_timestamp(line: Column, reference_year) -> Column:
+    """Time of a raw log line, null when there is none."""
+    return stamp_time(line_stamp(line), reference_year)
 
 
 def is_short_form(line: Column) -> Column:

@@ -13,18 +13,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bundlelens.functions.paths import log_type, node_name, sub_type
-from bundlelens.functions.timestamps import is_short_form, log_timestamp, second_text
+from bundlelens.functions.timestamps import is_short_form, line_stamp, second_text, stamp_time
 
 TAIL_LINES = 20
 
 
 def parse_lines(lines: DataFrame, reference_year: int) -> DataFrame:
-    """Adds time, node, log type and sub type of each line."""
+    """Adds the time of each line.
+
+    The time comes out of a one-element ``inline``: filters on it stay above, so
+    the line is parsed once and not again for every condition.
+    """
+    parsed = F.struct(stamp_time(F.col("_stamp"), reference_year).alias("timestamp"))
+    return lines.withColumn("_stamp", line_stamp(F.col("line"))).select(
+        *lines.columns, F.inline(F.array(parsed)))
+
+
+def with_file_facts(rows: DataFrame) -> DataFrame:
+    """Adds node, log type and sub type, read off ``file_path`` (meant for one row per file)."""
     path = F.col("file_path")
-    return lines.withColumns({
-        "timestamp": log_timestamp(F.col("line"), reference_year),
-        "node_name": node_name(path), "log_type": log_type(path), "sub_type": sub_type(path),
-    })
+    return rows.withColumns({"node_name": node_name(path), "log_type": log_type(path), "sub_type": sub_type(path)})
 
 
 def log_files(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -36,7 +44,7 @@ def log_files(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     backwards, are rejected.
     """
     key = [*by, "file_path"]
-    first = parsed.groupBy(*key, "node_name", "log_type", "sub_type").agg(
+    first = parsed.groupBy(*key).agg(
         F.min(F.when(F.col("timestamp").isNotNull(), F.struct(
             "line_pos", "timestamp", is_short_form(F.col("line")).alias("short")))).alias("_first"),
         F.count("*").alias("lines"),
@@ -50,11 +58,12 @@ def log_files(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     start, end = F.col("_first.timestamp"), F.col("_end")
     rolls = F.col("_first.short") & (end < start) & (F.month(start) == 12) & (F.month(end) == 1)
     end_time = F.when(rolls, end + F.expr("INTERVAL 1 YEAR")).otherwise(end)
-    return first.join(tail, key).select(
-        *key, "node_name", "log_type", "sub_type", start.alias("start_time"), end_time.alias("end_time"), "lines",
+    ranges = first.join(tail, key).select(
+        *key, start.alias("start_time"), end_time.alias("end_time"), "lines",
         F.coalesce(rolls, F.lit(False)).alias("rolls_over"),
         F.when(start.isNull() | end.isNull(), "no time range").when(start > end_time, "start after end").alias("rejected"),
     )
+    return with_file_facts(ranges)
 
 
 def valid_files(files: DataFrame) -> DataFrame:
@@ -70,9 +79,13 @@ def prune_files(files: DataFrame, start, end) -> DataFrame:
 
 
 def lines_of(parsed: DataFrame, files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Lines of the given files, with times past New Year moved to the next year."""
+    """Lines of the given files with the files' node, log type and sub type.
+
+    Times past New Year move to the next year.
+    """
     key = [*by, "file_path"]
-    kept = files.select(*key, "rolls_over", F.col("start_time").alias("_start"))
+    kept = files.select(
+        *key, "node_name", "log_type", "sub_type", "rolls_over", F.col("start_time").alias("_start"))
     ts = F.col("timestamp")
     late = F.col("rolls_over") & is_short_form(F.col("line")) & (ts < F.col("_start")) & (F.month(ts) == 1)
     return (

@@ -162,11 +162,13 @@ def match_first(
     found = first(parts[0][1])
     if len(parts) > 1:
         found = F.when(parts[0][0], found).otherwise(first(parts[1][1]))
+    # The id leaves through a generator: a filter on it would be pushed below and
+    # run the regular expressions twice.
+    hit = F.array_remove(F.array(F.coalesce(found, F.lit(-1))), F.lit(-1))
     return (
         logs.filter(F.col(message).rlike(r"\S"))
         .withColumn("_lowered", folded(F.col(message)))
-        .withColumn("pattern_id", found)
-        .filter(F.col("pattern_id").isNotNull())
+        .select("*", F.explode(hit).alias("pattern_id"))
         .drop("_lowered")
     )
 
