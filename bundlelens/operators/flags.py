@@ -3,7 +3,7 @@
 A snapshot is a support bundle of a cluster. Consecutive snapshots are compared
 by one full outer join on (bundle, node, role, flag): every flag of a snapshot
 is sent to the bundle it is compared with, so the keys are unique and no cluster,
-however large or old, ends up in one task.
+however large or old, ends up in one task. The header lists each bundle once.
 """
 
 from __future__ import annotations
@@ -89,9 +89,9 @@ def snapshot_steps(snapshots: DataFrame, order: str = "newest_first") -> DataFra
     """Numbers each cluster's snapshots in walk order and links each to its neighbours.
 
     Adds ``step`` (0 for the first), ``prev_bundle``, ``next_bundle`` and
-    ``next_timestamp``. Ranks are taken per day and shifted by the number of
-    snapshots on the days before, so that a cluster with very many snapshots is
-    not sorted in one task; only its list of days is.
+    ``next_timestamp``. Snapshots are ranked within their day; days are then
+    chained, so that a cluster with very many snapshots is not sorted in one
+    task, only its list of days is.
     """
     if order not in ("newest_first", "oldest_first"):
         raise ValueError("order is 'newest_first' or 'oldest_first'")
@@ -99,30 +99,34 @@ def snapshot_steps(snapshots: DataFrame, order: str = "newest_first") -> DataFra
     by_time = (
         [F.desc("timestamp"), F.asc("support_bundle")] if newest else [F.asc("timestamp"), F.desc("support_bundle")]
     )
-    dated = snapshots.select(*CLUSTER, "support_bundle", "timestamp").distinct().withColumn(
-        "_day", F.to_date("timestamp")
+    dated = snapshots.select(
+        *CLUSTER, "support_bundle", "timestamp", F.to_date("timestamp").alias("_day")
     )
-    days = dated.groupBy(*CLUSTER, "_day").agg(F.count("*").alias("_n"))
-    day_order = Window.partitionBy(*CLUSTER).orderBy(F.desc("_day") if newest else F.asc("_day"))
-    before = days.withColumn("_before", F.sum("_n").over(
-        day_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).drop("_n")
     in_day = Window.partitionBy(*CLUSTER, "_day").orderBy(*by_time)
-    steps = (
-        dated.withColumn("_rank", F.row_number().over(in_day)).join(before, [*CLUSTER, "_day"])
-        .withColumn("step", (F.col("_before") + F.col("_rank") - 1).cast("bigint"))
-        .select(*CLUSTER, "step", "support_bundle", "timestamp")
+    ranked = dated.select(
+        "*", F.row_number().over(in_day).alias("_rank"), F.lag("support_bundle").over(in_day).alias("_prev"),
+        F.lead(F.struct("support_bundle", "timestamp")).over(in_day).alias("_next"),
     )
-    earlier = steps.select(*CLUSTER, (F.col("step") + 1).alias("step"), F.col("support_bundle").alias("prev_bundle"))
-    later = steps.select(
-        *CLUSTER, (F.col("step") - 1).alias("step"),
-        F.col("support_bundle").alias("next_bundle"), F.col("timestamp").alias("next_timestamp"),
+    in_walk = Window.partitionBy(*CLUSTER).orderBy(F.desc("_day") if newest else F.asc("_day"))
+    days = ranked.groupBy(*CLUSTER, "_day").agg(
+        F.max("_rank").alias("_n"),
+        F.max_by("support_bundle", "_rank").alias("_last"),
+        F.min_by(F.struct("support_bundle", "timestamp"), "_rank").alias("_first"),
+    ).select(
+        *CLUSTER, "_day",
+        (F.sum("_n").over(in_walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"),
+        F.lag("_last").over(in_walk).alias("_day_prev"), F.lead("_first").over(in_walk).alias("_day_next"),
+    )
+    following = F.coalesce("_next", "_day_next")
+    return ranked.join(days, [*CLUSTER, "_day"]).select(
+        *CLUSTER, (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias("step"), "support_bundle", "timestamp",
+        F.coalesce("_prev", "_day_prev").alias("prev_bundle"),
+        following["support_bundle"].alias("next_bundle"), following["timestamp"].alias("next_timestamp"),
     )
-    on = [*CLUSTER, "step"]
-    return steps.join(earlier, on, "left").join(later, on, "left")
 
 
-def _single_values(flags: DataFrame) -> DataFrame:
-    """One value per (bundle, node, role, flag)."""
+def single_values(flags: DataFrame) -> DataFrame:
+    """One value per (bundle, node, role, flag), the greatest; needed only where the table repeats keys."""
     return flags.groupBy("support_bundle", "node_name", "server_type", "gflag").agg(F.max("value").alias("value"))
 
 
@@ -131,21 +135,19 @@ def flag_history(flags: DataFrame, steps: DataFrame) -> DataFrame:
 
     ``change`` is initial (first snapshot), added, removed, modified or same,
     always seen from ``prev_bundle`` to ``support_bundle`` in walk order. Values
-    are compared as text.
+    are compared as text. ``flags`` must hold each (bundle, node, role, flag)
+    once; see ``single_values``.
     """
     key = ["support_bundle", "node_name", "server_type", "gflag"]
-    values = _single_values(flags)
-    current = values.join(steps.select(*CLUSTER, "support_bundle", "timestamp", "step", "prev_bundle"), "support_bundle")
-    links = steps.filter(F.col("next_bundle").isNotNull()).select(
-        *[F.col(c).alias(f"_{c}") for c in CLUSTER], "support_bundle", "next_bundle", "next_timestamp",
-        (F.col("step") + 1).alias("_step"),
-    )
-    previous = values.join(links, "support_bundle").select(
+    placed = flags.join(steps, "support_bundle")
+    current = placed.select(*key, "value", *CLUSTER, "timestamp", "step", "prev_bundle", F.lit(True).alias("_has"))
+    previous = placed.filter(F.col("next_bundle").isNotNull()).select(
         F.col("next_bundle").alias("support_bundle"), "node_name", "server_type", "gflag",
         F.col("value").alias("old_value"), F.col("support_bundle").alias("_prev"), F.lit(True).alias("_had"),
-        *[f"_{c}" for c in CLUSTER], F.col("next_timestamp").alias("_ts"), "_step",
+        *[F.col(c).alias(f"_{c}") for c in CLUSTER], F.col("next_timestamp").alias("_ts"),
+        (F.col("step") + 1).alias("_step"),
     )
-    both = current.withColumn("_has", F.lit(True)).join(previous, key, "full")
+    both = current.join(previous, key, "full")
     same = F.col("value").cast("string").eqNullSafe(F.col("old_value").cast("string"))
     step = F.coalesce("step", "_step")
     return both.select(

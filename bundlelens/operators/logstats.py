@@ -1,8 +1,9 @@
 """Statistics and histograms of pattern hits.
 
 ``minute_stats`` is the one shuffle over the hits (partial aggregation first, so
-a hot node or pattern sends at most one row per minute and task). Everything
-else regroups its small result; write it once when several results are wanted.
+a hot node or pattern sends at most one row per minute and task). Statistics and
+histograms regroup its small result: write it once when both are wanted.
+``hit_stats`` is the shorter way when only statistics are.
 ``by`` names extra leading keys, such as ``support_bundle`` when many bundles
 are analysed together.
 """
@@ -59,6 +60,14 @@ def minute_stats(hits: DataFrame, by: Sequence[str] = (), ts: str = "timestamp")
     )
 
 
+def hit_stats(hits: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
+    """Count, first and last time per (node, log type, pattern), straight from the hits."""
+    rows = hits.withColumn("_ts", to_ntz(ts)).filter(F.col("_ts").isNotNull())
+    return rows.groupBy(*by, *GROUP, "pattern_id").agg(
+        F.count("*").alias("count"), F.min("_ts").alias("start_time"), F.max("_ts").alias("end_time")
+    )
+
+
 def pattern_stats(minutes: DataFrame, by: Sequence[str] = (), pattern=("pattern_id",)) -> DataFrame:
     """Count, first and last time per (node, log type, pattern)."""
     return minutes.groupBy(*by, *GROUP, *pattern).agg(

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bundlelens.sources.catalog import NO_SOLUTION, Pattern, patterns_frame
+from bundlelens.sources.catalog import NO_SOLUTION, Pattern
 
 # i: any case, u: beyond ASCII too, d: only \n ends a line. For raw lines U makes
 # \d \w \s \b cover all of Unicode; for tables they are ASCII.
@@ -174,9 +174,11 @@ def match_first(
 
 
 def name_patterns(df: DataFrame, patterns: Sequence[Pattern], columns=("pattern_name", "pattern")) -> DataFrame:
-    """Replace ``pattern_id`` by columns of the catalogue (do this after aggregating)."""
-    table = patterns_frame(df.sparkSession, patterns).select("pattern_id", *columns)
-    return df.join(table, "pattern_id").drop("pattern_id")
+    """Replace ``pattern_id`` by columns of the catalogue, looked up in constant arrays (no join)."""
+    values = {"section": "section", "pattern_name": "name", "pattern": "regex", "solution": "solution"}
+    at = F.col("pattern_id") + 1
+    named = {c: F.element_at(F.lit([getattr(p, values[c]) for p in patterns]), at) for c in columns}
+    return df.withColumns(named).drop("pattern_id")
 
 
 def hit_names(keys: DataFrame, patterns: Sequence[Pattern], key: str = "pattern") -> DataFrame:

@@ -3,7 +3,8 @@
 A histogram has the columns ``[by..., node_name, log_type, pattern, minute,
 count]`` with ``minute`` as text. Null, 'null' and malformed minutes are
 ignored, as in a stored report. ``by`` names the report or bundle when several
-are shaped together; bounds are then taken per report.
+are shaped together; bounds are then taken per report. Ranges that depend on the
+latest bucket read the histogram twice, so pass a stored one.
 """
 
 from __future__ import annotations
@@ -135,17 +136,15 @@ def fill_gaps(
     join with a spine of buckets is needed.
     """
     rows = with_bucket(series).select(*by, *keys, "bucket", "count")
-    names = rows.select(*by, *keys).distinct()
-    bounds = (F.min("bucket").alias("_low"), F.max("bucket").alias("_high"))
+    names = rows.groupBy(*by, *keys).agg(F.min("bucket").alias("_low"), F.max("bucket").alias("_high"))
+    bounds = names.groupBy(*by).agg(F.struct(F.min("_low").alias("low"), F.max("_high").alias("high")).alias("_range"))
     if by:
-        names = names.join(rows.groupBy(*by).agg(*bounds), list(by))
+        names = names.join(bounds, list(by))
     else:
-        names = names.withColumns({
-            "_low": rows.agg(F.min("bucket")).scalar(), "_high": rows.agg(F.max("bucket")).scalar()
-        })
+        names = names.withColumn("_range", bounds.scalar())
     step = F.expr(f"INTERVAL {int(interval)} MINUTES")
     zeros = names.select(
-        *by, *keys, F.explode(F.sequence("_low", "_high", step)).alias("bucket"), F.lit(0).cast("bigint").alias("count")
+        *by, *keys, F.explode(F.sequence("_range.low", "_range.high", step)).alias("bucket"), F.lit(0).cast("bigint").alias("count")
     )
     return (
         rows.unionByName(zeros).groupBy(*by, *keys, "bucket").agg(F.sum("count").alias("count"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bundlelens.functions.encodings import format_bytes, lenient_int
 
@@ -97,27 +98,30 @@ def zone_replicas(tablets: DataFrame, tservers: DataFrame, by: Sequence[str] = (
     ``missing_replicas`` counts live tablets without a replica in the zone;
     ``balanced`` says whether all tablets of the zone have the same count.
     """
-    zoned = zoned_tablets(tablets, tservers, by)
     zone = [*by, "region", "zone"]
-    servers = zoned.groupBy(*zone).agg(F.count_distinct("node_uuid").alias("tservers"))
     spread = (
-        zoned.groupBy(*zone, "tablet_uuid").agg(F.sum("n").alias("replica_count"))
+        zoned_tablets(tablets, tservers, by).groupBy(*zone, "tablet_uuid").agg(F.sum("n").alias("replica_count"))
         .groupBy(*zone, "replica_count").agg(F.count("*").alias("tablets"))
     )
-    held = spread.groupBy(*zone).agg(F.sum("tablets").alias("held"), F.count("*").alias("kinds"))
+    # From here on there is one row per zone and replica count.
+    in_zone = Window.partitionBy(*zone)
+    spread = spread.select(
+        *zone, "replica_count", "tablets", F.sum("tablets").over(in_zone).alias("_held"),
+        F.count("*").over(in_zone).alias("_kinds"))
     live = live_replicas(tablets)
+    servers = live.select(*by, "node_uuid").distinct().join(server_zones(tservers, by), [*by, "node_uuid"])
+    servers = servers.groupBy(*zone).agg(F.count("*").alias("tservers"))
     if by:
-        every = live.groupBy(*by).agg(_distinct_with_null("tablet_uuid").alias("every"))
-        held = held.join(every, list(by))
+        every = live.groupBy(*by).agg(_distinct_with_null("tablet_uuid").alias("_every"))
+        spread = spread.join(every, list(by))
     else:
-        held = held.withColumn("every", live.agg(_distinct_with_null("tablet_uuid")).scalar())
-    s, h, v = spread.alias("s"), held.alias("h"), servers.alias("v")
-    on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in zone]
-    return s.join(h, on("s", "h")).join(v, on("s", "v")).select(
+        spread = spread.withColumn("_every", live.agg(_distinct_with_null("tablet_uuid")).scalar())
+    s, v = spread.alias("s"), servers.alias("v")
+    return s.join(v, [F.col(f"s.{k}").eqNullSafe(F.col(f"v.{k}")) for k in zone]).select(
         *[F.col(f"s.{k}") for k in zone], "tservers",
-        (F.col("every") - F.col("held")).alias("missing_replicas"),
+        (F.col("_every") - F.col("_held")).alias("missing_replicas"),
         "replica_count", "tablets",
-        F.when(F.col("kinds") <= 1, F.lit("YES")).otherwise("NO").alias("balanced"),
+        F.when(F.col("_kinds") <= 1, F.lit("YES")).otherwise("NO").alias("balanced"),
     )
 
 

@@ -8,6 +8,7 @@ from bundlelens.adapters import with_views
 from bundlelens.functions.timestamps import iso_second
 from bundlelens.operators import logstats, match, series
 from bundlelens.plans.registry import query
+from bundlelens.session import written
 from bundlelens.sources import catalog, logs
 
 PATTERNS = catalog.load_patterns()
@@ -62,8 +63,13 @@ def histogram(v, by=()):
     return match.name_patterns(logstats.minute_histogram(minutes(v, by), by), PATTERNS, ["pattern"])
 
 
+def stored_histogram(v, by=()):
+    """The histogram as a stored report holds it: series are shaped from that, not from the logs."""
+    return written(histogram(v, by), "histogram")
+
+
 def stats(v, by=()):
-    return match.name_patterns(logstats.pattern_stats(minutes(v, by), by), PATTERNS)
+    return match.name_patterns(logstats.hit_stats(hits(v, keep=by), by), PATTERNS)
 
 
 def _timed(df):
@@ -240,20 +246,20 @@ def _rebucket_sql(interval: int, where: str) -> str:
 @query("rebucket_60", _rebucket_sql(60, "bucket BETWEEN hi - INTERVAL 7 DAY AND hi"))
 def rebucket_60(v):
     """Default range, hourly buckets"""
-    return series.rebucket(histogram(v), 60)
+    return series.rebucket(stored_histogram(v), 60)
 
 
 @query("rebucket_15", _rebucket_sql(15, "bucket BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND hi"))
 def rebucket_15(v):
     """Given start, default end"""
-    return series.rebucket(histogram(v), 15, start="2024-01-05T06:30:00Z")
+    return series.rebucket(stored_histogram(v), 15, start="2024-01-05T06:30:00Z")
 
 
 @query("rebucket_30_explicit",
        _rebucket_sql(30, "bucket BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-15 00:00:00'"))
 def rebucket_30_explicit(v):
     """Both bounds given"""
-    return series.rebucket(histogram(v), 30, "2024-01-05T06:30:00Z", "2024-01-15T00:00:00Z")
+    return series.rebucket(stored_histogram(v), 30, "2024-01-05T06:30:00Z", "2024-01-15T00:00:00Z")
 
 
 @query("rebucket_by_bundle", HITS + """, hist AS (
@@ -265,7 +271,7 @@ def rebucket_30_explicit(v):
     FROM hist JOIN bounds USING (support_bundle) WHERE bucket BETWEEN hi - INTERVAL 7 DAY AND hi GROUP BY ALL""")
 def rebucket_by_bundle(v):
     """A7, F14 for many reports at once, each with its own range"""
-    return series.rebucket(histogram(v, ["support_bundle"]), 60, by=["support_bundle"])
+    return series.rebucket(stored_histogram(v, ["support_bundle"]), 60, by=["support_bundle"])
 
 
 @query("latest_bucket", HITS + """
@@ -285,19 +291,19 @@ def _quick_sql(back: str) -> str:
 @query("quick_range_12h", _quick_sql("12 hours"))
 def quick_range_12h(v):
     """F16"""
-    return series.quick_range(histogram(v), "12h").drop("bucket")
+    return series.quick_range(stored_histogram(v), "12h").drop("bucket")
 
 
 @query("quick_range_1d", _quick_sql("24 hours"))
 def quick_range_1d(v):
     """F16"""
-    return series.quick_range(histogram(v), "1d").drop("bucket")
+    return series.quick_range(stored_histogram(v), "1d").drop("bucket")
 
 
 @query("quick_range_3_days", _quick_sql("2 days"))
 def quick_range_3_days(v):
     """F16: three days counted inclusively"""
-    return series.quick_range(histogram(v), "3d").drop("bucket")
+    return series.quick_range(stored_histogram(v), "3d").drop("bucket")
 
 
 @query("message_totals", HIST + """
@@ -324,7 +330,7 @@ def node_series(v):
     FROM names CROSS JOIN spine LEFT JOIN slots ON slots.pattern = names.pattern AND slots.slot = spine.slot""")
 def gap_filled_totals(v):
     """Hourly totals of all days, zeros where a pattern has none"""
-    hourly = series.rebucket(histogram(v), 60, start="2024-01-01T00:00:00Z")
+    hourly = series.rebucket(stored_histogram(v), 60, start="2024-01-01T00:00:00Z")
     return series.fill_gaps(series.message_totals(hourly), 60)
 
 
@@ -342,7 +348,7 @@ def gap_filled_totals(v):
 def gap_filled_nodes(v):
     """J17 per bundle and node, each bundle on its own axis"""
     by = ["support_bundle"]
-    hourly = series.rebucket(histogram(v, by), 60, start="2024-01-01T00:00:00Z", by=by)
+    hourly = series.rebucket(stored_histogram(v, by), 60, start="2024-01-01T00:00:00Z", by=by)
     return series.fill_gaps(series.node_series(hourly, by=by), 60, by, ["pattern", "node_name"])
 
 
