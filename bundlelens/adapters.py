@@ -88,10 +88,11 @@ class Views:
         )
 
     def ts_tablet(self) -> DataFrame:
+        # Brand and type follow from the part; flags are single letters, compared as
+        # numbers so that the aggregation can hash.
         rows = self.table("lineitem").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        return rows.groupBy("l_suppkey", "l_partkey").agg(
-            F.min("p_brand").alias("table_name"), F.min("p_type").alias("namespace"),
-            F.min("l_returnflag").alias("_flag"), F.min("l_linestatus").alias("_line"),
+        return rows.groupBy("l_suppkey", "l_partkey", F.col("p_brand").alias("table_name"), F.col("p_type").alias("namespace")).agg(
+            F.char(F.min(F.ascii("l_returnflag"))).alias("_flag"), F.char(F.min(F.ascii("l_linestatus"))).alias("_line"),
             F.floor(F.max("l_extendedprice") * 1000).cast("bigint").alias("sst_size"),
             F.floor(F.max("l_quantity")).cast("bigint").alias("wal_size"),
         ).select(
@@ -118,10 +119,10 @@ class Views:
         rows = self.table("orders").join(
             self.table("customer").filter(F.col("c_acctbal") >= 0), F.col("o_custkey") == F.col("c_custkey")
         ).join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        return rows.groupBy("o_custkey", (F.col("o_orderkey") % 3).alias("_part")).agg(
-            F.min("c_name").alias("cluster_name"), F.min("n_name").alias("organization"),
-            F.max("o_orderdate").alias("timestamp"),
-        ).select(
+        return rows.groupBy(
+            "o_custkey", (F.col("o_orderkey") % 3).alias("_part"), F.col("c_name").alias("cluster_name"),
+            F.col("n_name").alias("organization"),
+        ).agg(F.max("o_orderdate").alias("timestamp")).select(
             F.concat(F.lit("bundle-"), _text("o_custkey"), F.lit("-"), _text("_part")).alias("support_bundle"),
             "cluster_name", _text("o_custkey", "c").alias("cluster_uuid"), "organization",
             F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("case_id"), "timestamp",
