@@ -276,8 +276,8 @@ def assemble_reports(
     The size of a document follows nodes x log types x patterns x minutes, not
     the log volume. A report with more than ``max_entries`` histogram entries is
     written in parts, one per (node, log type), each a complete report document
-    of its own; ``part`` names it ('' for a whole report). ``stats`` may carry a
-    ``solution`` column.
+    of its own; ``part`` names it ('' for a whole report). Long operations split
+    the same way, by prefix. ``stats`` may carry a ``solution`` column.
     """
     keys = [by, "node_name", "log_type", pattern]
     known = lambda df: df.filter(F.col("node_name").isNotNull() & F.col("log_type").isNotNull())
@@ -299,22 +299,26 @@ def assemble_reports(
     nodes = types.groupBy(by, "part", "node_name").agg(_map_of("log_type", F.col("_t")).alias("_types"))
     docs = nodes.groupBy(by, "part").agg(_map_of("node_name", F.col("_types")).alias("nodes"))
     fields = [
-        F.col(by).alias("support_bundle_name"), F.col("nodes"),
+        F.col(by).alias("support_bundle_name"),
+        F.coalesce("nodes", F.from_json(F.lit("{}"), NODES)).alias("nodes"),
         F.array(*[F.struct(*[F.lit(str(v)).alias(k) for k, v in w.items()]) for w in warnings]).alias("warnings"),
         F.struct(*[F.lit(str(v)).alias(k) for k, v in (config or {"analysis_type": "parquet"}).items()])
         .alias("analysis_config"),
     ]
     if longops is not None:
-        docs = docs.join(long_operation_maps(longops, by).withColumn("part", F.lit("")), [by, "part"], "left")
+        large = longops.groupBy(by).agg((F.count("*") > max_entries).alias("_large"))
+        part = F.when(F.col("_large"), F.concat(F.lit("long operations/"), "prefix")).otherwise("")
+        placed = longops.join(large, by).withColumn("part", part)
+        docs = docs.join(long_operation_maps(placed, by, "part"), [by, "part"], "full")
         fields.append(F.col("long_operations"))
     return docs.select(by, "part", F.to_json(F.struct(*fields)).alias("json_report"))
 
 
-def long_operation_maps(longops: DataFrame, by: str = "support_bundle") -> DataFrame:
+def long_operation_maps(longops: DataFrame, *by: str) -> DataFrame:
     """Long operations of each report as ``{prefix: {bucket: {c, avg, max}}}``."""
     point = F.struct("c", "avg", "max")
-    prefixes = longops.groupBy(by, "prefix").agg(_map_of("bucket", point).alias("_points"))
-    return prefixes.groupBy(by).agg(_map_of("prefix", F.col("_points")).alias("long_operations"))
+    prefixes = longops.groupBy(*by, "prefix").agg(_map_of("bucket", point).alias("_points"))
+    return prefixes.groupBy(*by).agg(_map_of("prefix", F.col("_points")).alias("long_operations"))
 
 
 def long_operations_of(reports: DataFrame, by: Sequence[str] = ("id",), json: str = "json_report") -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -35,11 +36,12 @@ def _wanted(name: str, servers: Sequence[str] | None) -> bool:
     return servers is None or ("log" in base and any(s in base for s in servers))
 
 
-def archive_lines(stream, folder: str, servers: Sequence[str] | None) -> Iterator[tuple]:
+def archive_lines(stream, name: str, folder: str, servers: Sequence[str] | None) -> Iterator[tuple]:
     """(path, line number, line, error) of the log members of one archive stream.
 
-    Members that are archives are read in place. What cannot be read yields one
-    row with an error and the rest goes on.
+    Members that are archives are read in place, as if unpacked into their own
+    folder. What cannot be read to its end, a member or an archive, yields one
+    row with an error after the lines before it, and the rest goes on.
     """
     try:
         with tarfile.open(fileobj=stream, mode="r|gz") as tar:
@@ -48,19 +50,36 @@ def archive_lines(stream, folder: str, servers: Sequence[str] | None) -> Iterato
                 if not member.isfile():
                     continue
                 if member.name.endswith(ARCHIVE_SUFFIXES):
-                    yield from archive_lines(tar.extractfile(member), path.rsplit("/", 1)[0], servers)
+                    yield from archive_lines(tar.extractfile(member), path, path.rsplit("/", 1)[0], servers)
                 elif _wanted(member.name, servers):
                     yield from _member_lines(tar.extractfile(member), path)
-    except (tarfile.TarError, OSError, EOFError) as exc:
-        yield folder, None, None, f"{type(exc).__name__}: {exc}"
+    except (tarfile.TarError, OSError, EOFError, zlib.error) as exc:
+        yield name, None, None, f"{type(exc).__name__}: {exc}"
 
 
-def _member_lines(raw, path: str) -> Iterator[tuple]:
+class _Forward(io.RawIOBase):
+    """A member of a streamed archive: it can only be read onwards."""
+
+    def __init__(self, member):
+        self.member = member
+
+    def readable(self):
+        return True
+
+    def readinto(self, buffer):
+        data = self.member.read(len(buffer))
+        buffer[:len(data)] = data
+        return len(data)
+
+
+def _member_lines(member, path: str) -> Iterator[tuple]:
     try:
-        data = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+        data = io.BufferedReader(_Forward(member), 1 << 16)
+        if path.endswith(".gz"):
+            data = gzip.GzipFile(fileobj=data)
         for number, line in enumerate(io.TextIOWrapper(data, encoding="utf-8", errors="ignore")):
             yield path, number, line.rstrip("\n"), None
-    except (OSError, EOFError) as exc:
+    except (OSError, EOFError, zlib.error, tarfile.TarError) as exc:
         yield path, None, None, f"{type(exc).__name__}: {exc}"
 
 
@@ -87,7 +106,7 @@ def explode_archives(archives: DataFrame, servers: Sequence[str] | None = DISCOV
             for pdf in batches:
                 for path, content in zip(pdf["path"], pdf["content"]):
                     bundle = archive_stem(path)
-                    for row in archive_lines(io.BytesIO(content), f"/{bundle}", servers):
+                    for row in archive_lines(io.BytesIO(content), path, f"/{bundle}", servers):
                         yield (bundle, *row)
         yield from _frames(rows())
 
@@ -119,7 +138,7 @@ def ingest_archives(
                     system, inner = fs.FileSystem.from_uri(uri)
                     bundle = archive_stem(address)
                     with system.open_input_stream(inner, compression=None) as stream:
-                        for row in archive_lines(stream, f"/{bundle}", servers):
+                        for row in archive_lines(stream, address, f"/{bundle}", servers):
                             yield (bundle, *row)
         yield from _frames(rows())
 
