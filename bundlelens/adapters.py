@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MESSAGES = (
     "Soft memory limit exceeded (at 85%)",
@@ -60,6 +61,15 @@ class Views:
             "doc_id", F.col("text").alias("message"), F.col("source").alias("node_name"), F.col("lang").alias("log_type"),
         )
 
+    def numbered_lines(self) -> DataFrame:
+        """``log_lines`` as a text reader gives them: a file's days are its blocks."""
+        lines = self.log_lines().join(
+            self.table("events").select("event_id", F.to_date("ts").alias("_day")), "event_id")
+        block = F.unix_date("_day").cast("bigint")
+        in_block = Window.partitionBy("file_path", "line_block").orderBy("event_id")
+        return lines.withColumn("line_block", block).withColumn(
+            "line_no", F.row_number().over(in_block).cast("bigint")).drop("_day")
+
     def log_lines(self) -> DataFrame:
         """The messages as raw text lines, one file per (bundle, node, log type)."""
         e = self.log_events()
@@ -73,7 +83,6 @@ class Views:
         return e.select(
             "event_id", "support_bundle",
             F.concat_ws("/", F.lit(""), "support_bundle", folder, name).alias("file_path"),
-            F.col("event_id").alias("line_pos"),
             F.when(pg, F.concat(iso, F.lit(" "), "message")).otherwise(
                 F.concat(F.lit("I"), F.date_format(ts, "MMdd HH:mm:ss.SSSSSS"), F.lit(" "), "message")).alias("line"),
         )

@@ -1,7 +1,8 @@
 """Log files of raw bundles: metadata, time ranges, pruning.
 
-``lines`` has ``file_path``, ``line_pos`` (anything that sorts in file order) and
-``line``.
+``lines`` has ``file_path``, ``line_block``, ``line_no`` and ``line``: blocks are
+pieces of a file in file order, and numbers count the lines of a block in file
+order without holes, from any start.
 """
 
 from __future__ import annotations
@@ -42,24 +43,32 @@ def log_files(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     lines. A file of year-less times that starts in December and ends in January
     ends in the next year. Files without a range, or with one that runs
     backwards, are rejected.
+
+    One pass: lines shrink to one row per block by hash aggregation, and a huge
+    file is many blocks. Whether the last time is within the last 20 lines
+    follows from its number and the lines after it.
     """
     key = [*by, "file_path"]
-    first = parsed.groupBy(*key).agg(
-        F.min(F.when(F.col("timestamp").isNotNull(), F.struct(
-            "line_pos", "timestamp", is_short_form(F.col("line")).alias("short")))).alias("_first"),
-        F.count("*").alias("lines"),
+    ts, block = F.col("timestamp"), F.col("line_block")
+    timed = F.when(ts.isNotNull(), F.col("line_no"))
+    blocks = parsed.groupBy(*key, "line_block").agg(
+        F.count("*").alias("_n"), F.max("line_no").alias("_last_no"), F.max(timed).alias("_timed_no"),
+        F.min_by(ts, timed).alias("_first"), F.min_by(is_short_form(F.col("line")), timed).alias("_short"),
+        F.max_by(ts, timed).alias("_last"),
     )
-    from_end = Window.partitionBy(*key).orderBy(F.desc("line_pos"))
-    tail = (
-        parsed.select(*key, "line_pos", "timestamp").withColumn("_back", F.row_number().over(from_end))
-        .filter(F.col("_back") <= TAIL_LINES).groupBy(*key)
-        .agg(F.max_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("line_pos"))).alias("_end"))
+    later = Window.partitionBy(*key).orderBy(F.desc("line_block")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.sum("_n").over(later), F.lit(0)) + F.col("_last_no") - F.col("_timed_no")
+    timed_block = F.when(F.col("_timed_no").isNotNull(), block)
+    spans = blocks.withColumn("_after", after).groupBy(*key).agg(
+        F.sum("_n").alias("lines"), F.min_by("_first", timed_block).alias("start_time"),
+        F.min_by("_short", timed_block).alias("_short"), F.max_by("_last", timed_block).alias("_last"),
+        F.max_by("_after", timed_block).alias("_after"),
     )
-    start, end = F.col("_first.timestamp"), F.col("_end")
-    rolls = F.col("_first.short") & (end < start) & (F.month(start) == 12) & (F.month(end) == 1)
+    start, end = F.col("start_time"), F.when(F.col("_after") < TAIL_LINES, F.col("_last"))
+    rolls = F.col("_short") & (end < start) & (F.month(start) == 12) & (F.month(end) == 1)
     end_time = F.when(rolls, end + F.expr("INTERVAL 1 YEAR")).otherwise(end)
-    ranges = first.join(tail, key).select(
-        *key, start.alias("start_time"), end_time.alias("end_time"), "lines",
+    ranges = spans.select(
+        *key, "start_time", end_time.alias("end_time"), "lines",
         F.coalesce(rolls, F.lit(False)).alias("rolls_over"),
         F.when(start.isNull() | end.isNull(), "no time range").when(start > end_time, "start after end").alias("rejected"),
     )
@@ -81,7 +90,8 @@ def prune_files(files: DataFrame, start, end) -> DataFrame:
 def lines_of(parsed: DataFrame, files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Lines of the given files with the files' node, log type and sub type.
 
-    Times past New Year move to the next year.
+    Times past New Year move to the next year. Pass ``files`` as a stored table:
+    Spark then knows its size before it decides whether the lines must move.
     """
     key = [*by, "file_path"]
     kept = files.select(

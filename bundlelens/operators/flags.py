@@ -136,7 +136,8 @@ def flag_history(flags: DataFrame, steps: DataFrame) -> DataFrame:
     ``change`` is initial (first snapshot), added, removed, modified or same,
     always seen from ``prev_bundle`` to ``support_bundle`` in walk order. Values
     are compared as text. ``flags`` must hold each (bundle, node, role, flag)
-    once; see ``single_values``.
+    once; see ``single_values``. ``steps`` comes from ``snapshot_steps`` and is
+    used several times, so pass it stored.
     """
     key = ["support_bundle", "node_name", "server_type", "gflag"]
     placed = flags.join(steps, "support_bundle")
@@ -163,9 +164,9 @@ def flag_history(flags: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
-def flag_diff(flags: DataFrame, snapshots: DataFrame, order: str = "newest_first") -> DataFrame:
+def flag_diff(flags: DataFrame, steps: DataFrame) -> DataFrame:
     """Added, removed and modified flags of every step of every cluster."""
-    history = flag_history(flags, snapshot_steps(snapshots, order))
+    history = flag_history(flags, steps)
     return history.filter(F.col("change").isin("added", "removed", "modified"))
 
 
@@ -186,14 +187,13 @@ def diff_summary(history: DataFrame, level: str = "role") -> DataFrame:
     return history.groupBy(*CLUSTER, *keys).agg(*_change_counts())
 
 
-def diff_payload(flags: DataFrame, snapshots: DataFrame, order: str = "newest_first") -> DataFrame:
+def diff_payload(flags: DataFrame, steps: DataFrame) -> DataFrame:
     """One row per (node, role) and snapshot: its flags and what changed, as maps.
 
     A (node, role) that a snapshot lacks has an empty map there, so all its flags
     show as removed. Maps hold the flag names of one process; the history of a
     process stays one row per snapshot.
     """
-    steps = snapshot_steps(snapshots, order)
     history = flag_history(flags, steps)
     cell = [*CLUSTER, "support_bundle", "node_name", "server_type"]
 

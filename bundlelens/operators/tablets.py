@@ -24,22 +24,29 @@ def _distinct_with_null(column: str) -> Column:
     return F.count_distinct(column) + F.max(F.col(column).isNull().cast("int")).cast("bigint")
 
 
-def table_info(tablets: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("node_uuid", "tablet_uuid")) -> DataFrame:
+def table_info(
+    tablets: DataFrame, by: Sequence[str] = (), file: str = "node_uuid", pos: str | None = None
+) -> DataFrame:
     """Statistics per (namespace, table).
 
-    ``order`` declares which row's table_uuid is the last: the last non-empty one
-    is kept. Replicas are first counted per node, which also gives the smallest
-    and largest number of replicas on a node.
+    The last non-empty table_uuid is kept; ``file`` and the number ``pos`` inside
+    it declare the order of the rows. Replicas are first counted per node, which
+    also gives the smallest and largest number on a node. The first step groups
+    by all texts it needs, so that it can hash.
     """
     keys = [*by, "namespace", "table_name"]
-    given = F.nullif(F.col("table_uuid"), F.lit(""))
-    at = F.struct(*order)
-    per_node = tablets.groupBy(*keys, "node_uuid").agg(
-        F.count("*").alias("n"),
-        F.sum(lenient_int(F.col("sst_size"))).alias("sst"),
-        F.sum(lenient_int(F.col("wal_size"))).alias("wal"),
-        F.count_if(F.col("lease_status") == HAS_LEASE).alias("leaders"),
-        F.max(F.when(given.isNotNull(), F.struct(at.alias("at"), given.alias("uuid")))).alias("last"),
+    rows = tablets.select(
+        *keys, "node_uuid", F.col(file).alias("_file"), F.nullif(F.col("table_uuid"), F.lit("")).alias("_uuid"),
+        F.col(pos).alias("_pos") if pos else F.lit(0).cast("bigint").alias("_pos"),
+        lenient_int(F.col("sst_size")).alias("_sst"), lenient_int(F.col("wal_size")).alias("_wal"), "lease_status")
+    pieces = rows.groupBy(*keys, "node_uuid", "_file", "_uuid").agg(
+        F.count("*").alias("n"), F.sum("_sst").alias("sst"), F.sum("_wal").alias("wal"),
+        F.count_if(F.col("lease_status") == HAS_LEASE).alias("leaders"), F.max("_pos").alias("_pos"),
+    )
+    last = F.when(F.col("_uuid").isNotNull(), F.struct("_file", "_pos", "_uuid"))
+    per_node = pieces.groupBy(*keys, "node_uuid").agg(
+        F.sum("n").alias("n"), F.sum("sst").alias("sst"), F.sum("wal").alias("wal"),
+        F.sum("leaders").alias("leaders"), F.max(last).alias("last"),
     )
     totals = per_node.groupBy(*keys).agg(
         F.sum("n").alias("tot_tablet_count"),
@@ -48,7 +55,7 @@ def table_info(tablets: DataFrame, by: Sequence[str] = (), order: Sequence[str]
         F.max("n").alias("node_tablet_max"),
         F.sum("sst").alias("sst_tot_bytes"),
         F.sum("wal").alias("wal_tot_bytes"),
-        F.max("last")["uuid"].alias("table_uuid"),
+        F.max("last")["_uuid"].alias("table_uuid"),
     )
     unique = tablets.groupBy(*keys).agg(_distinct_with_null("tablet_uuid").alias("uniq_tablet_count"))
     same = [totals[k].eqNullSafe(unique[k]) for k in keys]

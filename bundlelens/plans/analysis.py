@@ -105,8 +105,8 @@ def analyze_parquet(spark: SparkSession, path: str, patterns: Sequence[Pattern]
 def analyze_lines(lines: DataFrame, reference_year: int, request: Request = Request()) -> LogAnalysis:
     """The first matching pattern of every raw line.
 
-    ``lines`` has ``support_bundle``, ``file_path``, ``line_pos`` and ``line``.
-    It is read twice, for the files' time ranges and for the lines, so it should
+    ``lines`` has ``support_bundle`` and the columns of ``operators.files``. It is
+    read twice, for the files' time ranges and for the lines, so it should
     be a stored table.
     """
     by = ["support_bundle"]
@@ -116,7 +116,7 @@ def analyze_lines(lines: DataFrame, reference_year: int, request: Request = Requ
     kept = files.valid_files(found)
     if request.start is not None and request.end is not None:
         kept = files.prune_files(found, request.start, request.end)
-    kept = logstats.filter_logs(kept, nodes=request.nodes, log_types=request.log_types)
+    kept = written(logstats.filter_logs(kept, nodes=request.nodes, log_types=request.log_types), "files")
     chosen = logstats.filter_logs(files.lines_of(parsed, kept, by), request.start, request.end)
     stats, histogram = _results(match.match_first(chosen, patterns, message="line"), patterns, "pattern_name")
     return LogAnalysis(stats, histogram, None, request, "pattern_name")
@@ -155,7 +155,7 @@ def analyze_tablet_reports(spark: SparkSession, root: str) -> TabletAnalysis:
     bad = entries.filter(F.col("error").isNotNull()).select("bundle", "file_name", "error")
     return TabletAnalysis(
         servers, replicas,
-        tablets.table_info(replicas, by, order=["file_name", "doc_no", "entry_no"]),
+        tablets.table_info(replicas, by, file="file_name", pos="pos"),
         tablets.zone_replicas(replicas, servers, by),
         unmatched.unionByName(bad),
     )

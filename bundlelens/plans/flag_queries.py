@@ -8,6 +8,7 @@ from bundlelens.adapters import with_views
 from bundlelens.functions.timestamps import second_text
 from bundlelens.operators import flags
 from bundlelens.plans.registry import query
+from bundlelens.session import written
 
 _BASE = with_views("snapshots", "bundle_flags")
 
@@ -47,8 +48,13 @@ def _timed(df):
     return df.withColumn("timestamp", second_text(F.col("timestamp")))
 
 
+def steps(v, order="newest_first"):
+    """The chain of snapshots, stored: Spark then knows its size, and both sides of the comparison use it."""
+    return written(flags.snapshot_steps(v.snapshots(), order), "steps")
+
+
 def history(v, order="newest_first"):
-    return flags.flag_history(v.bundle_flags(), flags.snapshot_steps(v.snapshots(), order))
+    return flags.flag_history(v.bundle_flags(), steps(v, order))
 
 
 @query("report_flags", _BASE + """
@@ -125,14 +131,14 @@ def flag_history(v):
 @query("flag_diff", _NEWEST + f"SELECT {_HISTORY_COLUMNS} FROM history WHERE change IN ('added', 'removed', 'modified')")
 def flag_diff(v):
     """U2, U3, U4, newest first"""
-    return _timed(flags.flag_diff(v.bundle_flags(), v.snapshots()))
+    return _timed(flags.flag_diff(v.bundle_flags(), steps(v)))
 
 
 @query("flag_diff_oldest_first",
        _steps("oldest_first") + f"SELECT {_HISTORY_COLUMNS} FROM history WHERE change IN ('added', 'removed', 'modified')")
 def flag_diff_oldest_first(v):
     """U2, U3, U4 in the order of time"""
-    return _timed(flags.flag_diff(v.bundle_flags(), v.snapshots(), order="oldest_first"))
+    return _timed(flags.flag_diff(v.bundle_flags(), steps(v, "oldest_first")))
 
 
 @query("flag_change_counts", _NEWEST + f"""
@@ -176,7 +182,7 @@ def diff_payload(v):
     def shown(name, value=lambda e: e["value"]):
         return F.array_join(F.transform(
             F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), value(e))), ",").alias(name)
-    rows = _timed(flags.diff_payload(v.bundle_flags(), v.snapshots()))
+    rows = _timed(flags.diff_payload(v.bundle_flags(), steps(v)))
     keep = [c for c in rows.columns if c not in ("added", "removed", "modified", "gflags")]
     return flags.ordered_steps(rows).select(
         *keep, shown("added"), shown("removed"),

@@ -15,7 +15,7 @@ from bundlelens.functions.timestamps import iso_second, second_text
 from bundlelens.operators import files, logstats, match
 from bundlelens.plans.log_queries import PATTERNS, _catalogue
 from bundlelens.plans.registry import query
-from bundlelens.session import shared_dir
+from bundlelens.session import shared_dir, written
 from bundlelens.sources import archives, text
 
 _YEAR = REFERENCE_YEAR
@@ -40,7 +40,7 @@ _STATS = """
 
 
 def parsed(v):
-    return files.parse_lines(v.log_lines(), _YEAR)
+    return files.parse_lines(v.numbered_lines(), _YEAR)
 
 
 def line_stats(lines, by=()):
@@ -116,7 +116,7 @@ def bundle_members(v):
 def line_stats_in_range(v):
     """Raw lines of the files that overlap the range"""
     lines = parsed(v)
-    kept = files.prune_files(files.log_files(lines), "2024-01-10 00:00:00", "2024-01-11 12:00:00")
+    kept = written(files.prune_files(files.log_files(lines), "2024-01-10 00:00:00", "2024-01-11 12:00:00"), "files")
     chosen = logstats.filter_logs(files.lines_of(lines, kept), "2024-01-10 00:00:00", "2024-01-11 12:00:00")
     return line_stats(chosen)
 

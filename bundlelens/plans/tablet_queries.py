@@ -228,7 +228,7 @@ def _servers(v):
 def tablets_from_documents(v):
     """S13, S14, M3, M4, J9, D5, D8, P12, P13, P15"""
     entries = tablet_reports.split_documents(_report_files(v))
-    return tablet_reports.tablets(entries, _servers(v)).drop("bundle", "file_name", "doc_no", "entry_no")
+    return tablet_reports.tablets(entries, _servers(v)).drop("bundle", "file_name", "pos")
 
 
 @query("saved_tablet_tables", _ZONES + """

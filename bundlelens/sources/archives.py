@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from bundlelens.functions.paths import DISCOVERED_SERVERS
 
 ARCHIVE_SUFFIXES = (".tar.gz", ".tgz")
-LINES_SCHEMA = "bundle string, file_path string, line_pos bigint, line string, error string"
+LINES_SCHEMA = "bundle string, file_path string, line_no bigint, line string, error string"
 BATCH_LINES = 20_000
 
 
@@ -84,10 +84,10 @@ def _member_lines(member, path: str) -> Iterator[tuple]:
 
 
 def _frames(rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
-    columns = ["bundle", "file_path", "line_pos", "line", "error"]
+    columns = ["bundle", "file_path", "line_no", "line", "error"]
 
     def frame(batch):
-        return pd.DataFrame(batch, columns=columns).astype({"line_pos": "Int64"})
+        return pd.DataFrame(batch, columns=columns).astype({"line_no": "Int64"})
 
     batch: list[tuple] = []
     for row in rows:
@@ -146,7 +146,8 @@ def ingest_archives(
 
 
 def good_lines(ingested: DataFrame) -> DataFrame:
-    return ingested.filter(F.col("error").isNull()).drop("error")
+    """The lines; every member is one block."""
+    return ingested.filter(F.col("error").isNull()).drop("error").withColumn("line_block", F.lit(0).cast("bigint"))
 
 
 def rejects(ingested: DataFrame) -> DataFrame:

@@ -192,5 +192,5 @@ def tablets(entries: DataFrame, servers: DataFrame) -> DataFrame:
         F.col(f"{cstate}.config.opidIndex").try_cast("int").alias("cidx"),
         decode_uuid(F.col(f"{cstate}.leaderUuid")).alias("leader"),
         F.col(f"{consensus}.leaderLeaseStatus").alias("lease_status"),
-        "file_name", "doc_no", "entry_no",
+        "file_name", (F.col("doc_no") * 2**32 + F.col("entry_no")).alias("pos"),
     )

@@ -20,17 +20,16 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str], servers=DISC
     """Lines of all log files below the paths, ``.gz`` files included.
 
     Only files whose name holds one of ``servers`` and ``log`` are taken; None
-    takes every file. ``line_pos`` sorts lines in file order: the start of the
-    file split, then the reading order inside it. Plain files are split over
+    takes every file. ``line_block`` is the start of the file split a line was
+    read from and ``line_no`` counts on inside it. Plain files are split over
     tasks, a gzip file is one task; write its lines as Parquet before further
     passes.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(paths)
     lines = raw.select(
         F.col("_metadata.file_path").alias("file_path"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
-        ).alias("line_pos"),
+        F.col("_metadata.file_block_start").alias("line_block"),
+        F.monotonically_increasing_id().alias("line_no"),
         drop_invalid_utf8(F.col("value")).alias("line"),
     )
     return lines if servers is None else lines.filter(is_log_file(F.col("file_path"), servers))

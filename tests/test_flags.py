@@ -23,9 +23,9 @@ def test_walk_from_newest(spark):
     s = snaps(spark, ("new", DAY + timedelta(days=1)), ("old", DAY))
     f = table(spark, {"new": {"a": "1", "b": "2"}, "old": {"b": "3", "c": "4"}})
     want = [("a", "removed", "1", None), ("b", "modified", "2", "3"), ("c", "added", None, "4")]
-    assert rows(flags.flag_diff(f, s), "gflag", "change", "old_value", "new_value") == want
-    assert rows(flags.flag_diff(f, s), "support_bundle", "prev_bundle", "step")[0] == ("old", "new", 1)
-    mirrored = rows(flags.flag_diff(f, s, "oldest_first"), "gflag", "change", "old_value", "new_value")
+    assert rows(flags.flag_diff(f, flags.snapshot_steps(s)), "gflag", "change", "old_value", "new_value") == want
+    assert rows(flags.flag_diff(f, flags.snapshot_steps(s)), "support_bundle", "prev_bundle", "step")[0] == ("old", "new", 1)
+    mirrored = rows(flags.flag_diff(f, flags.snapshot_steps(s, "oldest_first")), "gflag", "change", "old_value", "new_value")
     swap = {"removed": "added", "added": "removed", "modified": "modified"}
     assert mirrored == sorted(((k, swap[c], n, o) for k, c, o, n in want), key=lambda t: t[0])
 
@@ -33,7 +33,7 @@ def test_walk_from_newest(spark):
 def test_snapshot_without_the_process(spark):
     s = snaps(spark, ("new", DAY + timedelta(days=1)), ("old", DAY))
     f = table(spark, {"new": {"a": "1"}}).union(table(spark, {"old": {"z": "0"}}, node="m"))
-    payload = flags.ordered_steps(flags.diff_payload(f, s)).collect()
+    payload = flags.ordered_steps(flags.diff_payload(f, flags.snapshot_steps(s))).collect()
     assert [(r.node_name, r.step, r.type, r.added, r.removed, r.gflags) for r in payload] == [
         ("m", 0, "initial", {}, {}, {}), ("m", 1, "diff", {"z": "0"}, {}, {"z": "0"}),
         ("n", 0, "initial", {}, {}, {"a": "1"}), ("n", 1, "diff", {}, {"a": "1"}, {})]
@@ -68,7 +68,7 @@ def test_random_histories_with_one_hot_cluster(spark, newest):
               for b, _, _ in snapshots for n in range(2) for r in ("master", "tserver") for k in range(4) if rng.random() < .6}
     s = spark.createDataFrame([(b, c, "o", t) for b, c, t in snapshots], SNAP)
     f = spark.createDataFrame([(*k, v) for k, v in values.items()], FLAG)
-    got = flags.flag_diff(f, s, "newest_first" if newest else "oldest_first").select(
+    got = flags.flag_diff(f, flags.snapshot_steps(s, "newest_first" if newest else "oldest_first")).select(
         "cluster_name", "step", "prev_bundle", "support_bundle", "node_name", "server_type", "gflag", "change", "old_value", "new_value")
     assert sorted((tuple(r) for r in got.collect()), key=str) == by_hand(snapshots, values, newest)
 
@@ -101,4 +101,4 @@ def test_repeated_keys_can_be_reduced(spark):
 def test_values_are_compared_as_text(spark):
     s = snaps(spark, ("new", DAY + timedelta(days=1)), ("old", DAY))
     f = table(spark, {"new": {"a": None, "b": None}, "old": {"a": None, "b": "1"}})
-    assert rows(flags.flag_diff(f, s), "gflag", "change") == [("b", "modified")]
+    assert rows(flags.flag_diff(f, flags.snapshot_steps(s)), "gflag", "change") == [("b", "modified")]

@@ -51,7 +51,7 @@ def test_discovery(spark):
 
 
 def parsed(spark, items, year=2024):
-    return files.parse_lines(spark.createDataFrame(items, "file_path string, line_pos bigint, line string"), year)
+    return files.parse_lines(spark.createDataFrame(items, "file_path string, line_no bigint, line string").withColumn("line_block", F.floor(F.col("line_no") / 6)), year)
 
 
 def file(path, *lines):
@@ -72,7 +72,7 @@ def test_file_ranges(spark):
     assert got["a"][3] == "start after end" and got["b"][3] == "no time range" and got["e"][3] == "no time range"
     assert got["c"] == (datetime(2024, 1, 5, 10), datetime(2024, 1, 6, 10), 21, None)
     assert got["d"] == (datetime(2024, 12, 31, 23), datetime(2025, 1, 1, 1), 2, None)
-    moved = rows(files.lines_of(lines, files.valid_files(found)).filter(F.col("file_path") == d), "line_pos", "timestamp", "node_name")
+    moved = rows(files.lines_of(lines, files.valid_files(found)).filter(F.col("file_path") == d), "line_no", "timestamp", "node_name")
     assert moved == [(0, datetime(2024, 12, 31, 23), "yb-a-n1"), (1, datetime(2025, 1, 1, 1), "yb-a-n1")]
     assert rows(files.bundle_counts(found)) == [(2, 1, 1)]
     assert rows(files.bundle_members(found)) == [("yb-a-n1", "yb-tserver")]
@@ -88,6 +88,13 @@ def test_pruning_by_overlap(spark):
     assert rows(files.prune_files(table, day + "12:00:00", day + "12:00:00"), "file_path") == [("a",)]
 
 
+def test_ranges_need_no_sort_of_the_lines(spark):
+    lines = parsed(spark, file("/x/yb-a-n1/tserver.log", "I0105 10:00:00.1 x"))
+    plan = files.log_files(lines)._jdf.queryExecution().executedPlan().toString()
+    # Two hash aggregations; the only sort is over one row per block.
+    assert "SortAggregate" not in plan and plan.count("HashAggregate(") == 4 and plan.count(" Sort ") <= 1
+
+
 def test_a_time_filter_parses_each_line_once(spark):
     lines = parsed(spark, file("/x/yb-a-n1/tserver.log", "I0105 10:00:00.1 x")).filter("timestamp between '2024-01-01' and '2024-02-01'")
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
@@ -109,7 +116,7 @@ def test_text_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     by_name = {}
-    for r in sorted(got, key=lambda r: r.line_pos):
+    for r in sorted(got, key=lambda r: (r.line_block, r.line_no)):
         by_name.setdefault(r.name, []).append(r.line)
     assert sorted(by_name) == ["big-tserver.log", "yb-master.log.gz", "yb-tserver.INFO.log"]
     assert by_name["yb-tserver.INFO.log"] == by_name["yb-master.log.gz"] == ["I0101 10:00:00.1 one", "I0101 10:01:00.1 café two", "three"]
@@ -174,7 +181,7 @@ def test_filters_of_a_request(spark):
     lines = spark.createDataFrame(
         [("b", f"/b/yb-a-n{n}/yb-tserver.log", i, f"I0105 10:00:0{i}.1 Unable to pick leader") for n in (1, 2) for i in range(3)]
         + [("b", "/b/yb-a-n1/postgresql.log", 0, "2024-01-05 10:00:00.1 latch already owned by")],
-        "support_bundle string, file_path string, line_pos bigint, line string")
+        "support_bundle string, file_path string, line_no bigint, line string").withColumn("line_block", F.lit(0))
     counts = lambda **k: rows(analyze_lines(lines, 2024, Request(**k)).stats, "node_name", "log_type", "pattern_name", "count")
     assert len(counts()) == 3
     assert counts(nodes=["YB-A-N2"]) == [("yb-a-n2", "yb-tserver", "Unable to pick leader", 3)]

@@ -58,6 +58,8 @@ def test_table_info(spark):
     r = tablets.table_info(df).first()
     assert (r.table_uuid, r.tot_tablet_count, r.uniq_tablet_count, r.leader_tablets, r.node_tablet_min, r.node_tablet_max) == ("u2", 4, 3, 2, 2, 2)
     assert (r.sst_tot_bytes, r.wal_tot_bytes, r.sst_rf1_human, r.tot_human) == (40, 4, "30.0B", "44.0B")
+    ordered = df.withColumn("pos", F.expr("if(table_uuid = 'u1', 2, 1)").cast("bigint"))
+    assert tablets.table_info(ordered, file="node_uuid", pos="pos").first().table_uuid == "u1"
 
 
 def zones_by_hand(replicas, servers):
