@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Where a label stands; of each group the first pattern that captures something counts.
+BEFORE_LONG_TIME = (r"([^\s]+\s+[^\s]+)\s+took a long time", r"([^\s]+)\s+took a long time")
+BEFORE_LONG = (r"([^\s]+\s+[^\s]+)\s+took a long", r"([^\s]+)\s+took a long")
+AFTER_SPENT = (r"Time spent\s+([^\s]+\s+[^\s]+)", r"Time spent\s+([^\s]+)")
+
+
 def _captured(message: Column, *patterns: str) -> Column:
     """First pattern with a non-empty capture."""
     return F.trim(F.coalesce(*[F.nullif(F.regexp_extract(message, p, 1), F.lit("")) for p in patterns]))
@@ -22,12 +28,9 @@ def operation_label(message: Column) -> Column:
     """Up to two words before 'took a long [time]', else up to two after a leading 'Time spent'."""
     with_time = message.contains("took a long time")
     return F.coalesce(
-        F.when(with_time, _captured(
-            message, r"([^\s]+\s+[^\s]+)\s+took a long time", r"([^\s]+)\s+took a long time")),
-        F.when(message.contains("took a long") & ~with_time, _captured(
-            message, r"([^\s]+\s+[^\s]+)\s+took a long", r"([^\s]+)\s+took a long")),
-        F.when(message.startswith("Time spent"), _captured(
-            message, r"Time spent\s+([^\s]+\s+[^\s]+)", r"Time spent\s+([^\s]+)")),
+        F.when(with_time, _captured(message, *BEFORE_LONG_TIME)),
+        F.when(message.contains("took a long") & ~with_time, _captured(message, *BEFORE_LONG)),
+        F.when(message.startswith("Time spent"), _captured(message, *AFTER_SPENT)),
     )
 
 

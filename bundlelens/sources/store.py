@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-REPORT_SCHEMA = "id string, support_bundle_name string, json_report string, created_at timestamp_ntz, created_date date"
+from bundlelens.schemas import BUNDLE_FLAGS, BUNDLE_HEADER, NODE_INVENTORY, REPORTS
+
 TABLET_TABLES = ("cluster", "tablets", "tableinfo", "region_zone_tablets")
 
 
@@ -51,7 +52,7 @@ def _deleted(spark: SparkSession, root: str) -> DataFrame | None:
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
     """Stored reports that were not deleted."""
-    rows = spark.read.schema(REPORT_SCHEMA).parquet(f"{root}/reports").drop("created_date")
+    rows = spark.read.schema(REPORTS).parquet(f"{root}/reports").drop("created_date")
     gone = _deleted(spark, root)
     return rows if gone is None else rows.join(gone.distinct(), "id", "left_anti")
 
@@ -70,6 +71,12 @@ def compact_reports(spark: SparkSession, root: str, target: str, partition: str
     _write_dated(_dated(read_reports(spark, root), partition), f"{target}/reports", "overwrite")
 
 
+def read_catalogue(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bundle headers, flags and node inventory stored next to the reports."""
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{root}/{name}")
+    return read("headers", BUNDLE_HEADER), read("flags", BUNDLE_FLAGS), read("nodes", NODE_INVENTORY)
+
+
 def save_documents(documents: DataFrame, path: str) -> None:
     """Report documents as JSON lines; missing folders are made."""
     documents.write.mode("overwrite").json(path)
