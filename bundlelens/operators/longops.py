@@ -20,11 +20,15 @@ LEGACY = (
 
 
 def labelled_operations(logs: DataFrame) -> DataFrame:
-    """Messages about long operations with ``extracted_label`` and ``op_value``."""
+    """Messages about long operations with ``extracted_label`` and ``op_value``.
+
+    The label leaves through a generator, so that the filter on it does not
+    extract it a second time.
+    """
     message, first, second = F.col("message"), F.col("long_op_value"), F.col("timing_real_value")
     return (
         logs.filter(is_candidate(message, first, second))
-        .withColumn("extracted_label", operation_label(message))
+        .select("*", F.explode(F.array(operation_label(message))).alias("extracted_label"))
         .withColumn("op_value", F.coalesce(first, second))
         .filter(F.length(F.trim("extracted_label")) > 0)
     )

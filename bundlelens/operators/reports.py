@@ -126,10 +126,6 @@ def _newest(rows: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _as_lists(rows: DataFrame, key: str, name: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.collect_list(F.struct(*_REPORT)).alias(name))
-
-
 def _newest_first(items: Column) -> Column:
     """Newest first, ties by smallest id."""
     return F.array_sort(items, lambda a, b: F.when(a["created_at"] > b["created_at"], -1)
@@ -137,6 +133,11 @@ def _newest_first(items: Column) -> Column:
                         .when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
 
 
+def _as_lists(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The few rows of each key as an array, newest first."""
+    return rows.groupBy(key).agg(_newest_first(F.collect_list(F.struct(*_REPORT))).alias(name))
+
+
 def _headed(reports: DataFrame, header: DataFrame) -> DataFrame:
     """Reports that have a header, with it."""
     head = header.select(F.col("support_bundle").alias("support_bundle_name"), *HEADER)
@@ -163,8 +164,8 @@ def _listed(rows: DataFrame) -> DataFrame:
     )
 
 
-def _top(items: Column) -> Column:
-    return F.slice(_newest_first(items), 1, RELATED_LIMIT)
+def _top(ordered: Column) -> Column:
+    return F.slice(ordered, 1, RELATED_LIMIT)
 
 
 def related_reports(reports: DataFrame, header: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
@@ -206,7 +207,7 @@ def cluster_or_organization(reports: DataFrame, header: DataFrame, anchors: Data
     none = F.coalesce(F.slice("in_cluster", 1, 0), F.slice("in_org", 1, 0))
     either = F.array_distinct(F.concat(F.coalesce("in_cluster", none), F.coalesce("in_org", none)))
     others = F.filter(either, lambda r: r["id"] != F.col("anchor_id"))
-    return _listed(rows.select("anchor_id", F.lit("either").alias("relation"), _top(others).alias("items")))
+    return _listed(rows.select("anchor_id", F.lit("either").alias("relation"), _top(_newest_first(others)).alias("items")))
 
 
 # ---- node inventory -------------------------------------------------------

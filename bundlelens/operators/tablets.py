@@ -90,13 +90,9 @@ def server_zones(tservers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def zoned_tablets(tablets: DataFrame, tservers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Replicas per (zone, tablet) with the servers that hold them.
-
-    Replicas are counted per server and tablet before they meet their zone.
-    Servers the cluster does not list are left out.
-    """
-    per_server = live_replicas(tablets).groupBy(*by, "node_uuid", "tablet_uuid").agg(F.count("*").alias("n"))
-    return per_server.join(server_zones(tservers, by), [*by, "node_uuid"])
+    """Live replicas with the zone of their server; servers the cluster does not list are left out."""
+    replicas = live_replicas(tablets).select(*by, "node_uuid", "tablet_uuid")
+    return replicas.join(server_zones(tservers, by), [*by, "node_uuid"])
 
 
 def zone_replicas(tablets: DataFrame, tservers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -107,7 +103,7 @@ def zone_replicas(tablets: DataFrame, tservers: DataFrame, by: Sequence[str] = (
     """
     zone = [*by, "region", "zone"]
     spread = (
-        zoned_tablets(tablets, tservers, by).groupBy(*zone, "tablet_uuid").agg(F.sum("n").alias("replica_count"))
+        zoned_tablets(tablets, tservers, by).groupBy(*zone, "tablet_uuid").agg(F.count("*").alias("replica_count"))
         .groupBy(*zone, "replica_count").agg(F.count("*").alias("tablets"))
     )
     # From here on there is one row per zone and replica count.

@@ -57,7 +57,7 @@ def live_replicas(v):
     return tablets.live_replicas(v.ts_tablet()).select("node_uuid", "tablet_uuid", "status", "sst_size", "wal_size")
 
 
-@query("zoned_tablets", _LIVE + "SELECT region, zone, node_uuid, tablet_uuid, count(*) AS n FROM zoned GROUP BY ALL")
+@query("zoned_tablets", _LIVE + "SELECT region, zone, node_uuid, tablet_uuid FROM zoned")
 def zoned_tablets(v):
     """J8"""
     return tablets.zoned_tablets(v.ts_tablet(), v.ts_cluster())
