@@ -26,6 +26,10 @@ _INSIDE = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 
 PG_LOG_TYPE = "postgres"
 
+# Up to this many patterns the tests are compiled into the stage's one method. A
+# larger method would not be optimised by the JVM any more, or not compile at all.
+COMPILED_PATTERNS = 40
+
 
 def required_text(regex: str) -> str | None:
     """A lower-case ASCII text that every match must contain, or None.
@@ -50,7 +54,10 @@ def required_text(regex: str) -> str | None:
                 return None
             literal, i = "", end + 1
         elif char == "{":
-            return max(runs, key=len).lower() or None
+            count = re.match(r"\{\d*,?\d*\}", regex[i:])
+            if not count:
+                return None
+            literal, i = "", i + count.end()
         else:
             literal = char if char not in ".^$*+?|()" else ""
             if char == "|" and depth == 0:
@@ -70,9 +77,12 @@ def required_text(regex: str) -> str | None:
     return max(runs, key=len).lower() or None
 
 
-def folded(message: Column) -> Column:
-    """Lower case, with the one non-ASCII letter that folds to ASCII and survives ``lower``."""
-    return F.replace(F.lower(message), F.lit("ſ"), F.lit("s"))
+def folded(message: Column, classes: str = "ascii") -> Column:
+    """Lower case, with the other letters that fold to ASCII ones in the regex dialect."""
+    text = F.replace(F.lower(message), F.lit("ſ"), F.lit("s"))
+    if classes == "unicode":
+        text = F.replace(F.replace(text, F.lit("ı"), F.lit("i")), F.lit("i\u0307"), F.lit("i"))
+    return text
 
 
 def java_regex(regex: str, classes: str = "ascii") -> str:
@@ -92,6 +102,13 @@ def matches(message: Column, lowered: Column, regex: str, classes: str = "ascii"
     return F.coalesce(test, F.lit(False))
 
 
+def _kept(ids: Column, patterns: Sequence[Pattern]) -> Column:
+    """The array without -1, compiled or, for large catalogues, evaluated expression by expression."""
+    if len(patterns) <= COMPILED_PATTERNS:
+        return F.array_remove(ids, F.lit(-1))
+    return F.filter(ids, lambda i: i >= 0)
+
+
 def _scopes(patterns: Sequence[Pattern], scope: str, log_type: str):
     """Condition and pattern positions of each pattern set."""
     everything = list(range(len(patterns)))
@@ -126,7 +143,7 @@ def match_all(
             F.when(matches(F.col(message), lowered, patterns[i].regex), F.lit(i)).otherwise(F.lit(-1))
             for i in ids
         ]
-        return F.array_remove(F.array(*tests), F.lit(-1)) if tests else F.array().cast("array<int>")
+        return _kept(F.array(*tests), patterns) if tests else F.array().cast("array<int>")
 
     parts = _scopes(patterns, scope, log_type)
     found = hits(parts[0][1])
@@ -164,10 +181,10 @@ def match_first(
         found = F.when(parts[0][0], found).otherwise(first(parts[1][1]))
     # The id leaves through a generator: a filter on it would be pushed below and
     # run the regular expressions twice.
-    hit = F.array_remove(F.array(F.coalesce(found, F.lit(-1))), F.lit(-1))
+    hit = _kept(F.array(F.coalesce(found, F.lit(-1))), patterns)
     return (
         logs.filter(F.col(message).rlike(r"\S"))
-        .withColumn("_lowered", folded(F.col(message)))
+        .withColumn("_lowered", folded(F.col(message), classes))
         .select("*", F.explode(hit).alias("pattern_id"))
         .drop("_lowered")
     )

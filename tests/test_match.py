@@ -3,7 +3,7 @@ import re
 import warnings
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from bundlelens.operators import match
@@ -69,8 +69,10 @@ def test_regex_dialect(spark, regex, message, hit):
 
 
 @given(st.lists(st.sampled_from(
-    ["a", "b", "X", ".", ".*", "a+", "b?", "(a|b)", "[ab]", "[^a]", r"\d", r"\.", "a{2}", "(?:ab)*", "|", " "]), min_size=1, max_size=7))
-@settings(max_examples=300, deadline=None)
+    ["a", "b", "X", ".", ".*", "a+", "b?", "(a|b)", "[ab]", "[^a]", r"\d", r"\.", "a{2}", "a{0,1}", "X{2,}", "(?:ab)*", "(a(b|X))", "[^]a]", "$", "^", r"\b", "|", " "]), min_size=1, max_size=7))
+@example(["a", "a{2}", "|"])
+@example(["b", "a{2}", "(a|b)", "X", "|", "b"])
+@settings(max_examples=3000, deadline=None)
 def test_required_text_is_in_every_match(parts):
     regex = "".join(parts)
     try:
@@ -81,7 +83,7 @@ def test_required_text_is_in_every_match(parts):
     if needed is None:
         return
     rng = random.Random(regex)
-    for _ in range(200):
+    for _ in range(60):
         text = "".join(rng.choice("abX.1 ") for _ in range(rng.randint(0, 8)))
         if compiled.search(text):
             assert needed in text.lower()
@@ -134,3 +136,21 @@ def test_solutions(spark):
         ("ABC", "ABC", catalog.NO_SOLUTION), ("abc.*x", "one", "do one"), ("other", "other", catalog.NO_SOLUTION),
         ("zabcz", "two", "do two")]
     assert rows(match.detected_names(keys.limit(1).union(keys.limit(1)), pats)) == [("one", "do one")]
+
+
+def test_large_catalogue_gives_the_same_hits(spark):
+    filler = [Pattern("custom", f"filler {i}", f"nothing{i}.*here") for i in range(match.COMPILED_PATTERNS)]
+    many = filler + PATTERNS
+    df = logs(spark, *[p.name for p in PATTERNS], "VoteRequest timed out Connection reset by peer", "nothing3 is here", " ")
+    small = set(match.name_patterns(match.match_all(df, PATTERNS), PATTERNS).select("i", "pattern_name").collect())
+    large = set(match.name_patterns(match.match_all(df, many), many).select("i", "pattern_name").collect())
+    assert large - small == {(len(PATTERNS) + 1, "filler 3")} and small <= large
+    for scope in ("all", "by_log_type"):
+        first = [dict(match.name_patterns(match.match_first(df, p, scope), p).select("i", "pattern_name").collect()) for p in (PATTERNS, many)]
+        assert first[0].items() <= first[1].items() and set(first[1]) - set(first[0]) == {len(PATTERNS) + 1}
+
+
+@pytest.mark.parametrize("message", ["SOFT MEMORY LİMIT EXCEEDED", "soft memory lımıt exceeded", "ſoft memory limit exceeded"])
+def test_raw_lines_fold_like_their_engine(spark, message):
+    assert re.search("soft memory limit", message, re.IGNORECASE)
+    assert names(match.match_first(logs(spark, message), PATTERNS)) == ["Soft memory limit exceeded"]
