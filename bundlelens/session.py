@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +32,10 @@ def build_session(app: str = "bundlelens", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a local session without that setting falls back to the machine's own
-    temporary folder: on a cluster other executors could not see it.
+    Without that setting it lies below the session's warehouse, which executors share too.
+    The caller removes it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="bundlelens-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
