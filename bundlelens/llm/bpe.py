@@ -8,6 +8,7 @@ import json
 import os
 from array import array
 
+import numpy as np
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 from bundlelens.llm.common import annotate, col
 from bundlelens.llm.lexicon import Lexicon, compile_lexicon
 
-LEXICON_WORDS = 50_000
-CACHE_WORDS = 100_000
+LEXICON_WORDS = 100_000
+CACHE_WORDS = 200_000
 """Chunks of text whose ids a worker keeps; then it starts afresh."""
+SHORT_WORD = 48
+"""Bytes up to which a scan of all pairs is the faster way to merge a word."""
 LONG_CHUNK = 256
 """Longer chunks are encoded each time rather than kept."""
 FIRST_UNSURE = 0x250
@@ -35,6 +38,48 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
+class PairTable:
+    """Ranks of pairs of ids and what they merge to, found by hash for whole arrays of pairs."""
+
+    def __init__(self, merges):
+        left, right, result = (np.array(x, np.int64) for x in zip(*merges))
+        self.never = len(merges)
+        keys = left << 20 | right
+        self.bits = max(4, int(len(merges)).bit_length() + 1)
+        self.steps = 1
+        home = self._home(keys)
+        size = 1 << self.bits
+        self.key = np.full(size, -1, np.int64)
+        self.rank = np.full(size + 1, self.never, np.int64)
+        self.result = np.full(size + 1, -1, np.int64)
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), home.tolist())):
+            tried = 1
+            while self.key[slot] >= 0:
+                slot, tried = (slot + 1) % size, tried + 1
+            self.key[slot], self.rank[slot], self.result[slot] = key, rank, result[rank]
+            self.steps = max(self.steps, tried)
+
+    def _home(self, keys):
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def slots(self, left, right) -> np.ndarray:
+        """The slot of each pair; the last, empty one for pairs that don't merge (an id of -1 merges with nothing)."""
+        keys = (left << 20 | right).ravel()
+        found = np.full(len(keys), len(self.key))
+        open_ = np.flatnonzero((left.ravel() >= 0) & (right.ravel() >= 0))
+        slot = self._home(keys[open_])
+        for _ in range(self.steps):
+            held = self.key[slot]
+            hit = held == keys[open_]
+            found[open_[hit]] = slot[hit]
+            on = ~hit & (held >= 0)
+            open_, slot = open_[on], (slot[on] + 1) & (len(self.key) - 1)
+            if not len(open_):
+                break
+        return found.reshape(left.shape)
+
+
 class WordTokenizer:
     """Encodes and decodes texts exactly as the tokenizer file says: lower-case words with word ends.
 
@@ -64,22 +109,48 @@ class WordTokenizer:
             "pre_tokenizer": parsed["pre_tokenizer"]["pretokenizers"][0]}))
         self.normalizer, self.pre_tokenizer = bare.normalizer, bare.pre_tokenizer
         self.lexicon = lexicon
-        self.chunks: dict[str, bytes] = {}
-        self.decoded: dict[bytes, str] = {}
+        self.chunks: dict = {}
+        self.letter_ids = np.array([self.vocab.get(c, -1) for c in self.alphabet])
+        self.last_ids = np.array([self.vocab.get(c + self.suffix, -1) for c in self.alphabet])
+        if min(self.letter_ids.min(), self.last_ids.min()) < 0:
+            raise ValueError("the vocabulary lacks some byte")
+        self.pairs = PairTable([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in self.ranks])
 
     def words(self, chunk: str) -> list[str]:
         """The words of a piece of text without white space."""
         if max(chunk) < chr(FIRST_UNSURE):
-            return self.splitter.findall(chunk.lower())  # every text below that point is composed already
+            low = chunk.lower()
+            if low.isalpha():
+                return [low]
+            if chunk[-1] in ".,;:!?" and low[:-1].isalpha():
+                return [low[:-1], chunk[-1]]
+            return self.splitter.findall(low)  # every text below that point is composed already
         return [word for word, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
 
     def merge(self, word: str) -> list[int]:
-        """The ids of a word by applying its merges in the order of their ranks.
-
-        Candidates wait in a heap and parts in a linked list, so a long word takes n log n steps.
-        """
+        """The ids of a word by applying its merges in the order of their ranks, the leftmost of equal ones first."""
         parts = [self.alphabet[b] for b in word.encode()]
         parts[-1] += self.suffix
+        return self._merge_long(parts) if len(parts) > SHORT_WORD else self._merge_short(parts)
+
+    def _merge_short(self, parts: list[str]) -> list[int]:
+        rank, never = self.ranks.get, len(self.ranks)
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == never:
+                break
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), never)
+        return [self.vocab[p] for p in parts]
+
+    def _merge_long(self, parts: list[str]) -> list[int]:
+        """Candidates wait in a heap and parts in a linked list, so a long word takes n log n steps."""
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks = self.ranks
@@ -100,34 +171,84 @@ class WordTokenizer:
                 heapq.heappush(heap, (rank, h, parts[h], parts[i]))
         return [self.vocab[p] for p in parts if p]
 
-    def word_ids(self, word: str) -> bytes:
-        found = self.lexicon.get(word.encode()) if self.lexicon else None
-        return array("I", self.merge(word)).tobytes() if found is None else found
-
-    def chunk_ids(self, chunk: str) -> bytes:
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            ids = b"".join([self.word_ids(word) for word in self.words(chunk)])
-            if len(chunk) <= LONG_CHUNK:
-                if len(self.chunks) >= CACHE_WORDS:
-                    self.chunks.clear()
-                self.chunks[chunk] = ids
-        return ids
+    def _merge_many(self, words: list[str]) -> list[bytes]:
+        """The ids of words of up to ``SHORT_WORD`` bytes, merged side by side: one merge per word and round."""
+        out: list = [b""] * len(words)
+        data = [w.encode() for w in words]
+        for width in range(8, SHORT_WORD + 1, 8):
+            chosen = [i for i, d in enumerate(data) if width - 8 < len(d) <= width]
+            if not chosen:
+                continue
+            sizes = np.fromiter((len(data[i]) for i in chosen), np.int64, len(chosen))
+            letters = np.array([data[i] for i in chosen], f"S{width}").view(np.uint8).reshape(len(chosen), width)
+            parts = np.where(np.arange(width) < sizes[:, None], self.letter_ids[letters], -1)
+            rows = np.arange(len(chosen))
+            parts[rows, sizes - 1] = self.last_ids[letters[rows, sizes - 1]]
+            done = parts.copy()
+            active = rows
+            while len(active):
+                slots = self.pairs.slots(parts[:, :-1], parts[:, 1:])
+                ranks = self.pairs.rank[slots]
+                at = ranks.argmin(axis=1)
+                best = np.arange(len(active))
+                merged = ranks[best, at] < self.pairs.never
+                done[active[~merged]] = parts[~merged]
+                active, parts, at, slots = active[merged], parts[merged], at[merged], slots[merged]
+                if not len(active):
+                    break
+                best = np.arange(len(active))
+                parts[best, at] = self.pairs.result[slots[best, at]]
+                take = np.arange(width) + (np.arange(width) > at[:, None])
+                parts = np.concatenate([parts, np.full((len(parts), 1), -1)], axis=1)[best[:, None], take]
+            counts = (done >= 0).sum(axis=1)
+            packed = done.astype("<u4")
+            for i, row, n in zip(chosen, packed, counts.tolist()):
+                out[i] = row[:n].tobytes()
+        return out
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks: words of the lexicon from the transducer, others by merging.
+
+        Chunks of lexicon words are kept for later texts; the others are mostly met once.
+        """
+        words = [self.words(chunk) for chunk in chunks]
+        distinct = list({w for ws in words for w in ws})
+        known = self.lexicon.find([w.encode() for w in distinct]) if self.lexicon else [None] * len(distinct)
+        ids = {w: k for w, k in zip(distinct, known) if k is not None}
+        unseen = [w for w, k in zip(distinct, known) if k is None]
+        short = [w for w in unseen if len(w.encode()) <= SHORT_WORD and "\0" not in w]
+        frequent = set(ids)
+        ids.update(zip(short, self._merge_many(short)))
+        for w in unseen:
+            if w not in ids:
+                ids[w] = array("I", self.merge(w)).tobytes()
+        found = {c: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for c, ws in zip(chunks, words)}
+        keep = {c: found[c] for c, ws in zip(chunks, words) if len(c) <= LONG_CHUNK and frequent.issuperset(ws)}
+        if len(self.chunks) + len(keep) > CACHE_WORDS:
+            self.chunks.clear()
+        self.chunks.update(keep)
+        return found
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        if self.special and any(token in text for token in self.added):
-            return b"".join([
-                array("I", [self.added[part]]).tobytes() if part in self.added else self._encode_plain(part)
-                for part in self.special.split(text)])
-        return self._encode_plain(text)
-
-    def _encode_plain(self, text: str) -> bytes:
-        chunks = WHITE.split(text) if any(c in text for c in PYTHON_ONLY_SPACE) else text.split()
-        kept = self.chunks.get
-        return b"".join([kept(c) or (self.chunk_ids(c) if c else b"") for c in chunks])
+        return self.encode_all([text])[0]
+
+    def _plain(self, text: str) -> list[str]:
+        return list(filter(None, WHITE.split(text))) if any(c in text for c in PYTHON_ONLY_SPACE) else text.split()
+
+    def encode_all(self, texts) -> list[bytes]:
+        """The ids of each text. Chunks that are new are learnt together, then the texts are put together from chunks."""
+        split, special, chunks = [], {i: array("I", [i]).tobytes() for i in self.added.values()}, set()
+        for text in texts:
+            if text and self.special and any(token in text for token in self.added):
+                parts = [[self.added[p]] if p in self.added else self._plain(p) for p in self.special.split(text)]
+                split.append([c for part in parts for c in part])
+            else:
+                split.append(self._plain(text) if text else [])
+            chunks.update(split[-1])
+        ids = {c: k for c in chunks if (k := self.chunks.get(c)) is not None} | special
+        ids.update(self.learn(list(chunks - ids.keys())))
+        return [b"".join(map(ids.__getitem__, one)) for one in split]
 
     def decode(self, ids: bytes) -> str:
         """The tokens of packed ids, joined by single spaces; ids beyond the vocabulary are left out."""
@@ -149,8 +270,8 @@ def build_lexicon(docs: DataFrame, spec: str, size: int = LEXICON_WORDS, text: s
     """
     top = word_counts(docs, text).filter(F.length("word") <= LONG_CHUNK).orderBy(F.desc("count"), "word").limit(size).collect()
     tokenizer = WordTokenizer(spec)
-    words = {word for row in top for word in tokenizer.words(row["word"])}
-    return compile_lexicon({word.encode(): tokenizer.merge(word) for word in words})
+    words = sorted({word for row in top for word in tokenizer.words(row["word"])})
+    return compile_lexicon({word.encode(): ids for word, ids in tokenizer.learn(words).items()})
 
 
 def ship(spark: SparkSession, content: bytes, label: str) -> str:
@@ -203,7 +324,7 @@ def encode(docs: DataFrame, spec_path: str, text: str = "text", lexicon_words: i
         tokenizer = _tokenizer(*names)
 
         def step(texts):
-            ids = [tokenizer.encode(t) for t in texts]
+            ids = tokenizer.encode_all(texts)
             out = [ids, [len(i) // 4 for i in ids]]
             return out + [[tokenizer.decode(i) for i in ids]] if decoded else out
         return step

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 from pyspark import SparkFiles
@@ -17,38 +16,70 @@ from bundlelens.llm.crf import Adam, packed, posteriors
 
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-BUCKETS = 1 << 16
-SAMPLE_ROWS = 400
+BITS = 16
+BUCKETS = 1 << BITS
+BASE, SALT, MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+"""Odd numbers that hash the letters of a feature."""
+SAMPLE_ROWS = 200
 """Labelled rows per language that the model is fitted on."""
-SAMPLE_CHARS = 4_000
+SAMPLE_CHARS = 1_500
 """Characters of a sampled row, from a place in its text that depends on its hash."""
 MAX_LANGUAGES = 64
 """Languages that the model learns: those with the most labelled rows."""
 SPLICE = 25
 """Words after which the training chains switch to another sampled row, so that transitions are learned."""
-STEPS = 40
+STEPS = 30
 LEXICON_COUNT = 4
 WORDS_AT_ONCE = 400_000
+WORDS_SCORED = 20_000
 CACHE_WORDS = 200_000
-LONG_WORD = 64
-"""Of longer words the features look at the first and last half of this many letters."""
+LONG_WORD = 24
+"""Of longer words the features see the first and last half of so many letters."""
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word in lower case: itself, affixes of up to 4 letters, letter pairs and triples."""
-    if len(word) > LONG_WORD:
-        word = word[:LONG_WORD // 2] + "\0" + word[-LONG_WORD // 2:]
-    edged = f"^{word}$"
-    names = {"w" + word}
-    names.update("p" + word[:n] for n in range(1, 5))
-    names.update("s" + word[-n:] for n in range(1, 5))
-    names.update("g" + edged[i:i + n] for n in (2, 3) for i in range(len(edged) - n + 1))
-    return [zlib.crc32(name.encode()) % BUCKETS for name in names]
+def features(words) -> np.ndarray:
+    """Hashed features of words in lower case, one row each: the word, its affixes of up to 4 letters, letter pairs and triples.
 
-
-def _flat(lists):
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for one in lists for i in one), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+    Rows are as wide as the longest word needs; unused places hold bucket 0, which weighs nothing.
+    """
+    edged = np.array([f"^{w}$" if len(w) <= LONG_WORD else f"^{w[:LONG_WORD // 2]}\0{w[-LONG_WORD // 2:]}$" for w in words])
+    sizes = np.char.str_len(edged)
+    letters = edged.view(np.uint32).reshape(len(edged), -1).astype(np.uint64)
+    n, width = letters.shape
+    columns = []
+
+    def bucket(hashes, used=None):
+        mixed = (hashes * MIX) >> np.uint64(64 - BITS)
+        columns.append(mixed if used is None else np.where(used, mixed, np.uint64(0)))
+
+    with np.errstate(over="ignore"):
+        rolled, whole = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for i in range(width):
+            whole = np.where(i < sizes, whole * BASE + letters[:, i], whole)
+            if 1 <= i <= 4:
+                rolled = rolled * BASE + letters[:, i]
+                bucket(rolled + np.uint64(i) * SALT, i < sizes - 1)
+        bucket(whole + np.uint64(9) * SALT)
+        ends, rows = np.zeros(n, np.uint64), np.arange(n)
+        for i in range(1, 5):
+            ends = ends * BASE + letters[rows, np.maximum(sizes - 1 - i, 0)]
+            bucket(ends + np.uint64(4 + i) * SALT, i < sizes - 1)
+        for gram in (2, 3):
+            hashes = letters[:, :width - gram + 1]
+            for k in range(1, gram):
+                hashes = hashes * BASE + letters[:, k:width - gram + 1 + k]
+            used = np.arange(width - gram + 1) + gram <= sizes[:, None]
+            for i in range(hashes.shape[1]):
+                bucket(hashes[:, i] + np.uint64(8 + gram) * SALT, used[:, i])
+    return np.stack(columns, axis=1).astype(np.int64)
+
+
+def _summed(weights, buckets) -> np.ndarray:
+    """The sum of the weights of each row's features."""
+    total = np.zeros((len(buckets), weights.shape[1]))
+    for i in range(buckets.shape[1]):
+        total += weights[buckets[:, i]]
+    return total
 
 
 def sample(docs: DataFrame, labelled, text: str, lang: str, key: str, rows: int, chars: int):
@@ -91,13 +122,13 @@ def fit(rows) -> bytes:
     types = {w: i for i, w in enumerate(dict.fromkeys(words))}
     x = np.fromiter((types[w] for w in words), np.int64, len(words))
     names = list(types)
-    flat, starts = _flat([features(w) for w in names])
+    buckets = features(names)
+    used = buckets != 0
+    flat, owner = buckets[used], np.nonzero(used)[0]
     counts = np.zeros((len(names), len(labels)))
     np.add.at(counts, (x, y), 1)
     lexicon = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * len(labels)))
     lexicon[counts.sum(axis=1) < LEXICON_COUNT] = 0
-    sizes = np.diff(np.append(starts, len(flat)))
-    owner = np.repeat(np.arange(len(names)), sizes)
 
     n = len(labels)
     weights, transitions, trust = np.zeros((BUCKETS, n)), np.zeros((n, n)), np.zeros(1)
@@ -110,7 +141,7 @@ def fit(rows) -> bytes:
     seen = np.zeros((n, n))
     np.add.at(seen, (y[at - 1], y[at]), 1)
     for _ in range(STEPS):
-        by_type = np.add.reduceat(weights[flat], starts, axis=0) + trust * lexicon
+        by_type = _summed(weights, buckets) + trust * lexicon
         expected, edges = posteriors(by_type[x], lengths, transitions, pairs=True)
         gap = np.stack([np.bincount(x, expected[:, k] - truth[:, k], len(names)) for k in range(n)], axis=1)
         spread = np.stack([np.bincount(flat, gap[owner, k], BUCKETS) for k in range(n)], axis=1)
@@ -137,28 +168,29 @@ class Labeller:
         self.new: list[str] = []
         self.table = np.zeros((0, len(self.labels)))
 
-    def _index(self, words):
+    def _index(self, words) -> np.ndarray:
+        """The place of each word in the table of scores; words without a letter are left out."""
         types = self.types
-        out = []
-        for w in words:
-            i = types.get(w)
-            if i is None:
-                if any(map(str.isalpha, w)):
-                    i = types[w] = len(self.table) + len(self.new)
-                    self.new.append(w)
-                else:
-                    i = types[w] = -1
-            out.append(i)
-        return out
+        for w in set(words) - types.keys():
+            if any(map(str.isalpha, w)):
+                types[w] = len(self.table) + len(self.new)
+                self.new.append(w)
+            else:
+                types[w] = -1
+        index = np.fromiter(map(types.__getitem__, words), np.int64, len(words))
+        return index[index >= 0]
 
     def _score(self):
         if self.new:
-            flat, starts = _flat([features(w) for w in self.new])
-            rows = np.add.reduceat(self.weights[flat], starts, axis=0).astype(float)
-            for i, w in enumerate(self.new):
-                if (more := self.lexicon.get(w)) is not None:
-                    rows[i] += more
-            self.table = np.concatenate([self.table, rows])
+            parts = [self.table]
+            for at in range(0, len(self.new), WORDS_SCORED):
+                words = self.new[at:at + WORDS_SCORED]
+                rows = _summed(self.weights, features(words))
+                for i, w in enumerate(words):
+                    if (more := self.lexicon.get(w)) is not None:
+                        rows[i] += more
+                parts.append(rows)
+            self.table = np.concatenate(parts)
             self.new = []
 
     def predict(self, texts) -> tuple[list[str], list[float]]:
@@ -181,8 +213,7 @@ class Labeller:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            index = np.array(self._index(WORDS.findall(text.lower())), np.int64)
-            index = index[index >= 0]
+            index = self._index(WORDS.findall(text.lower()))
             if len(index):
                 held.append(index)
                 which.append(i)

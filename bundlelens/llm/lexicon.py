@@ -12,6 +12,8 @@ import mmap
 import numpy as np
 
 ALIGN = 8
+WIDEST = 48
+"""Bytes of the longest word that a lexicon holds."""
 
 
 def _automaton(words: list[bytes]):
@@ -55,9 +57,9 @@ def _automaton(words: list[bytes]):
     return arcs, final
 
 
-def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
-    """The file for a dictionary of words and id sequences."""
-    words = sorted(entries)
+def compile_lexicon(entries: dict[bytes, bytes]) -> bytes:
+    """The file for a dictionary of words and their ids (32-bit numbers, packed); words over ``WIDEST`` bytes or with zero bytes are left out."""
+    words = sorted(w for w in entries if 0 < len(w) <= WIDEST and 0 not in w)
     arcs, final = _automaton(words)
     order, seen, stack = [], {0}, [(0, iter(arcs[0].values()))]
     while stack:  # children before parents, without recursion
@@ -73,21 +75,20 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     for state in order:
         count[state] = int(final[state]) + sum(count[c] for c in arcs[state].values())
     number = {state: i for i, state in enumerate(reversed(order))}
-    first, labels, targets, outputs, finals = [0], [], [], [], []
+    labels, targets, outputs, finals = [], [], [], []
     for state in reversed(order):
         output = int(final[state])
         finals.append(final[state])
         for byte, child in sorted(arcs[state].items()):
-            labels.append(byte)
+            labels.append(number[state] << 8 | byte)
             targets.append(number[child])
             outputs.append(output)
             output += count[child]
-        first.append(len(labels))
-    offsets = np.cumsum([0] + [len(entries[w]) for w in words])
+    offsets = np.cumsum([0] + [len(entries[w]) // 4 for w in words])
     parts = {
-        "first": np.array(first, "<u4"), "labels": np.array(labels, "u1"), "targets": np.array(targets, "<u4"),
+        "labels": np.array(labels, "<u8"), "targets": np.array(targets, "<u4"),
         "outputs": np.array(outputs, "<u4"), "finals": np.array(finals, "u1"), "offsets": offsets.astype("<u4"),
-        "ids": np.array([i for w in words for i in entries[w]], "<u4"),
+        "ids": np.frombuffer(b"".join(entries[w] for w in words), "<u4"),
     }
     index, body = {}, b""
     for name, values in parts.items():
@@ -100,7 +101,7 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled file, mapped into memory."""
+    """A compiled file, mapped into memory. Arcs are sorted by their state and byte."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
@@ -112,16 +113,32 @@ class Lexicon:
     def __len__(self):
         return len(self.offsets) - 1
 
-    def get(self, word: bytes) -> bytes | None:
-        """The ids of a word as little-endian 32-bit numbers; None if the lexicon doesn't hold it."""
-        state = place = 0
-        for byte in word:
-            low, high = int(self.first[state]), int(self.first[state + 1])
-            at = low + int(np.searchsorted(self.labels[low:high], byte))
-            if at == high or self.labels[at] != byte:
-                return None
-            place += int(self.outputs[at])
-            state = int(self.targets[at])
-        if not self.finals[state]:
-            return None
-        return self.ids[self.offsets[place]:self.offsets[place + 1]].tobytes()
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word in the table of ids, or -1. All words walk the automaton side by side."""
+        found = np.full(len(words), -1, np.int64)
+        if not words or not len(self):
+            return found
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        active = np.flatnonzero(sizes <= WIDEST)
+        letters = np.array([words[i] for i in active.tolist()], f"S{WIDEST}").view(np.uint8).reshape(len(active), WIDEST)
+        state, place, step = np.zeros(len(active), np.int64), np.zeros(len(active), np.int64), 0
+        while len(active):
+            done = sizes[active] == step
+            if done.any():
+                ended = done & (self.finals[state] == 1)
+                found[active[ended]] = place[ended]
+                active, state, place, letters = active[~done], state[~done], place[~done], letters[~done]
+                if not len(active):
+                    break
+            keys = ((state << 8) | letters[:, step]).astype(np.uint64)
+            at = np.minimum(np.searchsorted(self.labels, keys), len(self.labels) - 1)
+            on = self.labels[at] == keys
+            at, active, letters = at[on], active[on], letters[on]
+            state, place = self.targets[at].astype(np.int64), place[on] + self.outputs[at]
+            step += 1
+        return found
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as little-endian 32-bit numbers; None for words that the lexicon doesn't hold."""
+        ids, offsets = self.ids, self.offsets.tolist()
+        return [ids[offsets[p]:offsets[p + 1]].tobytes() if p >= 0 else None for p in self.places(words).tolist()]

@@ -20,7 +20,10 @@ SAMPLE_ROWS = 8_000
 """Rated documents that the model is fitted on: those with the smallest hashes."""
 SAMPLE_FEATURES = 4_000
 """Features of a rated document that the fit takes, by hash; scoring takes all."""
+LEAST_EVIDENCE = 40.0
+"""Features whose chi-square against the grades is smaller get no weight: rare words that fit the sample by chance."""
 STEPS = 150
+DECAY = 1e-4
 CACHE_WORDS = 300_000
 LONG_WORD = 64
 ODD = re.compile(r"[^\w\s.,;:'’-]")
@@ -64,6 +67,18 @@ def features(text: str | None, tokens: Tokens) -> list[int]:
     return sorted(found)
 
 
+def evidence(grade, flat, sizes) -> np.ndarray:
+    """The chi-square of each feature's presence against the grades."""
+    seen = np.bincount(flat, minlength=BUCKETS).astype(float)
+    total = np.zeros(BUCKETS)
+    for g in range(GRADES):
+        share = (grade == g).mean()
+        if share:
+            count = np.bincount(flat, np.repeat(grade == g, sizes).astype(float), BUCKETS)
+            total += (count - seen * share) ** 2 / np.maximum(seen * share, 1e-9)
+    return total
+
+
 def fit(rows, steps: int = STEPS) -> bytes:
     """The model for (grade, features) rows: P(grade > k) = sigmoid(weights of the features - threshold k).
 
@@ -78,6 +93,7 @@ def fit(rows, steps: int = STEPS) -> bytes:
     sizes = np.array([len(f) for _, f in rows])
     flat = np.concatenate([np.asarray(f, np.int64) for _, f in rows])
     starts = np.cumsum(sizes) - sizes
+    common = evidence(grade, flat, sizes) >= LEAST_EVIDENCE
     above = np.stack([grade > k for k in range(GRADES - 1)], axis=1).astype(float)
     step = Adam([weights, theta], 0.03)
     for _ in range(steps):
@@ -96,7 +112,7 @@ def fit(rows, steps: int = STEPS) -> bytes:
         for k in range(GRADES - 1):
             by_threshold[k] = (into[grade == k + 1].sum() - out[grade == k].sum()) / len(grade)
         by_theta = np.array([by_threshold.sum()] + [by_threshold[k:].sum() * math.exp(theta[k]) for k in range(1, GRADES - 1)])
-        step([np.bincount(flat, np.repeat(by_score, sizes), BUCKETS) + 1e-5 * weights, by_theta])
+        step([common * np.bincount(flat, np.repeat(by_score, sizes), BUCKETS) + DECAY * weights, by_theta])
     thresholds = np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
     return packed(weights=weights.astype("f4"), thresholds=thresholds)
 
