@@ -22,8 +22,8 @@ SAMPLE_FEATURES = 4_000
 """Features of a rated document that the fit takes, by hash; scoring takes all."""
 LEAST_EVIDENCE = 40.0
 """Features whose chi-square against the grades is smaller get no weight: rare words that fit the sample by chance."""
-STEPS = 150
-DECAY = 1e-4
+STEPS = 600
+DECAY = 1e-5
 CACHE_WORDS = 300_000
 LONG_WORD = 64
 ODD = re.compile(r"[^\w\s.,;:'’-]")
@@ -92,13 +92,14 @@ def fit(rows, steps: int = STEPS) -> bytes:
     grade = np.array([g for g, _ in rows])
     sizes = np.array([len(f) for _, f in rows])
     flat = np.concatenate([np.asarray(f, np.int64) for _, f in rows])
-    starts = np.cumsum(sizes) - sizes
-    common = evidence(grade, flat, sizes) >= LEAST_EVIDENCE
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    used = (evidence(grade, flat, sizes) >= LEAST_EVIDENCE)[flat]
+    flat, owner = flat[used], owner[used]
     above = np.stack([grade > k for k in range(GRADES - 1)], axis=1).astype(float)
-    step = Adam([weights, theta], 0.03)
+    step = Adam([weights, theta], 0.1)
     for _ in range(steps):
         thresholds = np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
-        score = np.add.reduceat(weights[flat], starts)
+        score = np.bincount(owner, weights[flat], len(grade))
         tail = 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds, -30, 30)))
         # The likelihood of a grade is the difference of neighbouring tails.
         upper = np.concatenate([np.ones((len(grade), 1)), tail], axis=1)[np.arange(len(grade)), grade]
@@ -112,7 +113,7 @@ def fit(rows, steps: int = STEPS) -> bytes:
         for k in range(GRADES - 1):
             by_threshold[k] = (into[grade == k + 1].sum() - out[grade == k].sum()) / len(grade)
         by_theta = np.array([by_threshold.sum()] + [by_threshold[k:].sum() * math.exp(theta[k]) for k in range(1, GRADES - 1)])
-        step([common * np.bincount(flat, np.repeat(by_score, sizes), BUCKETS) + DECAY * weights, by_theta])
+        step([np.bincount(flat, by_score[owner], BUCKETS) + DECAY * weights, by_theta])
     thresholds = np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
     return packed(weights=weights.astype("f4"), thresholds=thresholds)
 
