@@ -171,7 +171,7 @@ class Labeller:
     def _index(self, words) -> np.ndarray:
         """The place of each word in the table of scores; words without a letter are left out."""
         types = self.types
-        for w in set(words) - types.keys():
+        for w in [w for w in set(words) if w not in types]:
             if any(map(str.isalpha, w)):
                 types[w] = len(self.table) + len(self.new)
                 self.new.append(w)
