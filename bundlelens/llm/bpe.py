@@ -13,9 +13,11 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bundlelens.llm.common import annotate, col
 from bundlelens.llm.lexicon import Lexicon, compile_lexicon
+from bundlelens.session import written
 
 LEXICON_WORDS = 100_000
 CACHE_WORDS = 200_000
@@ -262,15 +264,26 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
+def frequent_words(docs: DataFrame, size: int, text: str = "text") -> list[str]:
+    """The words of all texts that are seen at least ``c`` times, for the smallest ``c`` > 1 that gives ``size`` or fewer.
+
+    How many words are seen how often is counted on the executors; the driver gets that table of
+    distinct counts (a few thousand rows) and then the chosen words, never more than ``size``.
+    """
+    counts = written(word_counts(docs, text).filter((F.col("count") > 1) & (F.length("word") <= LONG_CHUNK)), "word_counts")
+    histogram = counts.groupBy("count").agg(F.count(F.lit(1)).alias("words"))
+    running = F.sum("words").over(Window.orderBy(F.desc("count")))
+    least = histogram.withColumn("_running", running).filter(F.col("_running") <= size).agg(F.min("count")).first()[0]
+    return [r["word"] for r in counts.filter(F.col("count") >= least).select("word").collect()] if least else []
+
+
 def build_lexicon(docs: DataFrame, spec: str, size: int = LEXICON_WORDS, text: str = "text") -> bytes:
-    """The transducer of the ``size`` most frequent words of all texts (ties in the order of the words).
+    """The transducer of the up to ``size`` most frequent words of all texts.
 
-    Words are counted over the whole corpus on the executors; only the ``size`` first come to the
-    driver, those longer than ``LONG_CHUNK`` left out. It speeds encoding up and never changes its result.
+    It speeds encoding up and never changes its result.
     """
-    top = word_counts(docs, text).filter(F.length("word") <= LONG_CHUNK).orderBy(F.desc("count"), "word").limit(size).collect()
     tokenizer = WordTokenizer(spec)
-    words = sorted({word for row in top for word in tokenizer.words(row["word"])})
+    words = sorted({word for chunk in frequent_words(docs, size, text) for word in tokenizer.words(chunk)})
     return compile_lexicon({word.encode(): ids for word, ids in tokenizer.learn(words).items()})
 
 
