@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bundlelens.llm.common import annotate, col
+from bundlelens.llm.common import annotate, col, held
 from bundlelens.llm.lexicon import Lexicon, compile_lexicon
 from bundlelens.session import written
 
@@ -303,16 +303,11 @@ def ship(spark: SparkSession, content: bytes, label: str) -> str:
     return name
 
 
-_READY: dict[tuple, WordTokenizer] = {}
-
-
 def _tokenizer(spec_name: str, lexicon_name: str) -> WordTokenizer:
-    """The worker's tokenizer; a Python worker keeps the last one for its next tasks."""
-    if (spec_name, lexicon_name) not in _READY:
-        _READY.clear()
+    def build():
         with open(SparkFiles.get(spec_name), encoding="utf-8") as file:
-            _READY[spec_name, lexicon_name] = WordTokenizer(file.read(), Lexicon(SparkFiles.get(lexicon_name)))
-    return _READY[spec_name, lexicon_name]
+            return WordTokenizer(file.read(), Lexicon(SparkFiles.get(lexicon_name)))
+    return held((spec_name, lexicon_name), build)
 
 
 def encode(docs: DataFrame, spec_path: str, text: str = "text", lexicon_words: int = LEXICON_WORDS, decoded: bool = False,

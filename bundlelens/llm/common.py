@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 """Text that a Python worker holds as objects at a time; one longer text is a piece of its own."""
 
 
@@ -85,6 +85,17 @@ def annotate(df: DataFrame, text: str, fields, make, carry=None) -> DataFrame:
                       *[F.col(f"r{i}").alias(name) for i, (name, _) in enumerate(fields)])
 
 
+_HELD: dict = {}
+
+
+def held(name, build):
+    """What ``build()`` makes, kept by a Python worker for its next tasks until it needs something else."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = build()
+    return _HELD[name]
+
+
 def renamed(df: DataFrame, keep, *needed):
     """The carried columns as ``k0``, ``k1``, …, and where the needed ones are among them (else added as ``n0``, …)."""
     columns, places = [col(name).alias(f"k{i}") for i, name in enumerate(keep)], []

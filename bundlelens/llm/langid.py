@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bundlelens.llm.bpe import ship
-from bundlelens.llm.common import annotate, col
+from bundlelens.llm.common import annotate, col, held as held_model
 from bundlelens.llm.crf import Adam, packed, posteriors
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -30,7 +30,7 @@ SPLICE = 25
 """Words after which the training chains switch to another sampled row, so that transitions are learned."""
 STEPS = 30
 LEXICON_COUNT = 4
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 100_000
 WORDS_SCORED = 20_000
 CACHE_WORDS = 200_000
 LONG_WORD = 24
@@ -226,14 +226,8 @@ class Labeller:
         return names, scores
 
 
-_READY: dict[str, Labeller] = {}
-
-
 def _labeller(name: str) -> Labeller:
-    if name not in _READY:
-        _READY.clear()
-        _READY[name] = Labeller(SparkFiles.get(name))
-    return _READY[name]
+    return held_model(name, lambda: Labeller(SparkFiles.get(name)))
 
 
 def train(docs: DataFrame, labelled, text: str = "text", lang: str = "lang", key: str = "doc_id",

@@ -10,6 +10,8 @@ from bundlelens.llm.common import WORD, carried, col, word_count
 from bundlelens.session import written
 
 RESULTS = ("size", "source_size", "target", "taken", "copies")
+BROADCAST_BLOCKS = 50_000
+"""Blocks (some 100 bytes each) up to which the plan is broadcast to the documents."""
 DEVIATIONS = 9
 """Standard deviations on either side of the mode that a draw may reach; what lies beyond is below 1e-17."""
 
@@ -168,8 +170,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2
     plan = written(_with_shards(taken, sources, levels, seed), "plan")
     cut = _cut(in_blocks(narrow), plan, seed)
 
-    planned = in_blocks(rows).join(plan.select(
-        F.col("src").alias("_src"), F.col("block").alias("_block"), "full", "part", "words", "shards"),
+    # One row per block: counted, and broadcast while few; beyond that both sides are shuffled by block.
+    by_block = plan.select(F.col("src").alias("_src"), F.col("block").alias("_block"), "full", "part", "words", "shards")
+    by_block = F.broadcast(by_block) if plan.count() <= BROADCAST_BLOCKS else by_block
+    planned = in_blocks(rows).join(by_block,
         (F.col("src") == F.col("_src")) & (F.col("block") == F.col("_block"))).drop("_src", "_block")
     planned = planned.join(cut, (F.col("src") == F.col("_cut_src")) & F.col("id").eqNullSafe(F.col("_cut_id")), "left").join(
         sources.select(F.col("src").alias("_src"), "source_size", "target"), F.col("src") == F.col("_src"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bundlelens.llm.bpe import ship
-from bundlelens.llm.common import annotate, col
+from bundlelens.llm.common import annotate, col, held
 from bundlelens.llm.crf import Adam, packed
 
 BUCKETS = 1 << 18
@@ -143,15 +143,11 @@ def train(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str = "d
     return fit([(grade, np.frombuffer(f, "<i4")) for _, grade, f in collected])
 
 
-_READY: dict[str, tuple] = {}
-
-
 def _model(name: str):
-    if name not in _READY:
-        _READY.clear()
+    def build():
         model = np.load(SparkFiles.get(name))
-        _READY[name] = model["weights"].astype(float), model["thresholds"], Tokens()
-    return _READY[name]
+        return model["weights"].astype(float), model["thresholds"], Tokens()
+    return held(name, build)
 
 
 def rate(docs: DataFrame, model: bytes, grade: int = GRADES - 1, least: float = 0.5, text: str = "text", carry=None) -> DataFrame:
