@@ -65,7 +65,7 @@ def best_of_tile(queries, query_ids, shard, shard_ids, k: int):
         scores = queries @ shard.T
     else:  # exact whole numbers of any size
         whole = np.vectorize(int, otypes=[object])
-        scores = whole(queries) @ whole(shard).T
+        scores = np.clip(whole(queries) @ whole(shard).T, -2**63, 2**63 - 1)
     order = np.argsort(shard_ids[:, 1], kind="stable")
     scores, rows, ids = scores[:, order], shard_ids[order, 0], shard_ids[order, 1]
     for i, line in enumerate(scores):
@@ -78,7 +78,7 @@ def best_of_tile(queries, query_ids, shard, shard_ids, k: int):
             at = np.arange(len(line))
         at = at[rows[at] != query_ids[i, 0]]
         for j in sorted(at.tolist(), key=lambda j: (-line[j], ids[j]))[:k]:
-            yield int(query_ids[i, 0]), int(query_ids[i, 1]), int(ids[j]), max(-2**63, min(2**63 - 1, int(line[j])))
+            yield int(query_ids[i, 0]), int(query_ids[i, 1]), int(ids[j]), int(line[j])
 
 
 def _products(batches, k: int):
@@ -113,7 +113,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, query_
     in groups of ``fan_in`` per query, until one group is left.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without a key. Rows that repeat a
-    key are candidates of each other, and each query row has its own list. Scores beyond a long stay at its limits.
+    key are candidates of each other, and each query row has its own list. Scores beyond a long count as its limits.
     An empty table gives an empty one; fewer candidates than ``k`` give all.
     """
     values = quantised(col(vector), scale)
