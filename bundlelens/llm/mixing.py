@@ -171,14 +171,16 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2
     cut = _cut(in_blocks(narrow), plan, seed)
 
     # One row per block: counted, and broadcast while few; beyond that both sides are shuffled by block.
-    by_block = plan.select(F.col("src").alias("_src"), F.col("block").alias("_block"), "full", "part", "words", "shards")
+    by_block = plan.join(cut, (F.col("src") == F.col("_cut_src")) & (F.col("block") == F.col("_cut_block")), "left").select(
+        F.col("src").alias("_src"), F.col("block").alias("_block"), "full", "part", "words", "shards",
+        "_cut_at", "_cut_words", "_cut_taken")
     by_block = F.broadcast(by_block) if plan.count() <= BROADCAST_BLOCKS else by_block
     planned = in_blocks(rows).join(by_block,
-        (F.col("src") == F.col("_src")) & (F.col("block") == F.col("_block"))).drop("_src", "_block")
-    planned = planned.join(cut, (F.col("src") == F.col("_cut_src")) & F.col("id").eqNullSafe(F.col("_cut_id")), "left").join(
+        (F.col("src") == F.col("_src")) & (F.col("block") == F.col("_block"))).drop("_src", "_block").join(
         sources.select(F.col("src").alias("_src"), "source_size", "target"), F.col("src") == F.col("_src"))
-    partial = F.when(F.col("part") == F.col("words"), F.col("size")).when(
-        F.col("_cut_words") > 0, F.expr("size * _cut_taken div _cut_words")).otherwise(F.lit(0)).cast("bigint")
+    at = _cut_place(seed)
+    partial = F.when((F.col("part") == F.col("words")) | (at < F.col("_cut_at")), F.col("size")).when(
+        at == F.col("_cut_at"), F.expr("size * _cut_taken div _cut_words")).otherwise(F.lit(0)).cast("bigint")
     copies = F.filter(F.transform("shards", lambda s: F.struct(
         s["shard"].alias("shard"), F.when(s["turn"] < F.col("full"), F.col("size")).otherwise(partial).alias("words"))),
         lambda c: c["words"] > 0)
@@ -209,16 +211,25 @@ def _with_shards(taken: DataFrame, sources: DataFrame, levels: int, seed: int) -
         "src", "block", "words", "full", "part", F.coalesce("shards", F.expr("array()")).alias("shards"))
 
 
+def _cut_place(seed: int) -> Column:
+    """Where a key comes in a block that is taken in part."""
+    return F.struct(F.xxhash64("id", F.lit(seed + 4)).alias("order"), F.col("id").alias("id"))
+
+
 def _cut(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """For the one block per source that is taken in part: the words taken of each of its keys."""
+    """For the one block per source that is taken in part: the key at which it ends, and the words taken of it.
+
+    The keys before that place are taken whole and those behind it not at all, so one row per source says it all.
+    """
     broken = plan.filter("part > 0 and part < words").select(F.col("src").alias("_src"), F.col("block").alias("_block"), "part")
-    units = rows.join(broken, (F.col("src") == F.col("_src")) & (F.col("block") == F.col("_block"))).groupBy(
-        "src", "id", "part").agg(F.sum("size").alias("unit"))
-    order = Window.partitionBy("src").orderBy(F.xxhash64("id", F.lit(seed + 4)), "id")
+    units = rows.filter("size > 0").join(broken, (F.col("src") == F.col("_src")) & (F.col("block") == F.col("_block"))).groupBy(
+        "src", "block", "id", "part").agg(F.sum("size").alias("unit"))
+    place = _cut_place(seed)
+    order = Window.partitionBy("src").orderBy(place)
     before = F.coalesce(F.sum("unit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return units.select(
-        F.col("src").alias("_cut_src"), F.col("id").alias("_cut_id"), F.col("unit").alias("_cut_words"),
-        F.greatest(F.lit(0).cast("bigint"), F.least("unit", F.col("part") - before)).alias("_cut_taken"))
+    return units.withColumn("before", before).filter("before < part and before + unit >= part").select(
+        F.col("src").alias("_cut_src"), F.col("block").alias("_cut_block"), place.alias("_cut_at"),
+        F.col("unit").alias("_cut_words"), (F.col("part") - F.col("before")).alias("_cut_taken"))
 
 
 def mixed_documents(mixed: DataFrame, text: str = "text", seed: int = 17, shards: int = 64) -> DataFrame:
