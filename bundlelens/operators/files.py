@@ -11,13 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bundlelens.functions.paths import log_type, node_name, sub_type
 from bundlelens.functions.timestamps import is_short_form, line_stamp, second_text, stamp_time
 
-TAIL_LINES = 20
-
 
 def parse_lines(lines: DataFrame, reference_year: int) -> DataFrame:
     """Adds the time of each line.
@@ -39,32 +36,27 @@ def with_file_facts(rows: DataFrame) -> DataFrame:
 def log_files(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per file: start, end, and why it is rejected if it is.
 
-    The start is the first readable time, the end the last one among the last 20
-    lines. A file of year-less times that starts in December and ends in January
+    The start is the first readable time, the end the last one. A file of year-less times that starts in December and ends in January
     ends in the next year. Files without a range, or with one that runs
     backwards, are rejected.
 
     One pass: lines shrink to one row per block by hash aggregation, and a huge
-    file is many blocks. Whether the last time is within the last 20 lines
-    follows from its number and the lines after it.
+    file is many blocks.
     """
     key = [*by, "file_path"]
     ts, block = F.col("timestamp"), F.col("line_block")
     timed = F.when(ts.isNotNull(), F.col("line_no"))
     blocks = parsed.groupBy(*key, "line_block").agg(
-        F.count("*").alias("_n"), F.max("line_no").alias("_last_no"), F.max(timed).alias("_timed_no"),
+        F.count("*").alias("_n"), F.max(timed).alias("_timed_no"),
         F.min_by(ts, timed).alias("_first"), F.min_by(is_short_form(F.col("line")), timed).alias("_short"),
         F.max_by(ts, timed).alias("_last"),
     )
-    later = Window.partitionBy(*key).orderBy(F.desc("line_block")).rowsBetween(Window.unboundedPreceding, -1)
-    after = F.coalesce(F.sum("_n").over(later), F.lit(0)) + F.col("_last_no") - F.col("_timed_no")
     timed_block = F.when(F.col("_timed_no").isNotNull(), block)
-    spans = blocks.withColumn("_after", after).groupBy(*key).agg(
+    spans = blocks.groupBy(*key).agg(
         F.sum("_n").alias("lines"), F.min_by("_first", timed_block).alias("start_time"),
         F.min_by("_short", timed_block).alias("_short"), F.max_by("_last", timed_block).alias("_last"),
-        F.max_by("_after", timed_block).alias("_after"),
     )
-    start, end = F.col("start_time"), F.when(F.col("_after") < TAIL_LINES, F.col("_last"))
+    start, end = F.col("start_time"), F.col("_last")
     rolls = F.col("_short") & (end < start) & (F.month(start) == 12) & (F.month(end) == 1)
     end_time = F.when(rolls, end + F.expr("INTERVAL 1 YEAR")).otherwise(end)
     ranges = spans.select(

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bundlelens.functions.timestamps import bucket_start, iso_second, minute_key, parse_tolerant, to_ntz
+from bundlelens.functions.timestamps import iso_second, minute_key, parse_tolerant, to_ntz
 
 GROUP = ("node_name", "log_type")
 
@@ -52,17 +52,21 @@ def filter_logs(
 def minute_stats(hits: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
     """Hits per (node, log type, pattern, minute) with first and last time.
 
-    Hits without a time have no minute and are left out.
+    Hits without a time count too: their minute and times are null.
     """
-    rows = hits.withColumn("_ts", to_ntz(ts)).withColumn("bucket", bucket_start("_ts", 1))
+    minute = F.expr("_ts - make_dt_interval(0, 0, 0, extract(SECOND FROM _ts))")  # a window would drop null times
+    rows = hits.withColumn("_ts", to_ntz(ts)).withColumn("bucket", minute)
     return rows.groupBy(*by, *GROUP, "pattern_id", "bucket").agg(
         F.count("*").alias("count"), F.min("_ts").alias("start_time"), F.max("_ts").alias("end_time")
     )
 
 
 def hit_stats(hits: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
-    """Count, first and last time per (node, log type, pattern), straight from the hits."""
-    rows = hits.withColumn("_ts", to_ntz(ts)).filter(F.col("_ts").isNotNull())
+    """Count, first and last time per (node, log type, pattern), straight from the hits.
+
+    Hits without a time count too.
+    """
+    rows = hits.withColumn("_ts", to_ntz(ts))
     return rows.groupBy(*by, *GROUP, "pattern_id").agg(
         F.count("*").alias("count"), F.min("_ts").alias("start_time"), F.max("_ts").alias("end_time")
     )
@@ -78,7 +82,7 @@ def pattern_stats(minutes: DataFrame, by: Sequence[str] = (), pattern=("pattern_
 
 
 def minute_histogram(minutes: DataFrame, by: Sequence[str] = (), pattern=("pattern_id",)) -> DataFrame:
-    """Count per (node, log type, pattern, minute), minutes as text keys."""
+    """Count per (node, log type, pattern, minute), minutes as text keys; null for hits without a time."""
     return minutes.select(*by, *GROUP, *pattern, minute_key(F.col("bucket")).alias("minute"), "count")
 
 

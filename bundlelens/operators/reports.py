@@ -270,24 +270,26 @@ def assemble_reports(
     pattern: str = "pattern",
     warnings: Sequence[dict] = (),
     config: dict | None = None,
-    max_entries: int = 1_000_000,
+    whole: bool = False,
 ) -> DataFrame:
-    """Nested report documents as JSON, one per ``by`` value.
-
-    The size of a document follows nodes x log types x patterns x minutes, not
-    the log volume. A report with more than ``max_entries`` histogram entries is
-    written in parts, one per (node, log type), each a complete report document
-    of its own; ``part`` names it ('' for a whole report). Long operations split
-    the same way, by prefix. ``stats`` may carry a ``solution`` column.
+    """Nested report documents as JSON, in parts: one per ``by`` value, node and log type.
+
+    Each part is a complete report document of its own, whatever its size, and
+    ``part`` names it. Long operations split the same way, by prefix. With
+    ``whole`` there is one document per ``by`` value, and ``part`` is '': for a
+    caller who has chosen one report. The size of a document follows patterns x
+    minutes (a whole one: times nodes x log types), not the log volume. Hits
+    without a time are in the counts but not in the histograms. ``stats`` may
+    carry a ``solution`` column.
     """
     keys = [by, "node_name", "log_type", pattern]
     known = lambda df: df.filter(F.col("node_name").isNotNull() & F.col("log_type").isNotNull())
-    sizes = hist.groupBy(by).agg((F.count("*") > max_entries).alias("_large"))
-    histograms = known(hist).groupBy(*keys).agg(_map_of("minute", F.col("count")).alias("histogram"))
+    named = lambda *parts: F.lit("") if whole else F.concat_ws("/", *parts)
+    histograms = known(hist).filter(F.col("minute").isNotNull()).groupBy(*keys).agg(_map_of("minute", F.col("count")).alias("histogram"))
     solution = F.col("solution") if "solution" in stats.columns else F.lit(None).cast("string")
-    messages = known(stats).join(histograms, keys, "left").join(sizes, by, "left").select(
+    messages = known(stats).join(histograms, keys, "left").select(
         *keys,
-        F.when(F.col("_large"), F.concat_ws("/", "node_name", "log_type")).otherwise("").alias("part"),
+        named("node_name", "log_type").alias("part"),
         F.struct(
             iso_second(F.col("start_time")).alias("StartTime"), iso_second(F.col("end_time")).alias("EndTime"),
             F.col("count"), F.col("histogram"), solution.alias("solution"),
@@ -307,9 +309,7 @@ def assemble_reports(
         .alias("analysis_config"),
     ]
     if longops is not None:
-        large = longops.groupBy(by).agg((F.count("*") > max_entries).alias("_large"))
-        part = F.when(F.col("_large"), F.concat(F.lit("long operations/"), "prefix")).otherwise("")
-        placed = longops.join(large, by).withColumn("part", part)
+        placed = longops.withColumn("part", named(F.lit("long operations"), "prefix"))
         docs = docs.join(long_operation_maps(placed, by, "part"), [by, "part"], "full")
         fields.append(F.col("long_operations"))
     return docs.select(by, "part", F.to_json(F.struct(*fields)).alias("json_report"))

@@ -55,8 +55,11 @@ def time_range(
     """Buckets inside [start, end].
 
     A missing start means seven days before the latest bucket, a missing end the
-    latest bucket; each defaults on its own.
+    latest bucket; each defaults on its own. The start ``all`` keeps every bucket up to the end.
     """
+    if start == "all":
+        rows, high = with_bucket(hist), _bound(end)
+        return rows if high is None else rows.filter((F.col("bucket") <= high) | high.isNull())
     rows, low, high = with_bucket(hist), _bound(start), _bound(end)
     if low is None or high is None:
         rows = _with_latest(rows, by)

@@ -142,7 +142,12 @@ def max_replicas(zones: DataFrame) -> int:
 
 
 def zone_pivot(zones: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
-    """Display form: one row per zone with columns ``1_replicas`` .. ``<width>_replicas``."""
+    """Display form: one row per zone with columns ``1_replicas`` .. ``<width>_replicas``.
+
+    ``width`` comes from ``max_replicas``; a count beyond it ends the job, so no tablet is lost. ``zone_counts`` needs no width.
+    """
+    too_wide = F.raise_error(F.format_string(f"replica count %d is beyond the {int(width)} columns", "replica_count"))
+    zones = zones.withColumn("tablets", F.when(F.col("replica_count") > width, too_wide.cast("bigint")).otherwise(F.col("tablets")))
     counts = [
         F.sum(F.when(F.col("replica_count") == i, F.col("tablets")).otherwise(0)).alias(f"{i}_replicas")
         for i in range(1, width + 1)
@@ -150,3 +155,10 @@ def zone_pivot(zones: DataFrame, width: int, by: Sequence[str] = ()) -> DataFram
     keys = [*by, "region", "zone", "tservers", "missing_replicas", "balanced"]
     head = [*by, "region", "zone", "tservers", "missing_replicas"]
     return zones.groupBy(*keys).agg(*counts).select(*head, *[f"{i}_replicas" for i in range(1, width + 1)], "balanced")
+
+
+def zone_counts(zones: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per zone with ``replicas``, a map from each replica count to its number of tablets."""
+    head = [*by, "region", "zone", "tservers", "missing_replicas"]
+    entries = F.sort_array(F.collect_list(F.struct("replica_count", "tablets")))
+    return zones.groupBy(*head, "balanced").agg(F.map_from_entries(entries).alias("replicas")).select(*head, "replicas", "balanced")

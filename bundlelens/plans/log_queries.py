@@ -330,7 +330,7 @@ def node_series(v):
     FROM names CROSS JOIN spine LEFT JOIN slots ON slots.pattern = names.pattern AND slots.slot = spine.slot""")
 def gap_filled_totals(v):
     """Hourly totals of all days, zeros where a pattern has none"""
-    hourly = series.rebucket(stored_histogram(v), 60, start="2024-01-01T00:00:00Z")
+    hourly = series.rebucket(stored_histogram(v), 60, start="all")
     return series.fill_gaps(series.message_totals(hourly), 60)
 
 
@@ -348,7 +348,7 @@ def gap_filled_totals(v):
 def gap_filled_nodes(v):
     """J17 per bundle and node, each bundle on its own axis"""
     by = ["support_bundle"]
-    hourly = series.rebucket(stored_histogram(v, by), 60, start="2024-01-01T00:00:00Z", by=by)
+    hourly = series.rebucket(stored_histogram(v, by), 60, start="all", by=by)
     return series.fill_gaps(series.node_series(hourly, by=by), 60, by, ["pattern", "node_name"])
 
 

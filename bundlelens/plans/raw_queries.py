@@ -59,12 +59,11 @@ def parsed_lines(v):
         "event_id", "file_path", "node_name", "log_type", "sub_type", second_text(F.col("timestamp")).alias("at"))
 
 
-@query("log_files", _LINES + """, ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY event_id DESC) AS back FROM lines)
+@query("log_files", _LINES + """
     SELECT file_path, any_value(node_name) AS node_name, any_value(log_type) AS log_type, any_value(sub_type) AS sub_type,
       strftime(arg_min(ts, event_id), '%Y-%m-%d %H:%M:%S') AS start_time,
-      strftime(arg_max(ts, event_id) FILTER (back <= 20), '%Y-%m-%d %H:%M:%S') AS end_time, count(*) AS lines
-    FROM ranked GROUP BY file_path""")
+      strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S') AS end_time, count(*) AS lines
+    FROM lines GROUP BY file_path""")
 def log_files(v):
     """A19, W5"""
     rows = files.valid_files(files.log_files(parsed(v)))

@@ -89,14 +89,13 @@ def zone_max_replicas(v):
 
 @query("zone_pivot", _ZONES + """
     SELECT region, zone, tservers, missing_replicas,
-      CAST(sum(CASE WHEN replica_count = 1 THEN tablets ELSE 0 END) AS BIGINT) AS "1_replicas",
-      CAST(sum(CASE WHEN replica_count = 2 THEN tablets ELSE 0 END) AS BIGINT) AS "2_replicas",
-      CAST(sum(CASE WHEN replica_count = 3 THEN tablets ELSE 0 END) AS BIGINT) AS "3_replicas",
-      CAST(sum(CASE WHEN replica_count = 4 THEN tablets ELSE 0 END) AS BIGINT) AS "4_replicas", balanced
+      string_agg(replica_count || ':' || tablets, ',' ORDER BY replica_count) AS replicas, balanced
     FROM zones GROUP BY region, zone, tservers, missing_replicas, balanced""")
 def zone_pivot(v):
-    """A10 display form, four replica columns"""
-    return tablets.zone_pivot(tablets.zone_replicas(_stored_tablets(v), v.ts_cluster()), 4)
+    """A10 display form: per zone the tablets of every replica count"""
+    zones = tablets.zone_counts(tablets.zone_replicas(_stored_tablets(v), v.ts_cluster()))
+    shown = F.transform(F.array_sort(F.map_entries("replicas")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return zones.withColumn("replicas", F.array_join(shown, ","))
 
 
 @query("missing_tablets", _LIVE + """

@@ -62,19 +62,20 @@ def test_file_ranges(spark):
     a, b, c, d, e = (f"/x/yb-a-n1/{n}-tserver.INFO.log" for n in "abcde")
     items = (
         file(a, "junk", "I0105 10:00:00.1 x", "I0105 09:00:00.1 x", "junk")  # runs backwards
-        + file(b, "I0105 10:00:00.1 x", *["junk"] * 20)  # nothing in the last 20 lines
+        + file(b, "I0105 10:00:00.1 x", *["junk"] * 21)  # a long undated end
         + file(c, "I0105 10:00:00.1 x", "I0106 10:00:00.1 y", *["junk"] * 19)
         + file(d, "I1231 23:00:00.1 x", "I0101 01:00:00.1 y")
         + file(e, "no", "times"))
     lines = parsed(spark, items)
     found = files.log_files(lines)
     got = {r.file_path[-18]: (r.start_time, r.end_time, r.lines, r.rejected) for r in found.collect()}
-    assert got["a"][3] == "start after end" and got["b"][3] == "no time range" and got["e"][3] == "no time range"
+    assert got["a"][3] == "start after end" and got["e"][3] == "no time range"
+    assert got["b"] == (datetime(2024, 1, 5, 10), datetime(2024, 1, 5, 10), 22, None)
     assert got["c"] == (datetime(2024, 1, 5, 10), datetime(2024, 1, 6, 10), 21, None)
     assert got["d"] == (datetime(2024, 12, 31, 23), datetime(2025, 1, 1, 1), 2, None)
     moved = rows(files.lines_of(lines, files.valid_files(found)).filter(F.col("file_path") == d), "line_no", "timestamp", "node_name")
     assert moved == [(0, datetime(2024, 12, 31, 23), "yb-a-n1"), (1, datetime(2025, 1, 1, 1), "yb-a-n1")]
-    assert rows(files.bundle_counts(found)) == [(2, 1, 1)]
+    assert rows(files.bundle_counts(found)) == [(3, 1, 1)]
     assert rows(files.bundle_members(found)) == [("yb-a-n1", "yb-tserver")]
     assert rows(files.file_metadata(found), "logStartsAt")[0] == ("2024-01-05 10:00:00",)
 
@@ -164,7 +165,7 @@ def test_archives(spark, bundle_files):
     # The cut archive, its cut member, and the file that is no archive.
     assert rows(rejects, "bundle", "file_path") == [
         ("one", "/one/one/bad.tgz"), ("one", "/one/one/half.tar.gz"), ("one", "/one/one/yb-a-n3/other-tserver.log")]
-    docs = {r.support_bundle: json.loads(r.json_report) for r in result.documents().collect()}
+    docs = {r.support_bundle: json.loads(r.json_report) for r in result.documents(whole=True).collect()}
     message = docs["one"]["nodes"]["yb-a-n1"]["yb-tserver"]["logMessages"]["Soft memory limit exceeded"]
     assert message["count"] == 2 and message["histogram"] == {"2024-01-05T10:00:00Z": 2}
     assert docs["two"]["analysis_config"]["start_time"] == "2024-01-01T00:00:00"
@@ -189,7 +190,14 @@ def test_filters_of_a_request(spark):
     assert counts(patterns=["pick", "own.d"], log_types=["pg"]) == [("yb-a-n1", "postgres", "custom_pattern_1", 1)]
     with pytest.raises(ValueError):
         Request(datetime(2024, 2, 1), datetime(2024, 1, 1))
-    assert Request(nodes=["a"]).warnings()[0]["additional_details"] == "Custom options used: node_filter: ['a']"
+    assert Request(nodes=["a"]).warnings()[0]["additional_details"] == "Chosen: node_filter: ['a']"
+    backwards = lines.limit(0).unionByName(spark.createDataFrame(
+        [("b", "/b/yb-a-n1/yb-tserver.log", i, f"I010{5 - i} 10:00:00.1 Unable to pick leader") for i in range(2)]
+        + [("b", "/b/yb-a-n1/yb-master.log", 0, "no time at all")],
+        "support_bundle string, file_path string, line_no bigint, line string").withColumn("line_block", F.lit(0)))
+    result = analyze_lines(backwards, 2024)
+    assert rows(result.rejected, "rejected") == [("no time range",), ("start after end",)]
+    assert rows(result.stats, "node_name", "count") == [("yb-a-n1", 2)]
     assert time_bounds("0229 10:00", None, 2024, datetime(2024, 3, 1)) == (datetime(2024, 2, 29, 10), datetime(2024, 3, 1))
     assert time_bounds(None, "0301 00:00", 2024, datetime(2024, 3, 2))[0] == datetime(2024, 2, 1)
 
@@ -206,7 +214,7 @@ def test_parquet_analysis(spark, tmp_path):
     assert rows(result.stats, "pattern", "count") == [("Time spent Fsync log took a long time", 90)]
     assert rows(result.histogram, "minute", "count") == [("2024-01-01T10:00:00Z", 60), ("2024-01-01T10:01:00Z", 30)]
     assert rows(result.long_operations, "prefix", "c", "avg") == [("Fsync log", 90, 2.0)]
-    doc = json.loads(result.documents().first().json_report)
+    doc = json.loads(result.documents(whole=True).first().json_report)
     assert doc["long_operations"]["Fsync log"] == {"2024-01-01 10:00:00": {"c": 90, "avg": 2.0, "max": 2.0}}
     assert rows(logs.bundle_name(table, path)) == [("b",)]
     assert rows(logs.bundle_name(table.limit(0), path)) == [("parquet",)]

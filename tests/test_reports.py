@@ -113,7 +113,7 @@ def test_document_shape_and_parts(spark):
     hist = spark.createDataFrame([("b", "n1", "t", "p", "2024-01-01T00:00:00Z", 2), ("b", "n1", "t", "p", "2024-01-01T00:01:00Z", 1),
                                   ("b", "n2", "t", "q", "2024-01-01T00:00:00Z", 1)], HIST)
     ops = spark.createDataFrame([("b", "Read", "2024-01-01 00:00:00", 1, 2.0, 3.0)], "support_bundle string, prefix string, bucket string, c bigint, avg double, max double")
-    whole = reports.assemble_reports(stats, hist, ops, warnings=[{"message": "m", "level": "info", "type": "t"}]).collect()
+    whole = reports.assemble_reports(stats, hist, ops, warnings=[{"message": "m", "level": "info", "type": "t"}], whole=True).collect()
     assert len(whole) == 1 and whole[0].part == ""
     doc = json.loads(whole[0].json_report)
     assert doc["support_bundle_name"] == "b"
@@ -122,8 +122,8 @@ def test_document_shape_and_parts(spark):
         "histogram": {"2024-01-01T00:00:00Z": 2, "2024-01-01T00:01:00Z": 1}, "solution": "s"}}}
     assert doc["long_operations"] == {"Read": {"2024-01-01 00:00:00": {"c": 1, "avg": 2.0, "max": 3.0}}}
     assert doc["warnings"] == [{"message": "m", "level": "info", "type": "t"}]
-    parts = reports.assemble_reports(stats, hist, ops, max_entries=2)
-    assert rows(parts, "part") == [("",), ("n1/t",), ("n2/t",)]
+    parts = reports.assemble_reports(stats, hist, ops)
+    assert rows(parts, "part") == [("long operations/Read",), ("n1/t",), ("n2/t",)]
     assert rows(reports.report_to_rows(parts, ["support_bundle"])) == rows(hist)
     assert rows(reports.report_to_stats(parts, ["support_bundle"]).drop("solution")) == rows(stats.drop("solution"))
     from bundlelens.operators import longops

@@ -65,11 +65,19 @@ def test_statistics_add_up(spark):
         [("n1", "t", 0, datetime(2024, 1, 1, 10, 0, s % 60, s)) for s in range(100)] + [("n1", "t", 0, None)],
         "node_name string, log_type string, pattern_id int, timestamp timestamp_ntz")
     minutes = logstats.minute_stats(hits)
-    assert minutes.agg(F.sum("count")).first()[0] == 100
+    assert minutes.agg(F.sum("count")).first()[0] == 101
     assert rows(logstats.pattern_stats(minutes), "count", "start_time", "end_time") == rows(
         logstats.hit_stats(hits), "count", "start_time", "end_time")
-    assert rows(logstats.hit_stats(hits), "count") == [(100,)]
-    assert rows(logstats.minute_histogram(minutes), "minute", "count") == [("2024-01-01T10:00:00Z", 100)]
+    assert rows(logstats.hit_stats(hits), "count") == [(101,)]
+    found = {r.minute: r["count"] for r in logstats.minute_histogram(minutes).collect()}
+    assert found == {"2024-01-01T10:00:00Z": 100, None: 1}  # the hit without a time has no minute
+
+
+def test_an_unbounded_range_keeps_early_buckets(spark):
+    h = spark.createDataFrame([("n", "t", "p", m, 1) for m in ("1999-05-01T00:00:00Z", "2024-01-09T00:00:00Z", None)],
+                              "node_name string, log_type string, pattern string, minute string, count bigint")
+    assert rows(series.rebucket(h, 60, start="all"), "minute") == [("1999-05-01T00:00:00Z",), ("2024-01-09T00:00:00Z",)]
+    assert rows(series.rebucket(h, 60, start="all", end="2000-01-01T00:00:00Z"), "minute") == [("1999-05-01T00:00:00Z",)]
 
 
 def test_filter_by_alias_and_range(spark):

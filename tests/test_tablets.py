@@ -96,6 +96,10 @@ def test_zones_against_plain_python(spark):
     width = tablets.max_replicas(got)
     assert width == max(r[4] for r in want)
     pivot = tablets.zone_pivot(got, width).collect()
+    with pytest.raises(Exception, match="is beyond the"):
+        tablets.zone_pivot(got, width - 1).collect()
+    counts = {(r.region, r.zone, k, n) for r in tablets.zone_counts(got).collect() for k, n in r.replicas.items()}
+    assert counts == {(r.region, r.zone, r.replica_count, r.tablets) for r in got.collect()}
     for r in pivot:
         held = sum(r[f"{i}_replicas"] for i in range(1, width + 1))
         assert held + r.missing_replicas == len({t for _, t, s in replicas if s != "TABLET_DATA_TOMBSTONED"})
