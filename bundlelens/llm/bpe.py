@@ -20,10 +20,12 @@ from bundlelens.llm.lexicon import Lexicon, compile_lexicon
 from bundlelens.session import written
 
 LEXICON_WORDS = 100_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 """Chunks of text whose ids a worker keeps; then it starts afresh."""
 SHORT_WORD = 48
 """Bytes up to which a scan of all pairs is the faster way to merge a word."""
+WORDS_AT_ONCE = 2048
+"""Words that are looked up or merged side by side; the arrays for them take a few MB."""
 LONG_CHUNK = 256
 """Longer chunks are encoded each time rather than kept."""
 FIRST_UNSURE = 0x250
@@ -177,10 +179,9 @@ class WordTokenizer:
         """The ids of words of up to ``SHORT_WORD`` bytes, merged side by side: one merge per word and round."""
         out: list = [b""] * len(words)
         data = [w.encode() for w in words]
-        for width in range(8, SHORT_WORD + 1, 8):
-            chosen = [i for i, d in enumerate(data) if width - 8 < len(d) <= width]
-            if not chosen:
-                continue
+        groups = ([i for i, d in enumerate(data) if width - 8 < len(d) <= width] for width in range(8, SHORT_WORD + 1, 8))
+        for chosen in (group[at:at + WORDS_AT_ONCE] for group in groups for at in range(0, len(group), WORDS_AT_ONCE)):
+            width = -(-max(len(data[i]) for i in chosen) // 8) * 8
             sizes = np.fromiter((len(data[i]) for i in chosen), np.int64, len(chosen))
             letters = np.array([data[i] for i in chosen], f"S{width}").view(np.uint8).reshape(len(chosen), width)
             parts = np.where(np.arange(width) < sizes[:, None], self.letter_ids[letters], -1)
@@ -208,6 +209,9 @@ class WordTokenizer:
                 out[i] = row[:n].tobytes()
         return out
 
+    def _known(self, words: list[str]) -> list[bytes | None]:
+        return self.lexicon.find([w.encode() for w in words]) if self.lexicon else [None] * len(words)
+
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of chunks: words of the lexicon from the transducer, others by merging.
 
@@ -215,7 +219,7 @@ class WordTokenizer:
         """
         words = [self.words(chunk) for chunk in chunks]
         distinct = list({w for ws in words for w in ws})
-        known = self.lexicon.find([w.encode() for w in distinct]) if self.lexicon else [None] * len(distinct)
+        known = [k for at in range(0, len(distinct), WORDS_AT_ONCE) for k in self._known(distinct[at:at + WORDS_AT_ONCE])]
         ids = {w: k for w, k in zip(distinct, known) if k is not None}
         unseen = [w for w, k in zip(distinct, known) if k is None]
         short = [w for w in unseen if len(w.encode()) <= SHORT_WORD and "\0" not in w]

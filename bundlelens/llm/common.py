@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 """Text that a Python worker holds as objects at a time; one longer text is a piece of its own."""
 
 

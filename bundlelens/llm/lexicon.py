@@ -140,5 +140,7 @@ class Lexicon:
 
     def find(self, words: list[bytes]) -> list[bytes | None]:
         """The ids of each word as little-endian 32-bit numbers; None for words that the lexicon doesn't hold."""
-        ids, offsets = self.ids, self.offsets.tolist()
-        return [ids[offsets[p]:offsets[p + 1]].tobytes() if p >= 0 else None for p in self.places(words).tolist()]
+        places, ids = self.places(words), self.ids
+        held = places >= 0
+        starts, ends = (self.offsets[np.where(held, places + i, 0)].tolist() for i in (0, 1))
+        return [ids[a:b].tobytes() if p else None for p, a, b in zip(held.tolist(), starts, ends)]
