@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: token ids (packed, 32 bits each) in place of the text, and the digest of their decoded text."""
-    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True, carry=["doc_id", "lang", "source"])
     return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
