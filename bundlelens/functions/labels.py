@@ -6,32 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Where a label stands; of each group the first pattern that captures something counts.
-BEFORE_LONG_TIME = (r"([^\s]+\s+[^\s]+)\s+took a long time", r"([^\s]+)\s+took a long time")
-BEFORE_LONG = (r"([^\s]+\s+[^\s]+)\s+took a long", r"([^\s]+)\s+took a long")
-AFTER_SPENT = (r"Time spent\s+([^\s]+\s+[^\s]+)", r"Time spent\s+([^\s]+)")
+# The phrases beside which a label stands.
+LONG_TIME, LONG, SPENT = "took a long time", "took a long", "Time spent"
 
 
-def _captured(message: Column, *patterns: str) -> Column:
-    """First pattern with a non-empty capture."""
-    return F.trim(F.coalesce(*[F.nullif(F.regexp_extract(message, p, 1), F.lit("")) for p in patterns]))
+def _near(message: Column, place: str) -> Column:
+    """The two words at a place, or the one that is there; ``%s`` marks where the words stand."""
+    found = [F.regexp_extract(message, place % rf"(\S+(?:\s+\S+){{{more}}})", 1) for more in (1, 0)]
+    return F.trim(F.coalesce(*[F.nullif(words, F.lit("")) for words in found]))
 
 
 def is_candidate(message: Column, *measures: Column) -> Column:
     """Messages about a long operation that carry a measure (case-sensitive)."""
     return F.coalesce(*measures).isNotNull() & (
-        message.contains("took a long") | message.startswith("Time spent")
+        message.contains(LONG) | message.startswith(SPENT)
     )
 
 
 def operation_label(message: Column) -> Column:
     """Up to two words before 'took a long [time]', else up to two after a leading 'Time spent'."""
-    with_time = message.contains("took a long time")
-    return F.coalesce(
-        F.when(with_time, _captured(message, *BEFORE_LONG_TIME)),
-        F.when(message.contains("took a long") & ~with_time, _captured(message, *BEFORE_LONG)),
-        F.when(message.startswith("Time spent"), _captured(message, *AFTER_SPENT)),
-    )
+    ended = F.when(message.contains(LONG_TIME), _near(message, rf"%s\s+{LONG_TIME}")).when(
+        message.contains(LONG), _near(message, rf"%s\s+{LONG}"))
+    return F.coalesce(ended, F.when(message.startswith(SPENT), _near(message, rf"{SPENT}\s+%s")))
 
 
 def _strip(text: Column) -> Column:

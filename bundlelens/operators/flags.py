@@ -1,9 +1,10 @@
 """Configuration flags: lookup by report and comparison of snapshots over time.
 
 A snapshot is a support bundle of a cluster. Consecutive snapshots are compared
-by one full outer join on (bundle, node, role, flag): every flag of a snapshot
-is sent to the bundle it is compared with, so the keys are unique and no cluster,
-however large or old, ends up in one task. The header lists each bundle once.
+by one grouping on (bundle, node, role, flag): every flag of a snapshot counts for
+its own bundle and, as the old one, for the bundle compared with it, so no cluster,
+however large or old, ends up in one task. The header lists each bundle once. Null
+clusters and organizations are clusters like others.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ def flag_maps(report_flag_rows: DataFrame, by: Sequence[str] = ("id",)) -> DataF
     )
 
 
+def _equal(left: str, right: str, columns: Sequence[str]):
+    """Equal columns of two aliases; null equals null."""
+    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
+
+
 def latest_snapshot(header: DataFrame) -> DataFrame:
     """Time of the latest snapshot per (cluster, organization)."""
     return header.groupBy(*CLUSTER).agg(F.max("timestamp").alias("latest"))
@@ -74,7 +80,7 @@ def snapshots_window(
         reference = rows.filter(F.col("support_bundle") == reference_bundle).select(
             *CLUSTER, F.col("timestamp").alias("latest")
         ).distinct()
-    joined = rows.join(reference, list(CLUSTER))
+    joined = rows.alias("s").join(reference.alias("r"), _equal("s", "r", CLUSTER)).select("s.*", "r.latest")
     if days is not None:
         joined = joined.filter(F.col("timestamp") >= F.col("latest") - F.make_dt_interval(F.lit(int(days))))
     return joined.filter(F.col("timestamp") <= F.col("latest")).drop("latest")
@@ -118,8 +124,8 @@ def snapshot_steps(snapshots: DataFrame, order: str = "newest_first") -> DataFra
         F.lag("_last").over(in_walk).alias("_day_prev"), F.lead("_first").over(in_walk).alias("_day_next"),
     )
     following = F.coalesce("_next", "_day_next")
-    return ranked.join(days, [*CLUSTER, "_day"]).select(
-        *CLUSTER, (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias("step"), "support_bundle", "timestamp",
+    return ranked.alias("r").join(days.alias("d"), _equal("r", "d", [*CLUSTER, "_day"])).select(
+        *[F.col(f"r.{c}") for c in CLUSTER], (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias("step"), "support_bundle", "timestamp",
         F.coalesce("_prev", "_day_prev").alias("prev_bundle"),
         following["support_bundle"].alias("next_bundle"), following["timestamp"].alias("next_timestamp"),
     )
@@ -135,32 +141,26 @@ def flag_history(flags: DataFrame, steps: DataFrame) -> DataFrame:
 
     ``change`` is initial (first snapshot), added, removed, modified or same,
     always seen from ``prev_bundle`` to ``support_bundle`` in walk order. Values
-    are compared as text. ``flags`` must hold each (bundle, node, role, flag)
-    once; see ``single_values``. ``steps`` comes from ``snapshot_steps`` and is
-    used several times, so pass it stored.
+    are compared as text; of a repeated (bundle, node, role, flag) the greatest
+    value counts. ``steps`` comes from ``snapshot_steps``.
     """
-    key = ["support_bundle", "node_name", "server_type", "gflag"]
-    placed = flags.join(steps, "support_bundle")
-    current = placed.select(*key, "value", *CLUSTER, "timestamp", "step", "prev_bundle", F.lit(True).alias("_has"))
-    previous = placed.filter(F.col("next_bundle").isNotNull()).select(
-        F.col("next_bundle").alias("support_bundle"), "node_name", "server_type", "gflag",
-        F.col("value").alias("old_value"), F.col("support_bundle").alias("_prev"), F.lit(True).alias("_had"),
-        *[F.col(c).alias(f"_{c}") for c in CLUSTER], F.col("next_timestamp").alias("_ts"),
-        (F.col("step") + 1).alias("_step"),
-    )
-    both = current.join(previous, key, "full")
-    same = F.col("value").cast("string").eqNullSafe(F.col("old_value").cast("string"))
-    step = F.coalesce("step", "_step")
+    process = ["node_name", "server_type", "gflag"]
+    step_of = ["support_bundle", *CLUSTER, "timestamp", "step", "prev_bundle"]
+    placed = flags.select("support_bundle", *process, "value").join(steps, "support_bundle")
+    own = F.struct(*step_of, F.lit(True).alias("_own"))
+    later = F.struct(
+        F.col("next_bundle").alias("support_bundle"), *CLUSTER, F.col("next_timestamp").alias("timestamp"),
+        (F.col("step") + 1).alias("step"), F.col("support_bundle").alias("prev_bundle"), F.lit(False).alias("_own"))
+    seen = placed.select(*process, "value", F.inline(F.array(own, later))).filter(F.col("support_bundle").isNotNull())
+    held = F.struct("value")
+    both = seen.groupBy(*step_of, *process).agg(
+        F.max(F.when(F.col("_own"), held)).alias("_new"), F.max(F.when(~F.col("_own"), held)).alias("_old"))
+    same = F.col("_new.value").cast("string").eqNullSafe(F.col("_old.value").cast("string"))
     return both.select(
-        *[F.coalesce(c, f"_{c}").alias(c) for c in CLUSTER],
-        step.alias("step"),
-        F.coalesce("prev_bundle", "_prev").alias("prev_bundle"),
-        "support_bundle",
-        F.coalesce("timestamp", "_ts").alias("timestamp"),
-        "node_name", "server_type", "gflag",
-        F.when(step == 0, "initial").when(F.col("_had").isNull(), "added").when(F.col("_has").isNull(), "removed")
+        *CLUSTER, "step", "prev_bundle", "support_bundle", "timestamp", *process,
+        F.when(F.col("step") == 0, "initial").when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
         .when(same, "same").otherwise("modified").alias("change"),
-        "old_value", F.col("value").alias("new_value"),
+        F.col("_old.value").alias("old_value"), F.col("_new.value").alias("new_value"),
     )
 
 
@@ -188,37 +188,25 @@ def diff_summary(history: DataFrame, level: str = "role") -> DataFrame:
 
 
 def diff_payload(flags: DataFrame, steps: DataFrame) -> DataFrame:
-    """One row per (node, role) and snapshot: its flags and what changed, as maps.
+    """One row per (node, role) and snapshot that has or just lost flags of it, with its flags and changes as maps.
 
-    A (node, role) that a snapshot lacks has an empty map there, so all its flags
-    show as removed. Maps hold the flag names of one process; the history of a
-    process stays one row per snapshot.
+    Maps hold the flag names of one process; the history of a process stays one row per snapshot.
     """
     history = flag_history(flags, steps)
-    cell = [*CLUSTER, "support_bundle", "node_name", "server_type"]
+    cell = [*CLUSTER, "support_bundle", "node_name", "server_type", "step", "timestamp"]
 
     def as_map(condition, value):
         pairs = F.collect_list(F.when(condition, F.struct("gflag", value.alias("v"))))
         return F.map_from_entries(F.array_sort(pairs))
 
     change, new, old = F.col("change"), F.col("new_value"), F.col("old_value")
-    maps = history.groupBy(*cell).agg(
+    return history.groupBy(*cell).agg(
+        F.when(F.col("step") == 0, "initial").otherwise("diff").alias("type"),
         as_map(change == "added", new).alias("added"),
         as_map(change == "removed", old).alias("removed"),
         as_map(change == "modified", F.struct(old.alias("old"), new.alias("new"))).alias("modified"),
         as_map(change != "removed", new).alias("gflags"),
     )
-    processes = history.select(*CLUSTER, "node_name", "server_type").distinct()
-    grid = processes.join(steps.select(*CLUSTER, "step", "support_bundle", "timestamp"), list(CLUSTER))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    no_changes = F.map_from_arrays(
-        F.array().cast("array<string>"), F.array().cast("array<struct<old: string, new: string>>"))
-    return grid.join(maps, cell, "left").select(
-        *cell, "step", "timestamp",
-        F.when(F.col("step") == 0, "initial").otherwise("diff").alias("type"),
-        F.coalesce("added", empty).alias("added"), F.coalesce("removed", empty).alias("removed"),
-        F.coalesce("modified", no_changes).alias("modified"), F.coalesce("gflags", empty).alias("gflags"),
-    )
 
 
 def ordered_steps(rows: DataFrame) -> DataFrame:

@@ -26,9 +26,8 @@ _INSIDE = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 
 PG_LOG_TYPE = "postgres"
 
-# Up to this many patterns the tests are compiled into the stage's one method. A
-# larger method would not be optimised by the JVM any more, or not compile at all.
-COMPILED_PATTERNS = 40
+# Patterns per array of tests; the arrays of a catalogue are joined, whatever its size.
+GROUP = 40
 
 
 def required_text(regex: str) -> str | None:
@@ -102,11 +101,10 @@ def matches(message: Column, lowered: Column, regex: str, classes: str = "ascii"
     return F.coalesce(test, F.lit(False))
 
 
-def _kept(ids: Column, patterns: Sequence[Pattern]) -> Column:
-    """The array without -1, compiled or, for large catalogues, evaluated expression by expression."""
-    if len(patterns) <= COMPILED_PATTERNS:
-        return F.array_remove(ids, F.lit(-1))
-    return F.filter(ids, lambda i: i >= 0)
+def _kept(tests: Sequence[Column]) -> Column:
+    """The results of the tests as one array without -1."""
+    groups = [F.array(*tests[at:at + GROUP]) for at in range(0, len(tests), GROUP)]
+    return F.concat(*[F.array_remove(group, F.lit(-1)) for group in groups])
 
 
 def _scopes(patterns: Sequence[Pattern], scope: str, log_type: str):
@@ -143,7 +141,7 @@ def match_all(
             F.when(matches(F.col(message), lowered, patterns[i].regex), F.lit(i)).otherwise(F.lit(-1))
             for i in ids
         ]
-        return _kept(F.array(*tests), patterns) if tests else F.array().cast("array<int>")
+        return _kept(tests) if tests else F.array().cast("array<int>")
 
     parts = _scopes(patterns, scope, log_type)
     found = hits(parts[0][1])
@@ -181,7 +179,7 @@ def match_first(
         found = F.when(parts[0][0], found).otherwise(first(parts[1][1]))
     # The id leaves through a generator: a filter on it would be pushed below and
     # run the regular expressions twice.
-    hit = _kept(F.array(F.coalesce(found, F.lit(-1))), patterns)
+    hit = _kept([F.coalesce(found, F.lit(-1))])
     return (
         logs.filter(F.col(message).rlike(r"\S"))
         .withColumn("_lowered", folded(F.col(message), classes))

@@ -136,8 +136,11 @@ def fill_gaps(
     """Adds a zero for every bucket between the report's first and last that a series lacks.
 
     Each series generates its own zero rows, which are added to the counts; no
-    join with a spine of buckets is needed.
+    join with a spine of buckets is needed. It generates days first and, in other
+    tasks, the buckets of a day, so no row holds more than a day's. ``interval`` divides a day.
     """
+    if (24 * 60) % interval:
+        raise ValueError("the interval must divide a day")
     rows = with_bucket(series).select(*by, *keys, "bucket", "count")
     names = rows.groupBy(*by, *keys).agg(F.min("bucket").alias("_low"), F.max("bucket").alias("_high"))
     bounds = names.groupBy(*by).agg(F.struct(F.min("_low").alias("low"), F.max("_high").alias("high")).alias("_range"))
@@ -146,8 +149,13 @@ def fill_gaps(
     else:
         names = names.withColumn("_range", bounds.scalar())
     step = F.expr(f"INTERVAL {int(interval)} MINUTES")
-    zeros = names.select(
-        *by, *keys, F.explode(F.sequence("_range.low", "_range.high", step)).alias("bucket"), F.lit(0).cast("bigint").alias("count")
+    day = F.expr("INTERVAL 1 DAY")
+    days = names.select(
+        *by, *keys, F.explode(F.sequence("_range.low", "_range.high", day)).alias("_from"), F.col("_range.high").alias("_high")
+    ).repartition(*by, *keys, "_from")
+    until = F.least(F.col("_high"), F.col("_from") + day - step)
+    zeros = days.select(
+        *by, *keys, F.explode(F.sequence(F.col("_from"), until, step)).alias("bucket"), F.lit(0).cast("bigint").alias("count")
     )
     return (
         rows.unionByName(zeros).groupBy(*by, *keys, "bucket").agg(F.sum("count").alias("count"))

@@ -102,23 +102,25 @@ def zone_replicas(tablets: DataFrame, tservers: DataFrame, by: Sequence[str] = (
     ``balanced`` says whether all tablets of the zone have the same count.
     """
     zone = [*by, "region", "zone"]
-    spread = (
-        zoned_tablets(tablets, tservers, by).groupBy(*zone, "tablet_uuid").agg(F.count("*").alias("replica_count"))
-        .groupBy(*zone, "replica_count").agg(F.count("*").alias("tablets"))
-    )
+    live = live_replicas(tablets).select(*by, "node_uuid", "tablet_uuid")
+    listed = server_zones(tservers, by)
+    # Replicas of a tablet per zone, then the tablet's zones in one short list with an entry for the tablet itself.
+    held = live.join(listed.withColumn("_listed", F.lit(True)), [*by, "node_uuid"], "left").groupBy(
+        *by, "tablet_uuid", "_listed", "region", "zone").agg(F.count("*").alias("replica_count"))
+    entry = F.struct("_listed", "region", "zone", "replica_count")
+    itself = F.struct(F.lit(False).alias("_listed"), F.lit(None).cast("string").alias("region"),
+                      F.lit(None).cast("string").alias("zone"), F.lit(0).cast("bigint").alias("replica_count"))
+    places = held.groupBy(*by, "tablet_uuid").agg(F.collect_list(F.when(F.col("_listed"), entry)).alias("_in"))
+    spread = places.select(*by, F.inline(F.concat("_in", F.array(itself)))).groupBy(
+        *zone, "_listed", "replica_count").agg(F.count("*").alias("tablets"))
     # From here on there is one row per zone and replica count.
-    in_zone = Window.partitionBy(*zone)
+    in_zone, in_all = Window.partitionBy(*zone, "_listed"), Window.partitionBy(*(by or [F.lit(0)]))
     spread = spread.select(
-        *zone, "replica_count", "tablets", F.sum("tablets").over(in_zone).alias("_held"),
-        F.count("*").over(in_zone).alias("_kinds"))
-    live = live_replicas(tablets)
-    servers = live.select(*by, "node_uuid").distinct().join(server_zones(tservers, by), [*by, "node_uuid"])
+        *zone, "replica_count", "tablets", "_listed", F.sum("tablets").over(in_zone).alias("_held"),
+        F.count("*").over(in_zone).alias("_kinds"),
+        F.max(F.when(~F.col("_listed"), F.col("tablets"))).over(in_all).alias("_every")).filter("_listed")
+    servers = live.select(*by, "node_uuid").distinct().join(listed, [*by, "node_uuid"])
     servers = servers.groupBy(*zone).agg(F.count("*").alias("tservers"))
-    if by:
-        every = live.groupBy(*by).agg(_distinct_with_null("tablet_uuid").alias("_every"))
-        spread = spread.join(every, list(by))
-    else:
-        spread = spread.withColumn("_every", live.agg(_distinct_with_null("tablet_uuid")).scalar())
     s, v = spread.alias("s"), servers.alias("v")
     return s.join(v, [F.col(f"s.{k}").eqNullSafe(F.col(f"v.{k}")) for k in zone]).select(
         *[F.col(f"s.{k}") for k in zone], "tservers",

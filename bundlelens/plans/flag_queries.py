@@ -8,7 +8,6 @@ from bundlelens.adapters import with_views
 from bundlelens.functions.timestamps import second_text
 from bundlelens.operators import flags
 from bundlelens.plans.registry import query
-from bundlelens.session import written
 
 _BASE = with_views("snapshots", "bundle_flags")
 
@@ -20,21 +19,15 @@ def _steps(order: str) -> str:
       SELECT *, row_number() OVER w - 1 AS step, lag(support_bundle) OVER w AS prev_bundle
       FROM snapshots WINDOW w AS (PARTITION BY cluster_name, organization ORDER BY {by})),
     placed AS (SELECT * FROM steps JOIN bundle_flags USING (support_bundle)),
-    processes AS (SELECT DISTINCT cluster_name, organization, node_name, server_type FROM placed),
-    grid AS (SELECT s.*, p.node_name, p.server_type FROM steps s JOIN processes p USING (cluster_name, organization)),
-    names AS (SELECT DISTINCT support_bundle, node_name, server_type, gflag FROM bundle_flags),
-    cells AS (
-      SELECT g.*, n.gflag, c.value AS new_value, c.gflag IS NOT NULL AS has, p.value AS old_value, p.gflag IS NOT NULL AS had
-      FROM grid g JOIN (SELECT DISTINCT cluster_name, organization, node_name, server_type, gflag FROM placed) n
-        USING (cluster_name, organization, node_name, server_type)
-      LEFT JOIN bundle_flags c ON c.support_bundle = g.support_bundle AND c.node_name = g.node_name
-        AND c.server_type = g.server_type AND c.gflag = n.gflag
-      LEFT JOIN bundle_flags p ON p.support_bundle = g.prev_bundle AND p.node_name = g.node_name
-        AND p.server_type = g.server_type AND p.gflag = n.gflag),
+    earlier AS (SELECT s.*, f.node_name, f.server_type, f.gflag, f.value AS old_value
+      FROM steps s JOIN bundle_flags f ON f.support_bundle = s.prev_bundle),
     history AS (
-      SELECT *, CASE WHEN step = 0 THEN 'initial' WHEN NOT had THEN 'added' WHEN NOT has THEN 'removed'
-        WHEN new_value = old_value THEN 'same' ELSE 'modified' END AS change
-      FROM cells WHERE has OR had)"""
+      SELECT coalesce(c.cluster_name, p.cluster_name) AS cluster_name, coalesce(c.organization, p.organization) AS organization,
+        coalesce(c.step, p.step) AS step, coalesce(c.prev_bundle, p.prev_bundle) AS prev_bundle, support_bundle,
+        coalesce(c."timestamp", p."timestamp") AS "timestamp", node_name, server_type, gflag, old_value, c.value AS new_value,
+        CASE WHEN coalesce(c.step, p.step) = 0 THEN 'initial' WHEN p.step IS NULL THEN 'added' WHEN c.step IS NULL THEN 'removed'
+          WHEN c.value = old_value THEN 'same' ELSE 'modified' END AS change
+      FROM placed c FULL JOIN earlier p USING (support_bundle, node_name, server_type, gflag))"""
 
 
 _NEWEST = _steps("newest_first")
@@ -49,8 +42,7 @@ def _timed(df):
 
 
 def steps(v, order="newest_first"):
-    """The chain of snapshots, stored: Spark then knows its size, and both sides of the comparison use it."""
-    return written(flags.snapshot_steps(v.snapshots(), order), "steps")
+    return flags.snapshot_steps(v.snapshots(), order)
 
 
 def history(v, order="newest_first"):
@@ -165,25 +157,20 @@ def _pairs(when: str, value: str) -> str:
     return f"coalesce(string_agg(gflag || '=' || {value}, ',' ORDER BY gflag) FILTER ({when}), '')"
 
 
-@query("diff_payload", _NEWEST + f""", filled AS (
-      SELECT cluster_name, organization, support_bundle, node_name, server_type,
+@query("diff_payload", _NEWEST + f"""
+      SELECT cluster_name, organization, support_bundle, node_name, server_type, step,
+        strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", CASE WHEN step = 0 THEN 'initial' ELSE 'diff' END AS type,
         {_pairs("change = 'added'", 'new_value')} AS added, {_pairs("change = 'removed'", 'old_value')} AS removed,
         {_pairs("change = 'modified'", "old_value || '>' || new_value")} AS modified,
         {_pairs("change <> 'removed'", 'new_value')} AS gflags
-      FROM history GROUP BY ALL)
-    SELECT g.cluster_name, g.organization, g.support_bundle, g.node_name, g.server_type, step,
-      strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", CASE WHEN step = 0 THEN 'initial' ELSE 'diff' END AS type,
-      coalesce(added, '') AS added, coalesce(removed, '') AS removed, coalesce(modified, '') AS modified,
-      coalesce(gflags, '') AS gflags
-    FROM grid g LEFT JOIN filled f ON f.support_bundle = g.support_bundle AND f.node_name = g.node_name
-      AND f.server_type = g.server_type""")
+      FROM history GROUP BY cluster_name, organization, support_bundle, node_name, server_type, step, "timestamp" """)
 def diff_payload(v):
-    """M6, M7: every (node, role) at every snapshot, maps shown as text"""
+    """M6, M7: every (node, role) at every snapshot that has or lost flags of it, maps shown as text"""
     def shown(name, value=lambda e: e["value"]):
         return F.array_join(F.transform(
             F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), value(e))), ",").alias(name)
     rows = _timed(flags.diff_payload(v.bundle_flags(), steps(v)))
     keep = [c for c in rows.columns if c not in ("added", "removed", "modified", "gflags")]
-    return flags.ordered_steps(rows).select(
+    return rows.select(
         *keep, shown("added"), shown("removed"),
         shown("modified", lambda e: F.concat(e["value"]["old"], F.lit(">"), e["value"]["new"])), shown("gflags"))

@@ -92,18 +92,6 @@ def bundle_probe(v):
     return logs.bundle_name(v.log_events(), v.sf_dir)
 
 
-@query("dataset_profile")
-def dataset_profile(v):
-    """S3 (sizes on disk are not visible to SQL)"""
-    return logs.profile_files(v.spark, v.sf_dir)
-
-
-@query("dataset_files")
-def dataset_files(v):
-    """S3: the first ten file names"""
-    return logs.first_files(v.spark, v.sf_dir)
-
-
 @query("pattern_hits", HITS + "SELECT event_id, node_name, log_type, pattern_name, pattern FROM hits")
 def pattern_hits(v):
     """Every matching pattern of every message"""

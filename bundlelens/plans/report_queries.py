@@ -71,12 +71,6 @@ def report_search_count(v):
     return reports.page_count(v.reports(), v.bundle_header(), 25, "77")
 
 
-@query("blank_search", _JOINED + "SELECT " + _ROW + " FROM joined WHERE false")
-def blank_search(v):
-    """a blank query finds nothing"""
-    return reports.listing_row(reports.search_reports(v.reports(), v.bundle_header(), "  "))
-
-
 @query("latest_reports", _BASE + """
     SELECT support_bundle_name, arg_max(id, (created_at, id)) AS id FROM reports GROUP BY support_bundle_name""")
 def latest_reports(v):

@@ -8,7 +8,7 @@ from bundlelens.adapters import with_views
 from bundlelens.functions import encodings
 from bundlelens.operators import tablets
 from bundlelens.plans.registry import query
-from bundlelens.session import shared_dir, written
+from bundlelens.session import shared_dir
 from bundlelens.sources import store, tablet_reports
 
 _TABLETS = with_views("ts_tablet", "ts_cluster")
@@ -27,11 +27,6 @@ def _human(expr: str) -> str:
       END"""
 
 
-def _stored_tablets(v):
-    """The tablet table as it is stored: several passes read it."""
-    return written(v.ts_tablet(), "tablets")
-
-
 @query("table_info", _TABLETS + f""", per_node AS (
       SELECT namespace, table_name, node_uuid, count(*) AS n FROM ts_tablet GROUP BY ALL),
     spread AS (SELECT namespace, table_name, min(n) AS lo, max(n) AS hi FROM per_node GROUP BY ALL),
@@ -48,7 +43,7 @@ def _stored_tablets(v):
     FROM totals t JOIN spread s ON s.namespace = t.namespace AND s.table_name = t.table_name""")
 def table_info(v):
     """A9, D13, P11, P15"""
-    return tablets.table_info(_stored_tablets(v))
+    return tablets.table_info(v.ts_tablet())
 
 
 @query("live_replicas", _LIVE + "SELECT node_uuid, tablet_uuid, status, sst_size, wal_size FROM live")
@@ -77,13 +72,13 @@ _ZONES = _LIVE + """,
 @query("zone_replicas", _ZONES + "SELECT * FROM zones")
 def zone_replicas(v):
     """A10, A11, J11, U5"""
-    return tablets.zone_replicas(_stored_tablets(v), v.ts_cluster())
+    return tablets.zone_replicas(v.ts_tablet(), v.ts_cluster())
 
 
 @query("zone_max_replicas", _ZONES + "SELECT max(replica_count) AS width FROM zones")
 def zone_max_replicas(v):
     """A12"""
-    zones = tablets.zone_replicas(_stored_tablets(v), v.ts_cluster())
+    zones = tablets.zone_replicas(v.ts_tablet(), v.ts_cluster())
     return zones.agg(F.coalesce(F.max("replica_count"), F.lit(1)).alias("width"))
 
 
@@ -93,7 +88,7 @@ def zone_max_replicas(v):
     FROM zones GROUP BY region, zone, tservers, missing_replicas, balanced""")
 def zone_pivot(v):
     """A10 display form: per zone the tablets of every replica count"""
-    zones = tablets.zone_counts(tablets.zone_replicas(_stored_tablets(v), v.ts_cluster()))
+    zones = tablets.zone_counts(tablets.zone_replicas(v.ts_tablet(), v.ts_cluster()))
     shown = F.transform(F.array_sort(F.map_entries("replicas")), lambda e: F.concat_ws(":", e["key"], e["value"]))
     return zones.withColumn("replicas", F.array_join(shown, ","))
 
@@ -239,7 +234,7 @@ def tablets_from_documents(v):
 def saved_tablet_tables(v):
     """Written twice for one report, read back"""
     root = shared_dir(v.spark, "tablet-tables")
-    tablet, cluster = _stored_tablets(v), v.ts_cluster()
+    tablet, cluster = v.ts_tablet(), v.ts_cluster()
     tables = cluster, tablet, tablets.table_info(tablet), tablets.zone_replicas(tablet, cluster)
     for _ in range(2):
         store.write_tablet_tables(root, "r1", *tables)

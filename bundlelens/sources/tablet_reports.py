@@ -110,7 +110,11 @@ def _entries(text: str):
         if not isinstance(document, dict):
             yield number, None, None, "bad document: not an object"
             return
-        for i, entry in enumerate(document.get("content", [])):
+        content = document.get("content", [])
+        if not isinstance(content, list):
+            yield number, None, None, "bad document: content is no list"
+            return
+        for i, entry in enumerate(content):
             yield number, i, json.dumps(entry), None
         number += 1
 
@@ -127,7 +131,7 @@ def split_documents(files: DataFrame, batch: int = 5_000) -> DataFrame:
         rows = []
         for pdf in frames:
             for bundle, name, text in zip(pdf["bundle"], pdf["file_name"], pdf["text"]):
-                for row in _entries(text):
+                for row in _entries(text or ""):
                     rows.append((bundle, name, *row))
                     if len(rows) == batch:
                         yield pd.DataFrame(rows, columns=columns).astype({"entry_no": "Int64"})

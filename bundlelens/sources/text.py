@@ -26,10 +26,11 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str], servers=DISC
     passes.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(paths)
-    lines = raw.select(
+    if servers is not None:  # below the numbering of lines, so that other files are not opened
+        raw = raw.filter(is_log_file(F.col("_metadata.file_path"), servers))
+    return raw.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("line_block"),
         F.monotonically_increasing_id().alias("line_no"),
         drop_invalid_utf8(F.col("value")).alias("line"),
     )
-    return lines if servers is None else lines.filter(is_log_file(F.col("file_path"), servers))

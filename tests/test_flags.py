@@ -35,7 +35,7 @@ def test_snapshot_without_the_process(spark):
     f = table(spark, {"new": {"a": "1"}}).union(table(spark, {"old": {"z": "0"}}, node="m"))
     payload = flags.ordered_steps(flags.diff_payload(f, flags.snapshot_steps(s))).collect()
     assert [(r.node_name, r.step, r.type, r.added, r.removed, r.gflags) for r in payload] == [
-        ("m", 0, "initial", {}, {}, {}), ("m", 1, "diff", {"z": "0"}, {}, {"z": "0"}),
+        ("m", 1, "diff", {"z": "0"}, {}, {"z": "0"}),
         ("n", 0, "initial", {}, {}, {"a": "1"}), ("n", 1, "diff", {}, {"a": "1"}, {})]
     history = flags.flag_history(f, flags.snapshot_steps(s))
     assert rows(flags.diff_summary(history, "node"), "node_name", "added", "removed", "modified") == [("m", 1, 0, 0), ("n", 0, 1, 0)]
@@ -102,3 +102,23 @@ def test_values_are_compared_as_text(spark):
     s = snaps(spark, ("new", DAY + timedelta(days=1)), ("old", DAY))
     f = table(spark, {"new": {"a": None, "b": None}, "old": {"a": None, "b": "1"}})
     assert rows(flags.flag_diff(f, flags.snapshot_steps(s)), "gflag", "change") == [("b", "modified")]
+
+
+def test_null_cluster_keeps_its_snapshots(spark):
+    s = snaps(spark, ("new", DAY + timedelta(days=1)), ("old", DAY), cluster=None)
+    assert flags.snapshots_window(s).count() == 2
+    assert rows(flags.snapshot_steps(s), "step", "support_bundle", "prev_bundle") == [(0, "new", None), (1, "old", "new")]
+
+
+def test_repeated_flags_give_one_row_a_step(spark):
+    s = snaps(spark, ("new", DAY + timedelta(days=1)), ("old", DAY))
+    f = table(spark, {"new": {"a": "1"}, "old": {"a": "1"}}).union(table(spark, {"new": {"a": "2"}, "old": {"a": "3"}}))
+    history = flags.flag_history(f, flags.snapshot_steps(s))
+    assert rows(history, "step", "change", "old_value", "new_value") == [(0, "initial", None, "2"), (1, "modified", "2", "3")]
+
+
+def test_flag_without_a_value(spark):
+    s = snaps(spark, ("new", DAY + timedelta(days=1)), ("old", DAY))
+    f = table(spark, {"new": {"a": None, "b": None}, "old": {"a": None, "b": "1"}})
+    history = flags.flag_history(f, flags.snapshot_steps(s)).filter("step = 1")
+    assert rows(history, "gflag", "change") == [("a", "same"), ("b", "modified")]

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from bundlelens.functions import labels, timestamps
@@ -52,6 +53,14 @@ def test_gap_filling(spark):
         ("p", "10:00", 4), ("p", "10:10", 0), ("p", "10:20", 5), ("q", "10:00", 0), ("q", "10:10", 7), ("q", "10:20", 0)]
 
 
+def test_gaps_over_days(spark):
+    h = hist(spark, ("2024-01-01T23:30:00Z", 1), ("2024-01-04T00:15:00Z", 2))
+    got = rows(series.fill_gaps(series.message_totals(h), 15), "minute", "count")
+    assert len(got) == 196 == len(set(got)) and sum(c for _, c in got) == 3
+    with pytest.raises(ValueError):
+        series.fill_gaps(series.message_totals(h), 7)
+
+
 def test_drill_down(spark):
     h = spark.createDataFrame([("n1", "a", "p", "m", 1), ("n2", "a", "p", "m", 2), ("n2", "b", "p", "m", 4)], HIST)
     total = lambda *a: [r[0] for r in rows(series.message_totals(h, *a), "count")]

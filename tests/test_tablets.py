@@ -173,3 +173,9 @@ def test_tables_are_replaced_per_report(spark, tmp_path):
     store.write_tablet_tables(root, "r1", *tables(one.union(one)))
     count = lambda name, r=None: store.read_tablet_table(spark, root, name, r).count()
     assert (count("tablets", "r1"), count("tablets", "r2"), count("cluster")) == (2, 1, 2)
+
+
+def test_content_that_is_no_list_is_a_reject():
+    good, bad = '{"content": [{"a": 1}]}', '{"content": null}'
+    assert [(r[0], r[3]) for r in tablet_reports._entries(good + bad + good)] == [
+        (0, None), (1, "bad document: content is no list")]
