@@ -34,8 +34,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each group of near copies stays."""
-    return simhash.near_duplicates(docs).filter("kept").select(docs.columns)
+    """Operator 3: one document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
+    return simhash.near_copies(docs, words=5, least=0.8).filter("kept").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,6 +89,48 @@ def test_links_of_random_prints(spark):
     assert {p: got.get(p, p) for p in prints} == {p: prints[r] for p, r in zip(prints, root)}
 
 
+def test_near_copies_against_all_pairs(spark):
+    random = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [None, "", "one", "ONE", "a b c d e f g h", "a b c d e f g h i", "a b c d"]
+    for size in [12, 40, 120, 400] * 6:
+        base = random.choice(vocabulary, size).tolist()
+        for _ in range(5):
+            copy = list(base)
+            for at in random.integers(0, size, random.integers(0, max(2, size // 25))):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in simhash.near_copies(docs, tile_rows=16).collect()}
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) >= 0.8 * len(a | b)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            least = min(root[i], root[j])
+            changed |= root[i] != root[j]
+            root[i] = root[j] = least
+    assert len(set(root)) < len(root) - 20 and len(set(root)) > 20
+    assert [got[i]["component_id"] for i in range(len(texts))] == root
+    assert all(got[i]["kept"] == (root[i] == i) for i in range(len(texts)))
+    assert simhash.near_copies(docs.filter("false")).count() == 0
+
+
+def test_near_stage_of_the_pipeline(spark):
+    import corpus_pipeline
+    words = [f"w{i}" for i in range(200)]
+    copy = list(words)
+    copy[50] = copy[150] = "other"  # 186 of 206 shingles are shared: 0.9
+    less = [w if i % 10 else "other" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate([words, copy, less])], DOCS)
+    assert [r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").orderBy("doc_id").collect()] == [0, 2]
+
+
 def test_bpe(spark, docs):
     library = Tokenizer.from_file(SPEC)
     odd = ["İstanbul Ǆ ΣΑΣ", "a\x1cb\x00c", "é 한국어 ՘x 👍🏽", "x" * 3000, "'s's''re", " a b", "<|startoftext|><|endoftext|>"]
