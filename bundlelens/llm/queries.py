@@ -153,7 +153,7 @@ def quality_query(spark, sf_dir):
 def secrets_query(spark, sf_dir):
     """Operator 10 over all documents."""
     scanned = secrets.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
-    return secrets.with_digests(scanned).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return secrets.with_digests(scanned).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "unread")
 
 
 query("pipeline")(corpus_pipeline.run)

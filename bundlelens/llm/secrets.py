@@ -5,9 +5,10 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import codecs
+import itertools
 import re
 import zlib
-from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,13 @@ LEAST_VALUE = 6
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_LAYER = 1 << 24
-"""Bytes that one compressed layer may unwrap to. What lies beyond is not read; ``unread`` counts such layers."""
-MAX_LAYERS = 10_000
-"""Layers of one document that are unwrapped; ``unread`` counts those left."""
+RUN = re.compile(r"""[A-Za-z0-9+/_.=:"'\x20%\\&#;-]*""")
+"""Characters that secrets, escapes and tokens consist of: text may be cut at any other, in each layer of it."""
+CHUNK = 1 << 20
+WINDOW = 1 << 22
+"""Characters of a decoded stream that are scanned at a time."""
+MAX_RUN = 1 << 25
+"""Characters without a place to cut, or bytes of compressed data inside compressed data, that are held; ``unread`` counts longer ones."""
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -129,28 +133,84 @@ def _unicode(layer: Layer):
     return _rebuilt(layer, pieces, layer.path + "unicode/")
 
 
-def _inflated(raw: bytes) -> tuple[bytes | None, bool]:
-    """What compressed bytes unwrap to (None if they aren't compressed), and whether more was left."""
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        try:
-            unwrap = zlib.decompressobj(47)
-            return unwrap.decompress(raw, MAX_LAYER), bool(unwrap.unconsumed_tail)
-        except zlib.error:
-            pass
-    return None, False
+def _compressed(raw: bytes) -> bool:
+    """Whether bytes start like gzip or zlib data."""
+    return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0)
 
 
-def _readable(raw: bytes) -> str | None:
-    """Bytes as text, if they are UTF-8 without control characters but white space."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if any(c < " " and c not in "\t\n\r\x0b\x0c" for c in text) or not text else text
+def _inflated(raw: bytes, rest: list):
+    """What the first compressed member unwraps to, in chunks; what follows the member is added to ``rest``."""
+    unwrap, data = zlib.decompressobj(47), raw
+    while data and not unwrap.eof:
+        try:
+            chunk = unwrap.decompress(data, CHUNK)
+        except zlib.error:
+            return
+        data = unwrap.unconsumed_tail
+        if chunk:
+            yield chunk
+    while not unwrap.eof and (chunk := unwrap.decompress(b"", CHUNK)):
+        yield chunk
+    rest.append(unwrap.unused_data)
+
+
+def _windows(chunks):
+    """Bytes as text in windows: (text, whether a run was cut). Other cuts are where no secret, escape or token is split."""
+    decoder, text, limit = codecs.getincrementaldecoder("utf-8")("replace"), "", WINDOW
+    for chunk in chunks:
+        text += decoder.decode(chunk)
+        if len(text) < limit:
+            continue
+        cut = len(text) - RUN.match(text[::-1]).end()
+        if cut:
+            yield text[:cut], False
+            text, limit = text[cut:], WINDOW
+        elif len(text) >= MAX_RUN:
+            yield text, True
+            text, limit = text[-WINDOW // 4:], WINDOW
+        limit = max(limit, 2 * len(text))
+    text += decoder.decode(b"", True)
+    if text:
+        yield text, False
+
+
+def _unpacked(raw: bytes, span, path: str):
+    """What the bytes of a token hold, member by member: layers of text, and bytes that are compressed again as (bytes, span, path).
+
+    1 comes in their place for what is beyond the bounds.
+    """
+    while raw:
+        rest: list[bytes] = []
+        chunks = _inflated(raw, rest) if _compressed(raw) else iter(())
+        head = b""
+        while len(head) < 3 and (chunk := next(chunks, b"")):
+            head += chunk
+        if not head and not rest:  # not compressed, or broken from its start
+            for text, cut in _windows(raw[at:at + CHUNK] for at in range(0, len(raw), CHUNK)):
+                yield Layer(text, [(0, *span, 0)], path)
+                if cut:
+                    yield 1
+            return
+        if _compressed(head):
+            held = [head]
+            size = len(head)
+            for chunk in chunks:
+                size += len(chunk)
+                if size <= MAX_RUN:
+                    held.append(chunk)
+            if size > MAX_RUN:
+                yield 1
+            yield b"".join(held), span, path + "zlib/"
+        else:
+            for text, cut in _windows(itertools.chain([head], chunks)):
+                yield Layer(text, [(0, *span, 0)], path + "zlib/")
+                if cut:
+                    yield 1
+        raw = rest[0] if rest else b""
 
 
 def _encoded(layer: Layer):
-    """Base64 tokens that hold text or compressed text: (layer, whether it was cut)."""
+    """The bytes of base64 tokens, with the span and the path of each."""
     for m in BASE64.finditer(layer.text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         whole = body + "=" * (-len(body) % 4)
@@ -160,44 +220,50 @@ def _encoded(layer: Layer):
             raw = base64.b64decode(whole)
         except binascii.Error:
             continue
-        span = layer.origin(m.start(), m.end())
-        unpacked, cut = _inflated(raw)
-        path = layer.path + ("base64/" if unpacked is None else "base64/zlib/")
-        text = _readable(raw if unpacked is None else unpacked)
-        if text:
-            yield Layer(text, [(0, *span, 0)], path), cut
+        yield raw, layer.origin(m.start(), m.end()), layer.path + "base64/"
 
 
 def find(text: str | None) -> tuple[list, list, int]:
     """Base spans, all spans as (start, kind, end, layer), and the number of layers that were not read to their end.
 
     A worklist starts with the text. Each layer is scanned; what its URL escapes, Unicode escapes, base64 tokens and compressed
-    tokens unwrap to joins the list unless the same text from the same place was there before, so cycles end. A span found in a layer is that of the
-    characters it comes from; for base64 and compressed layers that of the whole token.
+    tokens unwrap to joins the list unless the same text from the same place was there before, so cycles end. Tokens are unwrapped
+    one by one, and long ones in windows, each with all that is under it before the next. Bytes that are no text are scanned for
+    what is readable in them. A span found in a layer is that of the characters it comes from; for base64 and
+    compressed layers that of the whole token.
     """
     if not text:
         return [], [], 0
     base = scan(text)
     spans = {(s, k, e): "" for s, k, e in base}
     root = Layer(text, [(0, 0, len(text), 1)], "")
-    seen, work, unread, layers = {(hash(text), 0)}, deque([root]), 0, 0
+    seen, work, unread = {(hash(text), 0)}, [root], 0
     while work:
-        layer = work.popleft()
-        layers += 1
-        if layers > MAX_LAYERS:
-            unread += 1 + len(work)
-            break
-        if layer is not root:
-            for start, kind, end in scan(layer.text):
-                low, high = layer.origin(start, end)
-                spans.setdefault((low, kind, high), layer.path)
-        new = [(x, False) for x in (_url(layer), _unicode(layer)) if x]
-        for found, cut in [*new, *_encoded(layer)]:
-            unread += cut
-            mark = hash(found.text), found.runs[0][1]
+        item = work.pop()
+        if isinstance(item, tuple):
+            item = _unpacked(*item)
+        if not isinstance(item, Layer):
+            found = next(item, None)
+            if found is None:
+                continue
+            work.append(item)
+            if found == 1:
+                unread += 1
+                continue
+            mark = (hash(found.text), found.runs[0][1]) if isinstance(found, Layer) else (hash(found[0]), found[1])
             if mark not in seen:
                 seen.add(mark)
                 work.append(found)
+            continue
+        if item is not root:
+            for start, kind, end in scan(item.text):
+                low, high = item.origin(start, end)
+                spans.setdefault((low, kind, high), item.path)
+        for found in (_url(item), _unicode(item)):
+            if found and (mark := (hash(found.text), found.runs[0][1])) not in seen:
+                seen.add(mark)
+                work.append(found)
+        work.append(_encoded(item))
     return base, sorted((s, k, e, path) for (s, k, e), path in spans.items()), unread
 
 
@@ -210,8 +276,8 @@ def scan_documents(docs: DataFrame, text: str = "text", carry=None) -> DataFrame
 
     Base spans are matches in the text itself; ``spans`` adds those of the unwrapped layers, as kind:start:end in
     code points of the text, by start, then kind, without repeats. ``layers`` names for each span the
-    encodings it was under (empty for base spans). ``unread`` counts layers beyond the bounds on
-    what a layer unwraps to; no text is cut.
+    encodings it was under (empty for base spans). ``unread`` counts runs of a compressed layer, and
+    compressed data inside it, longer than ``MAX_RUN``; no text is cut.
 
     Null and empty texts have no spans. Whole texts are scanned where they lie, in bounded batches; no shuffle. Input columns
     named like a result give way to it.

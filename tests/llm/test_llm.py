@@ -260,6 +260,25 @@ def test_secrets():
     assert secrets.find("%25" * 2000 + "41")[2] == 0
 
 
+def test_secrets_in_many_and_long_layers(monkeypatch):
+    import base64
+    import zlib
+    key = b"AKIA" + b"B" * 16
+    tokens = [base64.b64encode(b"some text number %d" % i).decode() for i in range(10_500)]
+    text = " ".join([*tokens, base64.b64encode(b"the key is " + key).decode()])
+    _, spans, unread = secrets.find(text)
+    assert [s[1] for s in spans] == [1] and spans[0][2] == len(text) and unread == 0
+    line = "é, password=hunter22, ".encode()
+    long = base64.b64encode(zlib.compress(b"x, " * 6_000_000 + line * 10 + key)).decode()  # 18 MB
+    _, spans, unread = secrets.find(long)
+    assert [s[:3] for s in spans if s[3]] == [(0, 0, len(long)), (0, 1, len(long))] and unread == 0
+    for extra in range(3):  # a character lies across each place where chunks end
+        half = base64.b64encode(zlib.compress(key + b" " * (extra + 1) + "é".encode() * (17 << 19))).decode()
+        assert [s[1] for s in secrets.find(half)[1] if s[3]] == [1]
+    monkeypatch.setattr(secrets, "MAX_RUN", 1 << 22)
+    assert secrets.find(base64.b64encode(zlib.compress(b"z" * (9 << 20))).decode())[2] > 0
+
+
 def test_secrets_query_shape(spark, docs):
     got = secrets.with_digests(secrets.scan_documents(docs)).collect()
     assert len(got) == 11 and all(len(r["base_sha256"]) == 64 for r in got)
