@@ -101,13 +101,11 @@ def _url(layer: Layer):
         return None
     pieces = []
     for m in URL_ESCAPE.finditer(layer.text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            chars = raw.decode()
-        except UnicodeDecodeError:
-            continue
         at = m.start()
-        for c in chars:
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            if "\udc80" <= c <= "\udcff":  # a byte that is no UTF-8 stays as it is
+                at += 3
+                continue
             width = 3 * len(c.encode())
             pieces.append((at, at + width, c))
             at += width

@@ -279,6 +279,28 @@ def test_secrets_in_many_and_long_layers(monkeypatch):
     assert secrets.find(base64.b64encode(zlib.compress(b"z" * (9 << 20))).decode())[2] > 0
 
 
+def test_secrets_under_several_encodings():
+    import base64
+    import gzip
+    import zlib
+    secret = b"password=hunter22 "
+
+    def kinds(raw):
+        token = base64.b64encode(raw).decode()
+        return [s[1] for s in secrets.find(f"x {token} y")[1] if (s[0], s[2]) == (2, 2 + len(token))]
+
+    assert kinds(gzip.compress(gzip.compress(secret))) == kinds(gzip.compress(zlib.compress(zlib.compress(secret)))) == [0]
+    assert kinds(gzip.compress(b"first ") + gzip.compress(secret)) == [0]
+    assert kinds(gzip.compress(gzip.compress(b"a") + gzip.compress(secret)) + b"AKIA" + b"B" * 16) == [0, 1]
+    assert kinds(b"\x01\xff" + secret) == kinds(gzip.compress(b"\xff\x00" + secret)) == [0]
+    assert kinds(gzip.compress(b"of a stream that ends early: " + secret)[:-9]) == [0]
+    assert kinds(b"x^ no stream " + secret) == [0]
+    _, spans, _ = secrets.find("%FF%70assword%3Dhunter22")
+    assert [s[:3] for s in spans] == [(3, 0, 24)]
+    _, spans, _ = secrets.find("%70%FFpass%77ord%3dhunter22")
+    assert [s[:3] for s in spans] == [(6, 0, 27)]
+
+
 def test_secrets_query_shape(spark, docs):
     got = secrets.with_digests(secrets.scan_documents(docs)).collect()
     assert len(got) == 11 and all(len(r["base_sha256"]) == 64 for r in got)
