@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -26,6 +27,7 @@ STEPS = 600
 DECAY = 1e-5
 CACHE_WORDS = 300_000
 LONG_WORD = 64
+"""Letters from which a token is also read by what is inside it."""
 ODD = re.compile(r"[^\w\s.,;:'’-]")
 GRADES = 3
 
@@ -34,16 +36,35 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS
 
 
+def _inside(token: str) -> set[str]:
+    """The features in a long token: its parts between signs, and the letter pairs and triples of a long part."""
+    letters = "".join([c if c.isalnum() or unicodedata.category(c)[0] == "M" else " " for c in token.lower()])
+    found = set()
+    for part in set(letters.split()):
+        found.add("w" + part)
+        if len(part) > LONG_WORD:
+            for size in (2, 3):
+                found.update([f"g{part[i:i + size]}" for i in range(len(part) - size + 1)])
+    return found
+
+
 class Tokens(dict):
-    """For each token: its two features and, for the shares, whether it shouts and whether it holds odd signs."""
+    """For each token: its features and, for the shares, whether it shouts and whether it holds odd signs.
+
+    The features are the word and its odd signs, four at a time; of long tokens, which are not kept, also what is inside.
+    """
 
     def __missing__(self, token: str):
-        word = token.strip(".,;:!?\"'()[]{}*#$%&|").lower()[:LONG_WORD]
-        signs = "".join(ODD.findall(token[:LONG_WORD]))[:4]
-        found = (_bucket("w" + word), _bucket("s" + signs) if signs else -1, token.isupper() and len(token) > 1, bool(signs))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[token] = found
+        names = {"w" + token.strip(".,;:!?\"'()[]{}*#$%&|").lower()}
+        signs = "".join(ODD.findall(token))
+        names.update(["s" + signs[i:i + 4] for i in range(0, len(signs), 4)])
+        if len(token) > LONG_WORD:
+            names |= _inside(token)
+        found = (tuple(map(_bucket, names)), token.isupper() and len(token) > 1, bool(signs))
+        if len(token) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[token] = found
         return found
 
 
@@ -54,13 +75,11 @@ def features(text: str | None, tokens: Tokens) -> list[int]:
     if parts:
         distinct = set(parts)
         known = [tokens[t] for t in distinct]
-        found.update(k[0] for k in known)
-        found.update(k[1] for k in known)
-        found.discard(-1)
         share = [0, 0]
         for k in known:
-            share[0] += k[2]
-            share[1] += k[3]
+            found.update(k[0])
+            share[0] += k[1]
+            share[1] += k[2]
         found.add(_bucket(f"upper{10 * share[0] // len(distinct)}"))
         found.add(_bucket(f"odd{10 * share[1] // len(distinct)}"))
         found.add(_bucket(f"distinct{10 * len(distinct) // len(parts)}"))

@@ -241,6 +241,22 @@ def test_quality(spark, docs):
     assert quality.rate(docs, quality.train(docs, ratings.filter("false"))).count() == 11
 
 
+def test_quality_of_long_tokens():
+    tokens = quality.Tokens()
+    clean, long = ",".join(["fine"] * 40), "山水" * 50
+    toxic = quality._bucket("wvile")
+    assert toxic in quality.features(f"{clean},vile", tokens) and toxic not in quality.features(clean, tokens)
+    assert toxic in quality.features(f"{clean}_VILE", tokens)
+    assert quality._bucket("g恶毒") in quality.features(f"{long}恶毒", tokens)
+    assert quality.features(f"{clean},a", tokens) != quality.features(f"{clean},b", tokens)
+    assert quality.features("a!!!!!?", tokens) != quality.features("a!!!!!!", tokens) and not any(len(t) > 64 for t in tokens)
+    rows = [(0 if i % 2 else 2, np.array(quality.features(f"some {'vile' if i % 2 else 'kind'} words {i}", tokens))) for i in range(200)]
+    import io
+    model = np.load(io.BytesIO(quality.fit(rows)))
+    score = lambda text: model["weights"][quality.features(text, quality.Tokens())].sum()
+    assert score(f"{clean},vile") < score(f"{clean},other") < score(f"{clean},kind")
+
+
 def test_secrets():
     import base64
     import zlib
