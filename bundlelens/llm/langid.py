@@ -14,7 +14,9 @@ from bundlelens.llm.bpe import ship
 from bundlelens.llm.common import annotate, col, held as held_model
 from bundlelens.llm.crf import Adam, packed, posteriors
 
-WORDS = re.compile(r"[^\W\d_]+")
+LONG_WORD = 24
+WORDS = re.compile(r"[^\W\d_]{1,%d}" % LONG_WORD)
+"""Words; a longer run of letters is cut into consecutive words, each labelled by the chain."""
 UNKNOWN = "und"
 BITS = 16
 BUCKETS = 1 << BITS
@@ -24,8 +26,6 @@ SAMPLE_ROWS = 200
 """Labelled rows per language that the model is fitted on."""
 SAMPLE_CHARS = 1_500
 """Characters of a sampled row, from a place in its text that depends on its hash."""
-MAX_LANGUAGES = 64
-"""Languages that the model learns: those with the most labelled rows."""
 SPLICE = 25
 """Words after which the training chains switch to another sampled row, so that transitions are learned."""
 STEPS = 30
@@ -33,8 +33,6 @@ LEXICON_COUNT = 4
 WORDS_AT_ONCE = 100_000
 WORDS_SCORED = 20_000
 CACHE_WORDS = 200_000
-LONG_WORD = 24
-"""Of longer words the features see the first and last half of so many letters."""
 
 
 def features(words) -> np.ndarray:
@@ -42,7 +40,7 @@ def features(words) -> np.ndarray:
 
     Rows are as wide as the longest word needs; unused places hold bucket 0, which weighs nothing.
     """
-    edged = np.array([f"^{w}$" if len(w) <= LONG_WORD else f"^{w[:LONG_WORD // 2]}\0{w[-LONG_WORD // 2:]}$" for w in words])
+    edged = np.array([f"^{w}$" for w in words])
     sizes = np.char.str_len(edged)
     letters = edged.view(np.uint32).reshape(len(edged), -1).astype(np.uint64)
     n, width = letters.shape
@@ -92,10 +90,7 @@ def sample(docs: DataFrame, labelled, text: str, lang: str, key: str, rows: int,
     room = F.greatest(F.length(col(text)) - chars, F.lit(0)) + 1
     part = F.substring(col(text), (F.pmod(order, room) + 1).cast("int"), F.lit(chars))
     fit = docs.filter(labelled & col(lang).isNotNull() & col(text).isNotNull())
-    languages = fit.groupBy(col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n")).orderBy(
-        F.desc("_n"), "_lang").limit(MAX_LANGUAGES)
-    names = [r["_lang"] for r in languages.collect()]
-    ranked = fit.filter(col(lang).isin(names)).select(col(lang).alias("lang"), part.alias("text"), order.alias("_order"))
+    ranked = fit.select(col(lang).alias("lang"), part.alias("text"), order.alias("_order"))
     first = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text")))
     return [(r["lang"], r["text"]) for r in first.filter(F.col("_rank") <= rows).select("lang", "text").collect()]
 

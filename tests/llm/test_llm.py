@@ -231,6 +231,17 @@ def test_language(spark, docs):
     assert langid.identify(docs.filter("false"), model).count() == 0
 
 
+def test_language_of_long_runs_and_many_languages(spark):
+    rows = [("aa", "ana bana lana"), ("bb", "otto potto rotto")] * 20
+    model = langid.fit(rows)
+    run = "otto" * 3 + "ana" * 40 + "otto" * 3
+    assert "".join(langid.WORDS.findall(run)) == run and max(map(len, langid.WORDS.findall(run))) == 24
+    docs = spark.createDataFrame([(1, run)], "doc_id bigint, text string")
+    assert langid.identify(docs, model).first()["lang_pred"] == "aa"
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(70)], "doc_id bigint, text string, lang string")
+    assert len(langid.sample(many, langid.F.lit(True), "text", "lang", "doc_id", 5, 100)) == 70
+
+
 def test_quality(spark, docs):
     good, bad = "a fine calm text number {} about trees", "you awful scum number {} about trees"
     texts = spark.createDataFrame([(i, (bad if i % 4 == 0 else good).format(i)) for i in range(400)], "doc_id bigint, text string")
