@@ -115,7 +115,7 @@ def restored(keep):
 
 ARROW = {
     "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
-    "boolean": pa.bool_(),
+    "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
     "array<struct<kind:string,start:int,end:int,layer:string>>": pa.list_(
         pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("layer", pa.string())])),
 }

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bundlelens.llm import bpe, exact_dedup, langid, mixing, preference, quality, secrets, simhash, topk, url_filter
+from bundlelens.llm import (
+    bpe, decontamination, exact_dedup, langid, mixing, preference, quality, secrets, simhash, topk, url_filter, vector_codes, whitening)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -156,4 +157,72 @@ def secrets_query(spark, sf_dir):
     return secrets.with_digests(scanned).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "unread")
 
 
+def _rounds(rounds: int) -> str:
+    """The unrolled rounds of operator 11 as SQL: nearest entries, then the moved codebook."""
+    near = """near{k} AS MATERIALIZED (
+        SELECT r, p, min(dist * 256 + e) AS best FROM (
+          SELECT d.r, d.p, b.e, CAST(sum((d.x - b.x) * (d.x - b.x)) AS BIGINT) AS dist
+          FROM dims d JOIN book{k} b ON d.p = b.p AND d.i = b.i GROUP BY d.r, d.p, b.e) GROUP BY r, p)"""
+    book = """book{n} AS MATERIALIZED (
+        SELECT b.p, b.e, b.i, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+          SELECT n.p, n.best % 256 AS e, d.i, CAST((sum(d.x) - ((sum(d.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+          FROM near{k} n JOIN dims d ON n.r = d.r AND n.p = d.p GROUP BY n.p, n.best % 256, d.i) m USING (p, e, i))"""
+    return ",\n".join([part for k in range(rounds) for part in (near.format(k=k), book.format(k=k, n=k + 1))] + [near.format(k=rounds)])
+
+
+@query("op11_vector_codes", f"""
+    WITH whole AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+        [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+      FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    dims AS MATERIALIZED (
+      SELECT r, pos // (n // 4) AS p, pos % (n // 4) AS i, x FROM (
+        SELECT r, len(v) AS n, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM whole)),
+    book0 AS MATERIALIZED (SELECT p, r - 1 AS e, i, x FROM dims WHERE r <= 256),
+    {_rounds(4)},
+    codes AS (SELECT r, string_agg(lower(printf('%02x', best % 256)), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+      FROM near4 GROUP BY r)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM book4) AS codebooks_sha256
+    FROM whole JOIN codes USING (r)""")
+def vector_codes_query(spark, sf_dir):
+    """Operator 11 over all embeddings: 4 parts of 256 entries, 4 rounds."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+
+
+@query("op12_whitening")
+def whitening_query(spark, sf_dir):
+    """Operator 12 over all embeddings: the first 4 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, carry=["vec_id"])
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_GRAMS = ",\n        ".join(" || ' ' || ".join(["w"] + [f"lead(w, {j}) OVER o" for j in range(1, k)]) + f" AS g{k}" for k in range(1, 11))
+_GRAM = " ".join(f"WHEN {k} THEN g{k}" for k in range(1, 11))
+
+
+@query("op13_decontamination", f"""
+    WITH items AS (SELECT row_number() OVER () AS r, item_id, {_WORDS} AS all_words FROM benchmark),
+    item_words AS (SELECT r, item_id, len(all_words) AS n, unnest(all_words) AS w, unnest(range(0, len(all_words))) AS i FROM items),
+    item_grams AS (SELECT item_id, n, {_GRAMS} FROM item_words WINDOW o AS (PARTITION BY r ORDER BY i)),
+    windows AS (SELECT DISTINCT item_id, least(n, 10) AS k, CASE least(n, 10) {_GRAM} END AS gram FROM item_grams),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS all_words FROM documents),
+    doc_words AS (SELECT r, unnest(all_words) AS w, unnest(range(0, len(all_words))) AS i FROM docs),
+    doc_grams AS MATERIALIZED (SELECT r, i, {_GRAMS} FROM doc_words WINDOW o AS (PARTITION BY r ORDER BY i)),
+    found AS MATERIALIZED (
+      SELECT r, i, k, item_id FROM (SELECT r, i, k, CASE k {_GRAM} END AS gram FROM doc_grams, (SELECT DISTINCT k FROM windows))
+      JOIN windows USING (k, gram) WHERE gram IS NOT NULL),
+    hits AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS pos FROM (SELECT DISTINCT r, i, k FROM found)) GROUP BY r),
+    listed AS (SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+      FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+    SELECT doc_id, len(all_words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM docs LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)""")
+def decontamination_query(spark, sf_dir):
+    """Operator 13: all documents against all items of the benchmark, windows of 10 words."""
+    found = decontamination.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 query("pipeline")(corpus_pipeline.run)
