@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def build_session(app: str = "bundlelens", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings every job here relies on.
@@ -33,10 +38,36 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared folder (``spark.checkpoint.dir``).
 
     Without that setting it lies below the session's warehouse, which executors share too.
-    The caller removes it.
+    It stays until ``remove`` is called, or until the end of the ``scratch`` block it was made in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file systems; one that isn't there is fine."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the shared folders that are made inside the block when it ends.
+
+    For work whose result is written inside the block, to a path chosen before it: the intermediate tables go as soon as
+    nothing reads them any more.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            remove(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
