@@ -9,6 +9,7 @@ import os
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -268,27 +269,33 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
-def frequent_words(docs: DataFrame, size: int, text: str = "text") -> list[str]:
-    """The words of all texts that are seen at least ``c`` times, for the smallest ``c`` > 1 that gives ``size`` or fewer.
+def frequent_words(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """(word): the words of all texts that are seen at least ``c`` times, for the smallest ``c`` > 1 that gives ``size`` or fewer.
 
     How many words are seen how often is counted on the executors; the driver gets that table of
-    distinct counts (a few thousand rows) and then the chosen words, never more than ``size``.
+    distinct counts (a few thousand rows) and nothing of the words.
     """
     counts = written(word_counts(docs, text).filter((F.col("count") > 1) & (F.length("word") <= LONG_CHUNK)), "word_counts")
     histogram = counts.groupBy("count").agg(F.count(F.lit(1)).alias("words"))
     running = F.sum("words").over(Window.orderBy(F.desc("count")))
     least = histogram.withColumn("_running", running).filter(F.col("_running") <= size).agg(F.min("count")).first()[0]
-    return [r["word"] for r in counts.filter(F.col("count") >= least).select("word").collect()] if least else []
+    return counts.filter(F.col("count") >= least if least else F.lit(False)).select("word")
 
 
-def build_lexicon(docs: DataFrame, spec: str, size: int = LEXICON_WORDS, text: str = "text") -> bytes:
-    """The transducer of the up to ``size`` most frequent words of all texts.
+def build_lexicon(docs: DataFrame, spec_name: str, size: int = LEXICON_WORDS, text: str = "text") -> bytes:
+    """The transducer of the up to ``size`` most frequent words of all texts, for the shipped tokenizer file.
 
-    It speeds encoding up and never changes its result.
+    It speeds encoding up and never changes its result. It is built in one task over those words; the driver gets the file.
     """
-    tokenizer = WordTokenizer(spec)
-    words = sorted({word for chunk in frequent_words(docs, size, text) for word in tokenizer.words(chunk)})
-    return compile_lexicon({word.encode(): ids for word, ids in tokenizer.learn(words).items()})
+    def run(batches):
+        with open(SparkFiles.get(spec_name), encoding="utf-8") as file:
+            tokenizer = WordTokenizer(file.read())
+        words = {word for batch in batches for chunk in batch.column(0).to_pylist() for word in tokenizer.words(chunk)}
+        built = compile_lexicon({word.encode(): ids for word, ids in tokenizer.learn(sorted(words)).items()})
+        yield pa.RecordBatch.from_arrays([pa.array([built], pa.binary())], names=["lexicon"])
+
+    found = frequent_words(docs, size, text).repartition(1).mapInArrow(run, "lexicon binary").first()
+    return bytes(found["lexicon"]) if found else compile_lexicon({})
 
 
 def ship(spark: SparkSession, content: bytes, label: str) -> str:
@@ -329,7 +336,8 @@ def encode(docs: DataFrame, spec_path: str, text: str = "text", lexicon_words: i
     spark = docs.sparkSession
     with open(spec_path, encoding="utf-8") as file:
         spec = file.read()
-    names = ship(spark, spec.encode(), "tokenizer"), ship(spark, build_lexicon(docs, spec, lexicon_words, text), "lexicon")
+    spec_name = ship(spark, spec.encode(), "tokenizer")
+    names = spec_name, ship(spark, build_lexicon(docs, spec_name, lexicon_words, text), "lexicon")
     fields = [("ids", "binary"), ("n_tokens", "bigint")] + [("decoded", "string")] * decoded
 
     def make():

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bundlelens.session import written
+
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
@@ -96,6 +99,40 @@ def held(name, build):
     return _HELD[name]
 
 
+def _from_files(df: DataFrame) -> bool:
+    """Whether the rows come straight from Parquet files, filtered or projected at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith("LogicalRelation"):
+        return False
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def placed(df: DataFrame, **columns) -> DataFrame:
+    """The given columns with ``_file`` and ``_row``, which tell rows apart and are the same whenever the table is read again.
+
+    So what is decided about rows can be joined to their texts without storing those. A table that isn't read straight from
+    Parquet files is stored first.
+    """
+    picked = [column.alias(name) for name, column in columns.items()]
+    if not _from_files(df):
+        df, picked = written(df.select(*picked), "rows"), list(columns)
+    return df.select(*picked, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def with_texts(decided: DataFrame, base: DataFrame, text: str) -> DataFrame:
+    """The rows of ``decided`` with the column ``text`` of ``base``, both made by ``placed`` from the same table."""
+    texts = base.select(text, F.col("_file").alias("_of_file"), F.col("_row").alias("_of_row"))
+    return decided.join(texts, (F.col("_row") == F.col("_of_row")) & (F.col("_file") == F.col("_of_file"))).drop("_of_file", "_of_row")
+
+
 def renamed(df: DataFrame, keep, *needed):
     """The carried columns as ``k0``, ``k1``, …, and where the needed ones are among them (else added as ``n0``, …)."""
     columns, places = [col(name).alias(f"k{i}") for i, name in enumerate(keep)], []

@@ -19,11 +19,27 @@ def _blocks(lengths: np.ndarray):
     return chain, place, first, np.minimum(BLOCK, lengths[chain] - place * BLOCK)
 
 
-def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
+def transfer_of(scores: np.ndarray, transitions: np.ndarray, starts: bool) -> np.ndarray:
+    """The matrix that carries a chain's state across a stretch of it, up to a factor; ``starts`` where the chain begins there."""
+    weights = np.exp(scores - scores.max(axis=1, keepdims=True))
+    move = np.exp(transitions - transitions.max())
+    parts = weights[:, None, :] * move
+    if starts:
+        parts[0] = np.diag(weights[0])
+    while len(parts) > 1:  # neighbours are multiplied, a level at a time
+        even = parts[:-1:2] @ parts[1::2]
+        even /= even.max(axis=(1, 2), keepdims=True)
+        parts = np.concatenate([even, parts[-1:]]) if len(parts) % 2 else even
+    return parts[0] / parts[0].max()
+
+
+def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False, before=None, after=None):
     """Label probabilities of every word by forward-backward; with ``pairs`` also expected transitions and log Z.
 
     ``scores`` are the label scores of the words of all chains one after the other. Chains of any length are
     exact: each block's transfer matrix carries the chain's state across it, then blocks are walked in parallel.
+    A stretch of one chain takes the state ``before`` its first word (None where the chain begins) and the weights
+    ``after`` its last (None where it ends).
     """
     n, labels = scores.shape
     top = scores.max(axis=1, keepdims=True)
@@ -33,7 +49,7 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     padded = np.minimum(first[:, None] + np.arange(BLOCK), n - 1)
     inside = np.arange(BLOCK) < size[:, None]
     x = np.where(inside[:, :, None], weights[padded], 1.0)
-    starts = place == 0
+    starts = (place == 0) & (before is None)
 
     transfer = np.broadcast_to(np.eye(labels), (len(first), labels, labels)).copy()
     for t in range(BLOCK):
@@ -46,6 +62,10 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
 
     begin = np.ones((len(first), labels))
     finish = np.ones((len(first), labels))
+    if before is not None:
+        begin[0] = before
+    if after is not None:
+        finish[-1] = after
     by_place = np.argsort(place, kind="stable")
     cuts = np.cumsum(np.bincount(place))
     for at in range(1, len(cuts)):
@@ -80,11 +100,11 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     if not pairs:
         return out
     arrived = weights * backward[inside]
-    before = forward[inside]
+    left = forward[inside]
     joined = np.ones(n, bool)
     joined[np.cumsum(lengths) - lengths] = False
     at = np.flatnonzero(joined)
-    edge = before[at - 1][:, :, None] * move[None] * arrived[at][:, None, :]
+    edge = left[at - 1][:, :, None] * move[None] * arrived[at][:, None, :]
     edge /= edge.sum(axis=(1, 2), keepdims=True)
     return out, edge.sum(axis=0)
 

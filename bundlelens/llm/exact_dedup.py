@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm.common import SPACE, carried, col
+from bundlelens.llm.common import SPACE, carried, col, placed, restored, with_texts
 from bundlelens.session import written
 
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
@@ -31,6 +35,16 @@ def open_index(spark: SparkSession, name: str, key_type: str = "bigint", buckets
     return name
 
 
+@contextmanager
+def fresh_index(spark: SparkSession, key_type: str = "bigint") -> Iterator[str]:
+    """An empty index for one run, dropped at the end of the block; results of ``deduplicate`` don't read it again."""
+    name = open_index(spark, f"digest_index_{uuid.uuid4().hex}", key_type)
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _buckets(spark: SparkSession, name: str) -> int:
     rows = spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").collect()
     return int(rows[0]["data_type"])
@@ -46,27 +60,27 @@ def deduplicate(docs: DataFrame, index: str, batch: str = "batch", text: str = "
     If another batch already put a text into the index, no row stays and ``keep_id`` is the indexed one. Running a batch
     again decides and appends the same.
 
-    The rows are written once with their digest and a row number, so texts are hashed once and
-    repeated rows can be told apart. They shrink to one row per digest before any shuffle, which is
-    what keeps a hot digest cheap. Sort-merge anti-joins with the bucketed index drop what is known; the index is
-    not shuffled. The last join gives each row its group: both sides are plain shuffles, so AQE splits
-    a hot digest.
+    A row's digest, key, length and place in its file are stored, not its text. They shrink to one row per digest before any
+    shuffle, which is what keeps a hot digest cheap. Sort-merge anti-joins with the bucketed index drop what is known; the
+    index is not shuffled. The next join gives each row its group: both sides are plain shuffles, so AQE splits
+    a hot digest. If the text is carried along, it is read again and joined by place, which has no hot keys.
 
     Null texts count as empty, and all empty texts are equal. An empty table appends nothing. Input
     columns named like a result give way to it.
     """
     spark, keep = docs.sparkSession, carried(docs, carry, RESULTS)
-    rows = written(docs.select(
-        F.struct(*[col(c) for c in keep], F.lit(0).alias("_")).alias("row"), col(key).alias("id"),
-        F.unhex(F.sha2(normalised(col(text)), 256)).alias("digest"),
-        F.length(F.coalesce(col(text), F.lit(""))).alias("length"), F.monotonically_increasing_id().alias("at")), "digests")
-    groups = rows.groupBy("digest").agg(
-        F.min(F.struct((-F.col("length")).alias("length"), F.col("id").isNull().alias("no_id"), "id", "at")).alias("first"),
-        F.count(F.lit(1)).alias("group_size"))
+    base = placed(docs, **{f"k{i}": col(c) for i, c in enumerate(keep)}, id=col(key), text=col(text))
+    others = [f"k{i}" for i, c in enumerate(keep) if c != text]
+    rows = written(base.select(
+        *others, "id", "_file", "_row", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
+        F.length(F.coalesce("text", F.lit(""))).alias("length")), "digests")
+    place = F.struct((-F.col("length")).alias("length"), F.col("id").isNull().alias("no_id"), "id", "_file", "_row")
+    groups = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("group_size"))
     known = spark.table(index)
-    others = known.filter(F.col("batch") != batch).select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("found"))
-    chosen = written(groups.join(others.hint("merge"), "digest", "left").select(
-        "digest", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), "group_size", "known_id",
+    indexed = known.filter(F.col("batch") != batch).select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("found"))
+    chosen = written(groups.join(indexed.hint("merge"), "digest", "left").select(
+        "digest", F.col("first.id").alias("first_id"), F.col("first._file").alias("first_file"), F.col("first._row").alias("first_row"),
+        "group_size", "known_id",
         F.coalesce("found", F.lit(False)).alias("old")), "groups")
 
     buckets = _buckets(spark, index)
@@ -76,10 +90,11 @@ def deduplicate(docs: DataFrame, index: str, batch: str = "batch", text: str = "
         new = new.repartition(buckets, "digest")
     new.write.insertInto(index)
 
-    groups = chosen.select(F.col("digest").alias("group_digest"), "first_id", "first_at", "group_size", "known_id", "old")
-    joined = rows.join(groups, F.col("digest") == F.col("group_digest"))
-    return joined.select(
-        *[F.col("row")[c].alias(c) for c in keep],
-        F.when(F.col("old"), F.col("known_id")).otherwise(F.col("first_id")).alias("keep_id"), "group_size",
-        (~F.col("old") & (F.col("at") == F.col("first_at"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+    groups = chosen.withColumnRenamed("digest", "group_digest")
+    first = (F.col("_row") == F.col("first_row")) & (F.col("_file") == F.col("first_file"))
+    found = rows.join(groups, F.col("digest") == F.col("group_digest")).select(
+        *others, "_file", "_row", F.when(F.col("old"), F.col("known_id")).otherwise(F.col("first_id")).alias("keep_id"), "group_size",
+        (~F.col("old") & first).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    if text in keep:
+        found = with_texts(found, base, f"k{keep.index(text)}")
+    return found.select(*restored(keep), *RESULTS)

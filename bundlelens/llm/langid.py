@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,12 @@ from pyspark.sql.window import Window
 
 from bundlelens.llm.bpe import ship
 from bundlelens.llm.common import annotate, col, held as held_model
-from bundlelens.llm.crf import Adam, packed, posteriors
+from bundlelens.llm.crf import Adam, packed, posteriors, transfer_of
 
 LONG_WORD = 24
 WORDS = re.compile(r"[^\W\d_]{1,%d}" % LONG_WORD)
 """Words; a longer run of letters is cut into consecutive words, each labelled by the chain."""
+SPACE = re.compile(r"\s")
 UNKNOWN = "und"
 BITS = 16
 BUCKETS = 1 << BITS
@@ -26,11 +28,14 @@ SAMPLE_ROWS = 200
 """Labelled rows per language that the model is fitted on."""
 SAMPLE_CHARS = 1_500
 """Characters of a sampled row, from a place in its text that depends on its hash."""
+SPREAD = 64
 SPLICE = 25
 """Words after which the training chains switch to another sampled row, so that transitions are learned."""
 STEPS = 30
 LEXICON_COUNT = 4
 WORDS_AT_ONCE = 100_000
+LONG_TEXT = 1 << 20
+"""Characters from which a text is labelled in stretches of about that size, cut at white space."""
 WORDS_SCORED = 20_000
 CACHE_WORDS = 200_000
 
@@ -69,7 +74,7 @@ def features(words) -> np.ndarray:
             used = np.arange(width - gram + 1) + gram <= sizes[:, None]
             for i in range(hashes.shape[1]):
                 bucket(hashes[:, i] + np.uint64(8 + gram) * SALT, used[:, i])
-    return np.stack(columns, axis=1).astype(np.int64)
+    return np.stack([column.astype(np.int32) for column in columns], axis=1)
 
 
 def _summed(weights, buckets) -> np.ndarray:
@@ -80,19 +85,31 @@ def _summed(weights, buckets) -> np.ndarray:
     return total
 
 
-def sample(docs: DataFrame, labelled, text: str, lang: str, key: str, rows: int, chars: int):
-    """Up to ``rows`` labelled texts per language, of up to ``chars`` characters: (lang, text) on the driver.
+def sample(docs: DataFrame, labelled, text: str, lang: str, key: str, rows: int, chars: int) -> DataFrame:
+    """Up to ``rows`` labelled texts per language, of up to ``chars`` characters: (lang, text).
 
-    The rows with the smallest hashes are taken; each task ranks its own first, so a frequent language doesn't
-    meet in one task.
+    The rows with the smallest hashes are taken. Each task ranks its own first, then ``SPREAD`` groups per language theirs, so a
+    frequent language doesn't meet in one task.
     """
     order = F.xxhash64(col(key), F.lit(5))
     room = F.greatest(F.length(col(text)) - chars, F.lit(0)) + 1
     part = F.substring(col(text), (F.pmod(order, room) + 1).cast("int"), F.lit(chars))
     fit = docs.filter(labelled & col(lang).isNotNull() & col(text).isNotNull())
     ranked = fit.select(col(lang).alias("lang"), part.alias("text"), order.alias("_order"))
-    first = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text")))
-    return [(r["lang"], r["text"]) for r in first.filter(F.col("_rank") <= rows).select("lang", "text").collect()]
+    group = F.pmod("_order", F.lit(SPREAD))
+    some = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("lang", group).orderBy("_order", "text")))
+    first = some.filter(F.col("_rank") <= rows).withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text")))
+    return first.filter(F.col("_rank") <= rows).select("lang", "text")
+
+
+def stretches(text: str):
+    """Where the stretches of a long text begin and end: at white space, about ``LONG_TEXT`` characters each."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + LONG_TEXT)
+        end = space.start() if space else len(text)
+        yield at, end
+        at = end
 
 
 def fit(rows) -> bytes:
@@ -188,26 +205,76 @@ class Labeller:
             self.table = np.concatenate(parts)
             self.new = []
 
-    def predict(self, texts) -> tuple[list[str], list[float]]:
-        """The language of each text and its share of the label probabilities."""
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def _scores(self, text: str) -> np.ndarray:
+        """The label scores of the words of a piece of text; scores of words kept from other pieces may go."""
+        if len(self.types) > CACHE_WORDS:
+            self._clear()
+        index = self._index(WORDS.findall(text.lower()))
+        self._score()
+        return self.table[index]
+
+    def _long(self, text: str):
+        """(sums of the label probabilities, sum of the best ones, words) of one long chain, walked in stretches.
+
+        The first walk gets each stretch's transfer matrix and so the states at the cuts; the second labels its words.
+        """
+        cuts, matrices, words = list(stretches(text)), [], 0
+        for at, end in cuts:
+            scores = self._scores(text[at:end])
+            matrices.append(transfer_of(scores, self.transitions, not words) if len(scores) else None)
+            words += len(scores)
+        if not words:
+            return None, 0.0, 0
+        before, after = [None] * len(cuts), [None] * len(cuts)
+        state = None
+        for i, matrix in enumerate(matrices):
+            before[i] = state
+            if matrix is not None:
+                state = (np.ones(len(matrix)) if state is None else state) @ matrix
+                state = state / state.sum()
+        state = np.ones(len(self.labels))
+        for i in range(len(cuts) - 1, -1, -1):
+            after[i] = state
+            if matrices[i] is not None:
+                state = matrices[i] @ state
+                state = state / state.sum()
+        sums, best = np.zeros(len(self.labels)), 0.0
+        for (at, end), state, rest in zip(cuts, before, after):
+            scores = self._scores(text[at:end])
+            if len(scores):
+                found = posteriors(scores, np.array([len(scores)]), self.transitions, before=state, after=rest)
+                sums, best = sums + found.sum(axis=0), best + found.max(axis=1).sum()
+        return sums, best, words
+
+    def predict(self, texts) -> tuple[list[str], list[float], list[float]]:
+        """The language of each text, its share of the label probabilities, and the mean of each word's best one."""
+        names, scores, certain = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.labels:
-            return names, scores
+            return names, scores, certain
         if len(self.types) > CACHE_WORDS:
             self._clear()
         held, which, total = [], [], 0
 
+        def decide(i, line, best):
+            at = int(line.argmax())
+            names[i], scores[i], certain[i] = self.labels[at], min(1.0, float(line[at])), min(1.0, float(best))
+
         def flush():
             self._score()
             lengths = np.array([len(h) for h in held])
             found = posteriors(self.table[np.concatenate(held)], lengths, self.transitions)
-            sums = np.add.reduceat(found, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
-            for i, best, line in zip(which, sums.argmax(axis=1), sums):
-                names[i], scores[i] = self.labels[best], min(1.0, float(line[best]))
+            starts = np.cumsum(lengths) - lengths
+            sums = np.add.reduceat(found, starts, axis=0) / lengths[:, None]
+            for i, line, best in zip(which, sums, np.add.reduceat(found.max(axis=1), starts) / lengths):
+                decide(i, line, best)
 
+        long = []
         for i, text in enumerate(texts):
             if not text:
                 continue
+            if len(text) > LONG_TEXT:
+                long.append(i)
+                continue
             index = self._index(WORDS.findall(text.lower()))
             if len(index):
                 held.append(index)
@@ -218,7 +285,11 @@ class Labeller:
                 held, which, total = [], [], 0
         if held:
             flush()
-        return names, scores
+        for i in long:
+            sums, best, words = self._long(texts[i])
+            if words:
+                decide(i, sums / words, best / words)
+        return names, scores, certain
 
 
 def _labeller(name: str) -> Labeller:
@@ -227,16 +298,25 @@ def _labeller(name: str) -> Labeller:
 
 def train(docs: DataFrame, labelled, text: str = "text", lang: str = "lang", key: str = "doc_id",
           rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> bytes:
-    """Fits the model on a bounded sample of the rows that meet ``labelled``: ``rows`` per language of ``chars`` characters."""
-    return fit(sample(docs, labelled, text, lang, key, rows, chars))
+    """Fits the model on a bounded sample of the rows that meet ``labelled``: ``rows`` per language of ``chars`` characters.
+
+    The fit runs in one task over that sample; the driver gets the model file only.
+    """
+    def run(batches):
+        learn = [row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([fit(learn)], pa.binary())], names=["model"])
+
+    found = sample(docs, labelled, text, lang, key, rows, chars).repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(found["model"]) if found else fit([])
 
 
 def identify(docs: DataFrame, model: bytes, text: str = "text", carry=None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score``, the mean probability of that language over the words of the text.
+    """Adds ``lang_pred``, ``score``, the mean probability of that language over the words, and ``certainty``, that of each word's best one.
 
     Every word of every text is labelled, whole texts as one chain each. The result depends on the text alone. Texts that
     are null, empty or without a letter give ``und`` and 0, as does a model without languages. No shuffle; a batch of words is
-    bounded, and one longer text is labelled by itself. Input columns named like a result give way to it.
+    bounded, and a longer text is labelled by itself in stretches that hand on the chain's state. Input columns named like a
+    result give way to it.
     """
     name = ship(docs.sparkSession, model, "langid")
 
@@ -244,4 +324,4 @@ def identify(docs: DataFrame, model: bytes, text: str = "text", carry=None) -> D
         labeller = _labeller(name)
         return lambda texts: labeller.predict(texts)
 
-    return annotate(docs, text, [("lang_pred", "string"), ("score", "double")], make, carry)
+    return annotate(docs, text, [("lang_pred", "string"), ("score", "double"), ("certainty", "double")], make, carry)

@@ -12,6 +12,8 @@ from bundlelens.session import written
 RESULTS = ("size", "source_size", "target", "taken", "copies")
 BROADCAST_BLOCKS = 50_000
 """Blocks (some 100 bytes each) up to which the plan is broadcast to the documents."""
+SHARD_WORDS = 1 << 23
+"""Words (some 50 MB of text) that a shard may hold unless the number of shards is given."""
 DEVIATIONS = 9
 """Standard deviations on either side of the mode that a draw may reach; what lies beyond is below 1e-17."""
 
@@ -119,10 +121,12 @@ def source_targets(sizes: DataFrame, weights, share: float, repeats: int) -> Dat
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2, block_words: int = 1 << 16,
-        levels: int = 6, seed: int = 17, text: str = "text", source: str = "source", key: str = "doc_id",
+        levels: int | None = None, seed: int = 17, text: str = "text", source: str = "source", key: str = "doc_id",
         carry=None) -> DataFrame:
     """Decides how many words of each document the mix takes and into which of ``2 ** levels`` shards they go.
 
+    Without ``levels`` there are as many shards as keep each below ``SHARD_WORDS`` words.
+
     Adds ``size`` (words), ``source_size``, ``target`` (of the source, in words), ``taken`` (words, repeats
     counted) and ``copies``, an array of (shard, words) with one entry per time the document is used;
     only one document per source is cut, where the source's target ends.
@@ -137,7 +141,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2
     sources of them, are taken 0. Rows that repeat a key are used alike. Null keys fall into one block.
     An empty table gives an empty one. Input columns named like a result give way to it.
     """
-    keep = carried(docs, carry, RESULTS)
+    return _mixed(docs, weights, share, repeats, block_words, levels, seed, text, source, key, carried(docs, carry, RESULTS))[0]
+
+
+def _mixed(docs, weights, share, repeats, block_words, levels, seed, text, source, key, keep) -> tuple[DataFrame, int]:
+    """The result of ``mix`` and its number of levels."""
     src = F.when(col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), col(source).cast("string")))
     measured = docs.select(F.struct(*[col(c) for c in keep], F.lit(0).alias("_")).alias("row"), col(key).alias("id"),
                            src.alias("src"), word_count(col(text)).alias("size"))
@@ -153,6 +161,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2
         F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(1)).cast("bigint").alias("n_blocks"),
         F.round("target").cast("bigint").alias("budget")), "sources")
 
+    if levels is None:
+        words = sources.agg(F.sum("budget")).first()[0] or 0
+        levels = max(0, -(-words // SHARD_WORDS) - 1).bit_length()
+
     def in_blocks(table):
         of_source = sources.select(F.col("src").alias("_src"), "n_blocks")
         return table.join(of_source, F.col("src") == F.col("_src")).withColumn(
@@ -186,7 +198,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2
         lambda c: c["words"] > 0)
     return planned.select(
         *[F.col("row")[c].alias(c) for c in keep], "size", "source_size", "target",
-        (F.col("size") * F.col("full") + partial).alias("taken"), copies.alias("copies"))
+        (F.col("size") * F.col("full") + partial).alias("taken"), copies.alias("copies")), levels
 
 
 def _with_shards(taken: DataFrame, sources: DataFrame, levels: int, seed: int) -> DataFrame:
@@ -232,15 +244,24 @@ def _cut(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
         F.col("unit").alias("_cut_words"), (F.col("part") - F.col("before")).alias("_cut_taken"))
 
 
-def mixed_documents(mixed: DataFrame, text: str = "text", seed: int = 17, shards: int = 64) -> DataFrame:
-    """The mixed corpus: each document once per copy, one partition per shard, shuffled within it.
+def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2, block_words: int = 1 << 16,
+                    levels: int | None = None, seed: int = 17, text: str = "text", source: str = "source",
+                    key: str = "doc_id") -> DataFrame:
+    """The mixed corpus: the columns of ``docs``, each document once per copy, one partition per shard, shuffled within it.
 
-    Adds ``shard``. A document that is cut keeps its first words, joined by single spaces.
+    Decided as by ``mix``, whose parameters these are. A document that is cut keeps its first words, joined by single spaces.
+    The number of shards follows from the words, so a task's share doesn't grow with the corpus. Rows go
+    to the partition of their shard by its number, so no two shards share one.
     """
-    keep = [c for c in mixed.columns if c not in RESULTS]
-    words = F.array_join(F.slice(F.regexp_extract_all(col(text), F.lit(WORD), 0), 1, F.col("_copy.words").cast("int")), " ")
-    used = mixed.select(*[col(c) for c in keep], "size", F.posexplode("copies").alias("_turn", "_copy")).select(
-        *[(F.when(F.col("_copy.words") < F.col("size"), words).otherwise(col(c)).alias(c) if c == text else col(c)) for c in keep],
-        F.col("_copy.shard").alias("shard"), "_turn")
-    order = F.xxhash64(*[col(c) for c in keep], "_turn", F.lit(seed))
-    return used.repartition(shards, "shard").sortWithinPartitions("shard", order).drop("_turn")
+    names = docs.columns
+    keep = [f"k{i}" for i in range(len(names))]
+    plain = docs.select(*[col(name).alias(k) for name, k in zip(names, keep)])
+    text, source, key = (keep[names.index(name)] for name in (text, source, key))
+    mixed, levels = _mixed(plain, weights, share, repeats, block_words, levels, seed, text, source, key, keep)
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), 0), 1, F.col("copy.words").cast("int")), " ")
+    used = mixed.select(*keep, "size", F.posexplode("copies").alias("turn", "copy")).select(
+        *[F.when(F.col("copy.words") < F.col("size"), words).otherwise(F.col(k)).alias(k) if k == text else k for k in keep],
+        F.col("copy.shard").alias("shard"), "turn")
+    order = F.xxhash64(*keep, "turn", F.lit(seed))
+    dealt = used.repartitionById(2 ** levels, F.col("shard").cast("int")).sortWithinPartitions("shard", order)
+    return dealt.select(*[F.col(k).alias(name) for k, name in zip(keep, names)])

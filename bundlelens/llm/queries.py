@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +57,8 @@ def url_filter_query(spark, sf_dir):
     FROM hashed WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST)""")
 def exact_dedup_query(spark, sf_dir):
     """Operator 2 over all documents, against a digest index of its own."""
-    index = exact_dedup.open_index(spark, f"digest_index_{uuid.uuid4().hex}")
-    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index, carry=["doc_id"])
+    with exact_dedup.fresh_index(spark) as index:
+        found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index, carry=["doc_id"])
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -129,7 +127,7 @@ def top_k_query(spark, sf_dir):
 
 def held_out(key: str = "doc_id"):
     """Documents that a language model never learns from."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 @query("op8_language_id")

@@ -1,32 +1,20 @@
-"""SimHash near-duplicates: fingerprints of word shingles, compared exactly tile by tile, and near copies by their shingle sets."""
+"""SimHash near-duplicates: fingerprints of word shingles, compared exactly tile by tile."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bundlelens.llm.common import annotate, carried, renamed, restored
+from bundlelens.llm.common import annotate, carried, col, placed, restored, with_texts
 from bundlelens.llm.components import components
 from bundlelens.session import written
 
 RESULTS = ("fingerprint", "component_id", "kept")
 SHINGLES_AT_ONCE = 1 << 16
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-SKETCH_WORDS = 4
-"""Words of 64 bits in the SimHash that the exact comparison of sets starts from."""
-SCREEN = 24
-"""Bits of its first word in which candidates may differ: sets at 0.8 differ in 10 to 12."""
-NODE = np.dtype([("fp", "<i8"), ("sketch", "<u8", (SKETCH_WORDS,)), ("n", "<i8"), ("root", "<i8")])
-STEPS = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(SKETCH_WORDS)]
-MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-"""The constants of SplitMix64."""
-SET_BYTES = 1 << 22
-"""Sets of shingles that a tile for the exact comparison holds; one larger set is a tile of its own."""
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 """A byte table: A-Z to a-z."""
 
@@ -196,7 +184,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, tile_rows: int = 2048, tex
     component is what links connect. Copies share a fingerprint, so a group of copies is one node however large.
     Distinct fingerprints are sorted by population count into tiles, and tiles whose counts differ by
     more than the radius never meet. This is exact and quadratic in the number of distinct
-    fingerprints, with a small factor; the tile table has one row per ``tile_rows`` of them.
+    fingerprints, with a small factor; the tile table has one row per ``tile_rows`` of them. Fingerprints are stored with their
+    place in the input, not with the text; if that is carried along, it is read again and joined by place.
 
     Null and empty texts, and texts without words, have fingerprint zero and are linked like any other. Rows
     that repeat a key share its component; a component without any key has a null id. One row of each component is
@@ -204,288 +193,20 @@ def near_duplicates(docs: DataFrame, radius: int = 2, tile_rows: int = 2048, tex
     columns named like a result give way to it.
     """
     keep = carried(docs, carry, RESULTS)
-    base, (text_at, key_at) = renamed(docs, keep, text, key)
-    carry = [f"k{i}" for i in range(len(keep))] + [key_at] * (not key_at.startswith("k"))
-    prints = written(annotate(base, text_at, [("fp", "bigint")], _fingerprints(words), carry).withColumn(
-        "at", F.monotonically_increasing_id()), "fingerprints")
-    nodes = _nodes(prints, key_at)
-    found = written(components(links(nodes.select("fp"), radius, tile_rows)), "components")
-    return _classed(prints, nodes, found, [*restored(keep), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")])
-
-
-def _nodes(prints: DataFrame, key_at: str, *more) -> DataFrame:
-    """One row per distinct ``fp``, with the place of its first row; ``more`` are further aggregates."""
-    place = F.struct(F.col(key_at).isNull().alias("no_id"), F.col(key_at).alias("id"), "at")
-    return written(prints.groupBy("fp").agg(F.min(place).alias("first"), *more), "nodes")
-
-
-def _classed(prints: DataFrame, nodes: DataFrame, found: DataFrame, columns) -> DataFrame:
-    """``columns``, ``component_id`` and ``kept`` of every row, by the components (node, root) of the nodes."""
-    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    base = placed(docs, **{f"k{i}": col(c) for i, c in enumerate(keep)}, id=col(key), text=col(text))
+    others = [f"k{i}" for i, c in enumerate(keep) if c != text]
+    prints = written(annotate(base, "text", [("fp", "bigint")], _fingerprints(words), [*others, "id", "_file", "_row"]), "fingerprints")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "_file", "_row")
+    nodes = written(prints.groupBy("fp").agg(F.min(place).alias("first")), "nodes")
+    found = components(links(nodes.select("fp"), radius, tile_rows))
+    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("_first"))
     classes = written(rooted.join(smallest, F.col("root") == F.col("_root")).select(
-        F.col("fp").alias("_fp"), F.col("_first.id").alias("component_id"), F.col("_first.at").alias("_at")), "classes")
-    return prints.join(classes, F.col("fp") == F.col("_fp")).select(
-        *columns, "component_id", (F.col("at") == F.col("_at")).alias("kept"))
-
-
-def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
-    """The set of the shingles of a text, as sorted hashes."""
-    parts = list(_hashes(text, words, seed))
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, "<u8")
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """The SimHash of a set of shingles in ``SKETCH_WORDS`` × 64 bits; the later words vote by hashes of the hashes."""
-    words = []
-    for k in range(SKETCH_WORDS):
-        votes = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), SHINGLES_AT_ONCE):
-            part = hashes[at:at + SHINGLES_AT_ONCE]
-            if k:
-                part = part + STEPS[k]
-                part = (part ^ part >> np.uint64(30)) * MIX_1
-                part = (part ^ part >> np.uint64(27)) * MIX_2
-                part = part ^ part >> np.uint64(31)
-            votes += _votes(part)
-        words.append(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes())
-    return b"".join(words)
-
-
-def _sketches(words: int):
-    def step(texts):
-        ids, sketches, sizes = [], [], []
-        for text in texts:
-            found = shingles(text, words)
-            ids.append(int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)))
-            sketches.append(sketch(found))
-            sizes.append(len(found))
-        return [ids, sketches, sizes]
-    return lambda: step
-
-
-def set_tiles(nodes: DataFrame, rows: int) -> DataFrame:
-    """Nodes (``fp``, ``sketch``, ``n``, ``root`` and, if there, ``set``) sorted by the size ``n`` of their sets and packed.
-
-    A tile has up to ``rows`` nodes and ``SET_BYTES`` of sets. Columns: ``tile`` (its first node), ``low`` and ``high`` (smallest
-    and largest size), ``data`` (``NODE`` records) and ``sets`` (the hashes of all sets, one set behind the other).
-    """
-    names = ["fp", "sketch", "n", "root", "set"] if "set" in nodes.columns else ["fp", "sketch", "n", "root"]
-    ordered = nodes.select(names).repartitionByRange("n", "fp").sortWithinPartitions("n", "fp")
-
-    def pack(batches):
-        held, size = [], 0
-
-        def tile():
-            records = np.array([r[:4] for r in held], NODE)
-            return pa.RecordBatch.from_arrays([
-                pa.array([int(records["fp"][0])], pa.int64()), pa.array([int(records["n"][0])], pa.int64()),
-                pa.array([int(records["n"][-1])], pa.int64()), pa.array([records.tobytes()], pa.binary()),
-                pa.array([b"".join([r[4] for r in held])], pa.binary())], names=["tile", "low", "high", "data", "sets"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                values = [batch.column(k)[i].as_py() for k in range(len(names))]
-                whole = values[4] if len(values) > 4 else b""
-                if held and (len(held) == rows or size + len(whole) > SET_BYTES):
-                    yield tile()
-                    held, size = [], 0
-                held.append((values[0], np.frombuffer(values[1], "<u8"), values[2], values[3], whole))
-                size += len(whole)
-        if held:
-            yield tile()
-
-    return ordered.mapInArrow(pack, "tile bigint, low bigint, high bigint, data binary, sets binary")
-
-
-def _spanning(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The places of edges that form a forest of least weight which connects what all edges (left, right) connect."""
-    nodes, index = np.unique(np.concatenate([left, right]), return_inverse=True)
-    order = np.lexsort((index[len(left):], index[:len(left)], weight))
-    a, b = index[:len(left)][order], index[len(left):][order]
-    root, chosen, live = np.arange(len(nodes)), np.zeros(len(a), bool), np.arange(len(a))
-    while len(live := live[root[a[live]] != root[b[live]]]):
-        best = np.full(len(nodes), len(a))
-        np.minimum.at(best, root[a[live]], live)
-        np.minimum.at(best, root[b[live]], live)
-        picked = np.unique(best[best < len(a)])
-        chosen[picked] = True
-        member, smallest = _forest(root[a[picked]], root[b[picked]])
-        moved = np.arange(len(nodes))
-        moved[member] = smallest
-        root = moved[root]
-    return order[chosen]
-
-
-def close_pairs(a: bytes, b: bytes, radius: int, least: float, block: int = 256):
-    """Places (i, j, distance) of nodes of different roots across two tiles (or within one, given twice) that may be ``least`` alike.
-
-    Their sizes allow it, and their sketches differ in ``radius`` bits or fewer, the first word of them in ``SCREEN`` or fewer.
-    They come in blocks of rows of the first tile.
-    """
-    one, other = np.frombuffer(a, NODE), np.frombuffer(b, NODE)
-    first = np.ascontiguousarray(other["sketch"][:, 0])
-    for at in range(0, len(one), block):
-        part = one[at:at + block]
-        low = max(np.searchsorted(other["n"], math.floor(part["n"][0] * least)), at if a == b else 0)
-        high = np.searchsorted(other["n"], math.ceil(part["n"][-1] / least), "right")
-        i, j = np.nonzero(np.bitwise_count(part["sketch"][:, :1] ^ first[None, low:high]) <= SCREEN)
-        i, j = i + at, j + low
-        fits = one["root"][i] != other["root"][j]
-        if a == b:
-            fits &= i < j
-        n, m = one["n"][i], other["n"][j]
-        fits &= np.minimum(n, m) >= least * np.maximum(n, m)
-        i, j = i[fits], j[fits]
-        distance = np.bitwise_count(one["sketch"][i] ^ other["sketch"][j]).sum(axis=1, dtype=np.int64)
-        near = distance <= radius
-        if near.any():
-            yield i[near], j[near], distance[near]
-
-
-def nearest(a: bytes, b: bytes, radius: int, least: float):
-    """Pairs (u, v) of ``close_pairs`` that form a forest of smallest distances."""
-    one, other = np.frombuffer(a, NODE), np.frombuffer(b, NODE)
-    held = [np.empty(0, np.int64)] * 3
-    for i, j, distance in close_pairs(a, b, radius, least):
-        u, v, distance = (np.concatenate(x) for x in zip(held, (one["fp"][i], other["fp"][j], distance)))
-        kept = _spanning(u, v, distance)
-        held = [u[kept], v[kept], distance[kept]]
-    return held[0], held[1]
-
-
-def ends(a: bytes, b: bytes, radius: int, least: float):
-    """The nodes of all ``close_pairs``, each once, as pairs with themselves."""
-    one, other, found = np.frombuffer(a, NODE)["fp"], np.frombuffer(b, NODE)["fp"], [np.empty(0, np.int64)]
-    for i, j, _ in close_pairs(a, b, radius, least):
-        found += [np.unique(one[i]), np.unique(other[j])]
-    nodes = np.unique(np.concatenate(found))
-    return nodes, nodes
-
-
-def linked(a: bytes, b: bytes, sets_a: bytes, sets_b: bytes, radius: int, least: float):
-    """Edges (u, v) that connect what ``close_pairs`` at least ``least`` alike connect: every set is compared exactly.
-
-    The hashes of the second tile are sorted once; a set meets all sets that share hashes with it in one count.
-    """
-    one, other = np.frombuffer(a, NODE), np.frombuffer(b, NODE)
-    hashes = np.frombuffer(sets_b, "<u8")
-    owner = np.repeat(np.arange(len(other)), other["n"])
-    order = np.argsort(hashes, kind="stable")
-    hashes, owner = hashes[order], owner[order]
-    whole, at = np.frombuffer(sets_a, "<u8"), np.concatenate([[0], np.cumsum(one["n"])])
-    u, v = np.empty(0, np.int64), np.empty(0, np.int64)
-    for i, j, _ in close_pairs(a, b, radius, least):
-        left, right = [u], [v]
-        for row in np.unique(i):
-            own, others = whole[at[row]:at[row + 1]], j[i == row]
-            low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
-            sizes = high - low
-            hits = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            shared = np.bincount(owner[hits], minlength=len(other))[others]
-            others = others[shared >= least * (len(own) + other["n"][others] - shared) - 1e-9]
-            left.append(np.full(len(others), one["fp"][row]))
-            right.append(other["fp"][others])
-        u, v = np.concatenate(left), np.concatenate(right)
-        if len(u):
-            u, v = _forest(u, v)
-    return u, v
-
-
-def over_tiles(nodes: DataFrame, rows: int, least: float, compare) -> DataFrame:
-    """Pairs (u, v) that ``compare`` gives for the data of two tiles (and their sets, if the nodes have any).
-
-    Tiles meet when sizes in them differ by a factor of no more than 1 / ``least``.
-    """
-    packed = written(set_tiles(nodes, rows), "tiles")
-    level = lambda size: F.floor(F.log(F.greatest(size.cast("double"), F.lit(0.5))) / math.log(1 / least)).cast("int")
-    left = packed.select(F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"),
-                         F.explode(F.sequence(level(F.col("low")) - 2, level(F.col("high")) + 2)).alias("level"))
-    right = packed.select(F.col("tile").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"),
-                          F.explode(F.sequence(level(F.col("low")), level(F.col("high")))).alias("level"))
-    meets = (F.col("high_a") >= least * F.col("low_b")) & (F.col("high_b") >= least * F.col("low_a"))
-    # Sorted by size, then by node: a tile and one behind it.
-    behind = (F.col("low_a") < F.col("low_b")) | ((F.col("low_a") == F.col("low_b")) & (F.col("a") <= F.col("b")))
-    pairs = left.join(right, "level").filter(behind & meets).select("a", "b").distinct()
-    first = packed.select(F.col("tile").alias("a"), F.col("data").alias("data_a"), F.col("sets").alias("sets_a"))
-    second = packed.select(F.col("tile").alias("b"), F.col("data").alias("data_b"), F.col("sets").alias("sets_b"))
-    both = pairs.join(first, "a").join(second, "b").select("data_a", "data_b", "sets_a", "sets_b")
-    has_sets = "set" in nodes.columns
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                u, v = compare(*[batch.column(k)[i].as_py() for k in range(4 if has_sets else 2)])
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return both.mapInArrow(run, "u bigint, v bigint")
-
-
-def with_sets(nodes: DataFrame, chosen: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The ``chosen`` nodes (``fp``) with the set of shingles of their first text (``at``, ``text``)."""
-    needed = written(nodes.join(chosen, "fp", "left_semi").withColumn("at", F.col("first.at")), "chosen")
-
-    def hashed(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = shingles(batch.column(1)[i].as_py(), words).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([found], pa.binary())], names=["at", "set"])
-
-    sets = texts.join(needed.select("at"), "at", "left_semi").select("at", "text").mapInArrow(hashed, "at bigint, set binary")
-    return written(needed.join(sets, "at").select("fp", "sketch", "n", "root", "set"), "sets")
-
-
-def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose sets (``fp``, ``set``) share at least ``least`` of all their shingles."""
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("set_u")), "u").join(
-        sets.select(F.col("fp").alias("v"), F.col("set").alias("set_v")), "v").select("u", "v", "set_u", "set_v")
-
-    def compared(batches):
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                one, other = (np.frombuffer(batch.column(k)[i].as_py(), "<u8") for k in (2, 3))
-                shared = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(shared >= least * (len(one) + len(other) - shared) - 1e-9)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(compared, "u bigint, v bigint")
-
-
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 72, tile_rows: int = 2048,
-                text: str = "text", key: str = "doc_id", carry=None) -> DataFrame:
-    """Adds ``component_id`` (the smallest key reachable) and ``kept`` to every row.
-
-    Two rows are linked when their texts share at least ``least`` of the distinct shingles of ``words`` words that either has
-    (Jaccard similarity); a component is what links connect. Texts with the same set are one node.
-
-    Nodes whose sizes allow the similarity and whose SimHashes of 64 × ``SKETCH_WORDS`` bits differ in ``radius`` bits or
-    fewer are candidates, and every link rests on the exact comparison of two sets. The first pass compares a spanning forest of
-    the candidates, so that a dense group of n copies costs about n comparisons; the second all candidates that
-    lie in different components after the first, tile by tile, so that no row stands for a pair. A pair is missed only when its SimHashes are further apart
-    than the radius: sets at 0.8 differ in about 39 bits of 256, and in 48 when they have but four and five shingles.
-
-    Texts without words are linked to each other only. Keys, nulls, repeats and ``kept`` are as in ``near_duplicates``.
-    """
-    keep = carried(docs, carry, ("component_id", "kept"))
-    base, (text_at, key_at) = renamed(docs, keep, text, key)
-    carry = [f"k{i}" for i in range(len(keep))] + [at for at in (text_at, key_at) if not at.startswith("k")]
-    fields = [("fp", "bigint"), ("sketch", "binary"), ("n", "bigint")]
-    prints = written(annotate(base, text_at, fields, _sketches(words), carry).withColumn(
-        "at", F.monotonically_increasing_id()), "sketches")
-    nodes = _nodes(prints, key_at, F.min("sketch").alias("sketch"), F.min("n").alias("n"))
-    texts = prints.select("at", "fp", F.col(text_at).alias("text"))
-    nodes = nodes.withColumn("root", F.col("fp"))
-    forest = written(over_tiles(nodes, tile_rows, least, lambda a, b: nearest(a, b, radius, least)).distinct(), "forest")
-    chosen = forest.select(F.col("u").alias("fp")).union(forest.select("v")).distinct()
-    edges = written(alike(forest, with_sets(nodes, chosen, texts, words), least), "alike")
-    found = written(components(edges), "components")
-    rooted = nodes.drop("root").join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted.drop("node"), "rooted")
-    chosen = over_tiles(rooted, tile_rows, least, lambda a, b: ends(a, b, radius, least)).select(F.col("u").alias("fp")).distinct()
-    rest = over_tiles(with_sets(rooted, chosen, texts, words), tile_rows, least, lambda *tiles: linked(*tiles, radius, least))
-    found = written(components(edges.union(rest)), "components")
-    nodes = nodes.drop("root")
-    return _classed(prints, nodes, found, restored(keep))
+        F.col("fp").alias("_fp"), F.col("_first.id").alias("component_id"), F.col("_first._file").alias("first_file"),
+        F.col("_first._row").alias("first_row")), "classes")
+    first = (F.col("_row") == F.col("first_row")) & (F.col("_file") == F.col("first_file"))
+    decided = prints.join(classes, F.col("fp") == F.col("_fp")).select(
+        *others, "_file", "_row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", first.alias("kept"))
+    if text in keep:
+        decided = with_texts(decided, base, f"k{keep.index(text)}")
+    return decided.select(*restored(keep), *RESULTS)

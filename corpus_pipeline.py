@@ -2,46 +2,55 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlelens.llm import bpe, exact_dedup, langid, mixing, simhash
-from bundlelens.session import written
+from bundlelens.llm.common import col
+from bundlelens.session import remove, scratch, shared_dir
 
-LEAST_SCORE = 0.5
-"""A document stays when its language has this share of its words."""
-SHARDS_LEVELS = 6
+LEAST_CERTAINTY = 0.5
+"""A document stays when its words' labels are this certain on average."""
+NEEDED = ("doc_id", "text", "lang", "source")
 
 ORACLE_SQL = None
 """The stages' hashes, models and tokens are beyond SQL; tests compare them with brute force."""
 
 
+def _decided(docs: DataFrame, decide) -> DataFrame:
+    """The rows that ``decide`` leaves, with the columns of ``docs``; others than those needed can't clash with a stage's results."""
+    names = docs.columns
+    held = [name if name in NEEDED else f"extra{i}" for i, name in enumerate(names)]
+    found = decide(docs.select(*[col(name).alias(h) for name, h in zip(names, held)]))
+    return found.select(*[F.col(h).alias(name) for name, h in zip(names, held)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents without a clear language go (no letters, or no language with ``LEAST_SCORE``)."""
-    learnt = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
-    found = langid.identify(docs, langid.train(docs, learnt))
-    clear = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.filter(clear).select(docs.columns)
+    """Operator 8: documents without a language go (no letters, or words whose labels are below ``LEAST_CERTAINTY`` on average).
+
+    How many languages share a document doesn't matter.
+    """
+    learnt = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(True))
+    model = langid.train(docs, learnt)
+    clear = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("certainty") >= LEAST_CERTAINTY)
+    return _decided(docs, lambda d: langid.identify(d, model).filter(clear))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each group of equal texts stays."""
-    index = exact_dedup.open_index(spark, f"pipeline_index_{uuid.uuid4().hex}")
-    return exact_dedup.deduplicate(docs, index).filter("kept").select(docs.columns)
+    with exact_dedup.fresh_index(spark) as index:
+        return _decided(docs, lambda d: exact_dedup.deduplicate(d, index).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
-    return simhash.near_copies(docs, words=5, least=0.8).filter("kept").select(docs.columns)
+    """Operator 3: one document of each group whose SimHashes (three-word shingles) are linked by 2 bits or fewer stays."""
+    return _decided(docs, lambda d: simhash.near_duplicates(d, radius=2, words=3).filter("kept"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: sources at their target weights; documents come once per use, in shuffled shards."""
-    mixed = mixing.mix(docs, levels=SHARDS_LEVELS)
-    return mixing.mixed_documents(mixed, shards=2 ** SHARDS_LEVELS).select(docs.columns)
+    return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +63,16 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact), ("simhash_dedup"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet and read again.
+
+    A stage's intermediate tables are removed once its output is written, and that output once the next one's is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+        path = shared_dir(spark, f"stage_{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

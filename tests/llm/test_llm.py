@@ -89,48 +89,6 @@ def test_links_of_random_prints(spark):
     assert {p: got.get(p, p) for p in prints} == {p: prints[r] for p, r in zip(prints, root)}
 
 
-def test_near_copies_against_all_pairs(spark):
-    random = np.random.default_rng(8)
-    vocabulary = [f"w{i}" for i in range(400)]
-    texts = [None, "", "one", "ONE", "a b c d e f g h", "a b c d e f g h i", "a b c d"]
-    for size in [12, 40, 120, 400] * 6:
-        base = random.choice(vocabulary, size).tolist()
-        for _ in range(5):
-            copy = list(base)
-            for at in random.integers(0, size, random.integers(0, max(2, size // 25))):
-                copy[at] = "changed"
-            texts.append(" ".join(copy))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in simhash.near_copies(docs, tile_rows=16).collect()}
-    sets = []
-    for text in texts:
-        words = (text or "").lower().split()
-        sets.append({" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    root = list(range(len(texts)))
-    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) >= 0.8 * len(a | b)]
-    changed = True
-    while changed:
-        changed = False
-        for i, j in links:
-            least = min(root[i], root[j])
-            changed |= root[i] != root[j]
-            root[i] = root[j] = least
-    assert len(set(root)) < len(root) - 20 and len(set(root)) > 20
-    assert [got[i]["component_id"] for i in range(len(texts))] == root
-    assert all(got[i]["kept"] == (root[i] == i) for i in range(len(texts)))
-    assert simhash.near_copies(docs.filter("false")).count() == 0
-
-
-def test_near_stage_of_the_pipeline(spark):
-    import corpus_pipeline
-    words = [f"w{i}" for i in range(200)]
-    copy = list(words)
-    copy[50] = copy[150] = "other"  # 186 of 206 shingles are shared: 0.9
-    less = [w if i % 10 else "other" for i, w in enumerate(words)]
-    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate([words, copy, less])], DOCS)
-    assert [r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").orderBy("doc_id").collect()] == [0, 2]
-
-
 def test_bpe(spark, docs):
     library = Tokenizer.from_file(SPEC)
     odd = ["İstanbul Ǆ ΣΑΣ", "a\x1cb\x00c", "é 한국어 ՘x 👍🏽", "x" * 3000, "'s's''re", " a b", "<|startoftext|><|endoftext|>"]
@@ -164,9 +122,41 @@ def test_mixing(spark):
         own = [r for r in got if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and sum(r["size"] for r in own) == own[0]["source_size"]
     assert abs(sum({r["source"]: r["target"] for r in got}.values()) - 1.5 * sum(r["size"] for r in got)) < 1e-6
-    out = mixing.mixed_documents(mixed, shards=8)
-    assert sum(len(r["text"].split()) for r in out.collect()) == sum(r["taken"] for r in got)
-    assert mixing.mix(docs.filter("false")).count() == 0
+    clashing = docs.withColumns({"shard": mixing.F.lit(9), "copies": mixing.F.lit("x"), "a.b": mixing.F.lit(1), "_turn": mixing.F.lit(2)})
+    out = mixing.mixed_documents(clashing, block_words=200, levels=3)
+    lines = out.collect()
+    assert out.columns == clashing.columns and {r["shard"] for r in lines} == {9} and out.rdd.getNumPartitions() == 8
+    assert sum(len(r["text"].split()) for r in lines) == sum(r["taken"] for r in got)
+    assert mixing.mix(docs.filter("false")).count() == 0 and mixing.mixed_documents(docs.filter("false")).count() == 0
+
+
+def plain_targets(sizes, weights, share, repeats):
+    """Targets by resharing the excess over the caps until none is left."""
+    left, target, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        over = {i for i in open_ if weights[i] * unit > repeats * sizes[i]}
+        for i in over or open_:
+            target[i] = repeats * sizes[i] if over else weights[i] * unit
+        left -= sum(target[i] for i in over)
+        open_ = open_ - over if over else set()
+    return target
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [5, 1000, 10, 0, 700, 3], [1], [0, 0], [10, 1, 1, 1, 1, 1, 1, 300]])
+def test_targets_against_resharing(spark, sizes):
+    table = spark.createDataFrame([(f"0s{i:02}", n) for i, n in enumerate(sizes)], "src string, source_size bigint")
+    got = mixing.source_targets(table, (5, 2, 1), 1.5, 2).orderBy("place").collect()
+    weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
+    assert np.allclose([r["target"] for r in got], plain_targets(sizes, weights, 1.5, 2))
+
+
+def test_shards_follow_the_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    docs = spark.createDataFrame([(i, "w " * 20, f"s{i % 3}") for i in range(200)], "doc_id bigint, text string, source string")
+    out = mixing.mixed_documents(docs, block_words=40)
+    sizes = [sum(len(r["text"].split()) for r in part) for part in out.rdd.glom().collect()]
+    assert len(sizes) == 16 and sum(sizes) == 6000 and 0.5 * 375 < min(sizes) and max(sizes) < 1.6 * 375
 
 
 def test_tree_keeps_quotas(spark):
@@ -239,7 +229,25 @@ def test_language_of_long_runs_and_many_languages(spark):
     docs = spark.createDataFrame([(1, run)], "doc_id bigint, text string")
     assert langid.identify(docs, model).first()["lang_pred"] == "aa"
     many = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(70)], "doc_id bigint, text string, lang string")
-    assert len(langid.sample(many, langid.F.lit(True), "text", "lang", "doc_id", 5, 100)) == 70
+    assert langid.sample(many, langid.F.lit(True), "text", "lang", "doc_id", 5, 100).count() == 70
+
+
+def test_language_of_long_texts_in_stretches(spark, monkeypatch):
+    learn = [("en", "the house and the garden of this man"), ("fr", "la maison et le jardin de cet homme")] * 20
+    model = spark.createDataFrame(learn, "lang string, text string").withColumn("doc_id", langid.F.monotonically_increasing_id())
+    model = langid.train(model, langid.F.lit(True))
+    random = np.random.default_rng(3)
+    words = "the house garden la maison jardin of cet 12 ...".split()
+    texts = [" ".join(random.choice(words, 300)), "12 " * 200 + "jardin", "12 " * 200, "the " * 100, "x" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    whole = sorted(map(tuple, langid.identify(docs, model, carry=["doc_id"]).collect()))
+    path = str(langid.SparkFiles.getRootDirectory()) + "/" + langid.ship(spark, model, "langid")
+    monkeypatch.setattr(langid, "LONG_TEXT", 64)
+    monkeypatch.setattr(langid, "CACHE_WORDS", 3)
+    names, scores, certain = langid.Labeller(path).predict(texts)
+    for (_, name, score, certainty), *got in zip(whole, names, scores, certain):
+        assert name == got[0] and np.allclose([score, certainty], got[1:], atol=1e-6)
+    assert names[2] == "und" and 0.5 < certain[0] <= 1
 
 
 def test_quality(spark, docs):
