@@ -49,8 +49,9 @@ def test_words_met_once_get_no_weight():
     model = np.load(io.BytesIO(quality.fit(rows)))
     weights = model["weights"]
     assert weights[7] < -1 and not weights[10_000:14_000].any() and (weights[100:1000] != 0).sum() <= 2
-    counts, totals = np.zeros((2, 5), int), np.array([67, 3933])
-    counts[:, 0], counts[:, 1], counts[:, 2], counts[:, 3] = (1, 0), (2, 3), (20, 0), (60, 4000)
+    counts, totals = np.zeros((2, 500), int), np.array([67, 3933])
+    counts[1, 4:] = 9
+    counts[:, 0], counts[:, 1], counts[:, 2], counts[:, 3] = (1, 0), (2, 3), (20, 0), (60, 3900)
     assert quality.chosen(counts, totals).tolist() == [2]
 
 
