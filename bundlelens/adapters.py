@@ -55,6 +55,10 @@ class Views:
             message.alias("message"),
         )
 
+    def loose_events(self) -> DataFrame:
+        """``log_events``, some of them without a bundle."""
+        return self.log_events().withColumn("support_bundle", F.when(F.col("event_id") % 89 != 0, F.col("support_bundle")))
+
     def documents(self) -> DataFrame:
         """Prose as messages: whole texts, nodes by source, log types by language."""
         return self.table("documents").select(
@@ -237,6 +241,10 @@ SQL = {
 }
 
 
+SQL["loose_events"] = f"""
+        SELECT * REPLACE (CASE WHEN event_id % 89 <> 0 THEN support_bundle END AS support_bundle) FROM ({SQL['log_events']})"""
+
+
 def with_views(*names: str) -> str:
     """``WITH`` clause that defines the named views."""
     return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names)

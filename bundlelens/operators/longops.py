@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bundlelens.functions.labels import clean_label, display_label, is_candidate, operation_label
 from bundlelens.functions.timestamps import bucket_start, interval_key, to_ntz
+from bundlelens.operators.joins import null_safe_join
 
 INTERVAL_MINUTES = 10
 POINT = "struct<c: bigint, avg: double, max: double>"
@@ -143,19 +144,17 @@ def interval_counts(longops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def align_series(longops: DataFrame, by: Sequence[str] = (), value: str = "avg") -> DataFrame:
     """Every prefix at every time bucket any prefix of its report has; null, not 0, where it lacks one.
 
-    The time axis of a report is an array with one entry per ten minutes, so it
-    grows with the time covered, not with the number of messages. Each prefix
-    generates its empty points from it and the real ones are laid over them.
+    The time axis is kept per day: a report's days, and the buckets of each, so no row holds more than one of
+    these lists. Each prefix generates its empty points day by day and the real ones are laid over them. A missing bundle
+    is one like others.
     """
-    def axis_of(rows):
-        return rows.agg(F.collect_set("bucket").alias("_axis"))
-
+    day = F.substring("bucket", 1, 10).alias("_day")
+    axis = longops.filter(F.col("bucket").isNotNull()).groupBy(*by, day).agg(F.collect_set("bucket").alias("_axis"))
+    days = axis.groupBy(*by).agg(F.collect_list("_day").alias("_days"))
     names = longops.select(*by, "prefix").distinct()
-    if by:
-        names = names.join(axis_of(longops.groupBy(*by)), list(by))
-    else:
-        names = names.withColumn("_axis", axis_of(longops).scalar())
-    empty = names.select(*by, "prefix", F.explode("_axis").alias("bucket"), F.lit(None).cast("double").alias("value"))
+    names = null_safe_join(names, days, by) if by else names.withColumn("_days", days.scalar())
+    by_day = null_safe_join(names.select(*by, "prefix", F.explode("_days").alias("_day")), axis, [*by, "_day"])
+    empty = by_day.select(*by, "prefix", F.explode("_axis").alias("bucket"), F.lit(None).cast("double").alias("value"))
     points = longops.select(*by, "prefix", "bucket", F.col(value).cast("double").alias("value"))
     return (
         points.unionByName(empty).groupBy(*by, "prefix", "bucket").agg(F.max("value").alias("value"))

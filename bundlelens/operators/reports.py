@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bundlelens.functions.encodings import placement, yes_no
-from bundlelens.functions.timestamps import iso_second, listing_minute, parse_tolerant
+from bundlelens.functions.timestamps import iso_second, listing_minute, minute_key, parse_tolerant
+from bundlelens.operators.joins import null_safe_join
 
 RELATED_LIMIT = 20
 HEADER = ("cluster_name", "organization", "cluster_uuid", "case_id")
@@ -262,6 +263,10 @@ def _map_of(key: str, value: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))), by_key))
 
 
+def _known(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("node_name").isNotNull() & F.col("log_type").isNotNull())
+
+
 def assemble_reports(
     stats: DataFrame,
     hist: DataFrame,
@@ -271,24 +276,52 @@ def assemble_reports(
     warnings: Sequence[dict] = (),
     config: dict | None = None,
     whole: bool = False,
+) -> DataFrame:
+    """Nested report documents as JSON from statistics and a histogram that are there already.
+
+    The documents are those of ``assemble_from_minutes``, which needs one table and no join.
+    """
+    keys = [by, "node_name", "log_type", pattern]
+    histograms = _known(hist).filter(F.col("minute").isNotNull()).groupBy(*keys).agg(_map_of("minute", F.col("count")).alias("histogram"))
+    messages = null_safe_join(_known(stats), histograms, keys, "left")
+    return _documents(messages, longops, by, pattern, warnings, config, whole)
+
+
+def assemble_from_minutes(
+    minutes: DataFrame,
+    longops: DataFrame | None = None,
+    by: str = "support_bundle",
+    pattern: str = "pattern",
+    warnings: Sequence[dict] = (),
+    config: dict | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Nested report documents as JSON, in parts: one per ``by`` value, node and log type.
 
-    Each part is a complete report document of its own, whatever its size, and
+    ``minutes`` has a row per (``by``, node, log type, pattern, bucket) with count, start and end time: counts, times and
+    histogram of a message come from one grouping of it. Each part is a complete report document of its own, whatever its size, and
     ``part`` names it. Long operations split the same way, by prefix. With
     ``whole`` there is one document per ``by`` value, and ``part`` is '': for a
     caller who has chosen one report. The size of a document follows patterns x
     minutes (a whole one: times nodes x log types), not the log volume. Hits
-    without a time are in the counts but not in the histograms. ``stats`` may
-    carry a ``solution`` column.
+    without a time are in the counts but not in the histograms. Rows without a node or log type have no place in a document and
+    are left out; a missing ``by`` value is one like others. The table may carry a ``solution`` column.
     """
-    keys = [by, "node_name", "log_type", pattern]
-    known = lambda df: df.filter(F.col("node_name").isNotNull() & F.col("log_type").isNotNull())
+    keys = [by, "node_name", "log_type", pattern] + [c for c in ("solution",) if c in minutes.columns]
+    point = F.when(F.col("bucket").isNotNull(), F.struct(minute_key(F.col("bucket")).alias("k"), F.col("count").alias("v")))
+    points = F.array_sort(F.collect_list(point))
+    messages = _known(minutes).groupBy(*keys).agg(
+        F.sum("count").alias("count"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
+        F.when(F.size(points) > 0, F.map_from_entries(points)).alias("histogram"))
+    return _documents(messages, longops, by, pattern, warnings, config, whole)
+
+
+def _documents(messages: DataFrame, longops: DataFrame | None, by: str, pattern: str, warnings, config, whole: bool) -> DataFrame:
+    """Documents from one row per message with its count, times and histogram."""
     named = lambda *parts: F.lit("") if whole else F.concat_ws("/", *parts)
-    histograms = known(hist).filter(F.col("minute").isNotNull()).groupBy(*keys).agg(_map_of("minute", F.col("count")).alias("histogram"))
-    solution = F.col("solution") if "solution" in stats.columns else F.lit(None).cast("string")
-    messages = known(stats).join(histograms, keys, "left").select(
-        *keys,
+    solution = F.col("solution") if "solution" in messages.columns else F.lit(None).cast("string")
+    messages = messages.select(
+        by, "node_name", "log_type", pattern,
         named("node_name", "log_type").alias("part"),
         F.struct(
             iso_second(F.col("start_time")).alias("StartTime"), iso_second(F.col("end_time")).alias("EndTime"),
@@ -310,7 +343,7 @@ def assemble_reports(
     ]
     if longops is not None:
         placed = longops.withColumn("part", named(F.lit("long operations"), "prefix"))
-        docs = docs.join(long_operation_maps(placed, by, "part"), [by, "part"], "full")
+        docs = null_safe_join(docs, long_operation_maps(placed, by, "part"), [by, "part"], "full")
         fields.append(F.col("long_operations"))
     return docs.select(by, "part", F.to_json(F.struct(*fields)).alias("json_report"))
 

@@ -3,8 +3,8 @@
 A histogram has the columns ``[by..., node_name, log_type, pattern, minute,
 count]`` with ``minute`` as text. Null, 'null' and malformed minutes are
 ignored, as in a stored report. ``by`` names the report or bundle when several
-are shaped together; bounds are then taken per report. Ranges that depend on the
-latest bucket read the histogram twice, so pass a stored one.
+are shaped together; bounds are then taken per report, and a missing bundle is one like others. Ranges that depend on the
+latest bucket use the histogram twice; Spark shuffles it once and reuses that.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bundlelens.functions.timestamps import bucket_start, iso_second, minute_key, parse_minute_key
+from bundlelens.operators.joins import null_safe_join
 
 INTERVALS = (1, 5, 15, 30, 60)
 DEFAULT_RANGE = "7 days"
@@ -34,12 +35,21 @@ def latest_bucket(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _counted_bucket() -> Column:
+    """The bucket, looked up together with its count.
+
+    So neither the latest bucket nor a range after it can be decided below the histogram's aggregation: both need the same columns
+    of it and share its one shuffle.
+    """
+    return F.when(F.col("count").isNull() | (F.col("count") >= 0), F.col("bucket"))
+
+
 def _with_latest(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds the latest bucket of the row's report as ``_latest``."""
+    latest = F.max(_counted_bucket()).alias("_latest")
     if not by:
-        return rows.withColumn("_latest", rows.agg(F.max("bucket")).scalar())
-    latest = rows.groupBy(*by).agg(F.max("bucket").alias("_latest"))
-    return rows.join(latest, list(by))
+        return rows.withColumn("_latest", rows.agg(latest).scalar())
+    return null_safe_join(rows, rows.groupBy(*by).agg(latest), by)
 
 
 def _bound(value: str | datetime | None) -> Column | None:
@@ -60,12 +70,12 @@ def time_range(
     if start == "all":
         rows, high = with_bucket(hist), _bound(end)
         return rows if high is None else rows.filter((F.col("bucket") <= high) | high.isNull())
-    rows, low, high = with_bucket(hist), _bound(start), _bound(end)
+    rows, low, high, at = with_bucket(hist), _bound(start), _bound(end), F.col("bucket")
     if low is None or high is None:
-        rows = _with_latest(rows, by)
+        rows, at = _with_latest(rows, by), _counted_bucket()
         low = F.col("_latest") - F.expr(f"INTERVAL {DEFAULT_RANGE}") if low is None else low
         high = F.col("_latest") if high is None else high
-    kept = (F.col("bucket") >= low) | low.isNull(), (F.col("bucket") <= high) | high.isNull()
+    kept = (at >= low) | low.isNull(), (at <= high) | high.isNull()
     return rows.filter(kept[0] & kept[1]).drop("_latest")
 
 
@@ -86,7 +96,7 @@ def quick_range(hist: DataFrame, code: str, by: Sequence[str] = ()) -> DataFrame
         back = f"{int(code.rstrip('d')) - 1} days"
     rows = _with_latest(rows, by)
     low = F.col("_latest") - F.expr(f"INTERVAL {back}")
-    return rows.filter(F.col("bucket").between(low, F.col("_latest"))).drop("_latest")
+    return rows.filter(_counted_bucket().between(low, F.col("_latest"))).drop("_latest")
 
 
 def rebucket(
@@ -145,7 +155,7 @@ def fill_gaps(
     names = rows.groupBy(*by, *keys).agg(F.min("bucket").alias("_low"), F.max("bucket").alias("_high"))
     bounds = names.groupBy(*by).agg(F.struct(F.min("_low").alias("low"), F.max("_high").alias("high")).alias("_range"))
     if by:
-        names = names.join(bounds, list(by))
+        names = null_safe_join(names, bounds, by)
     else:
         names = names.withColumn("_range", bounds.scalar())
     step = F.expr(f"INTERVAL {int(interval)} MINUTES")

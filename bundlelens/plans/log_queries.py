@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from bundlelens.adapters import with_views
 from bundlelens.functions.timestamps import iso_second
 from bundlelens.operators import logstats, match, series
 from bundlelens.plans.registry import query
-from bundlelens.session import written
 from bundlelens.sources import catalog, logs
 
 PATTERNS = catalog.load_patterns()
@@ -41,8 +42,11 @@ def _hits_by_scan(patterns, source: str, columns: str) -> str:
 
 
 EVENTS = with_views("log_events")
-HITS = EVENTS + ", " + _hits_by_scan(
-    PATTERNS, "log_events", 'event_id, node_name, log_type, support_bundle, "timestamp"')
+_HIT_COLUMNS = 'event_id, node_name, log_type, support_bundle, "timestamp"'
+HITS = EVENTS + ", " + _hits_by_scan(PATTERNS, "log_events", _HIT_COLUMNS)
+# Hits of which some have no bundle: for what is shaped per bundle.
+BY = ["support_bundle"]
+LOOSE_HITS = with_views("loose_events") + ", " + _hits_by_scan(PATTERNS, "loose_events", _HIT_COLUMNS)
 MINUTE = "strftime(\"timestamp\", '%Y-%m-%dT%H:%M:00Z')"
 HIST = HITS + f""", hist AS (
     SELECT node_name, log_type, pattern, {MINUTE} AS minute, date_trunc('minute', "timestamp") AS bucket,
@@ -51,8 +55,9 @@ HIST = HITS + f""", hist AS (
 
 
 def hits(v, keep=("event_id", "support_bundle")):
-    rows = v.log_events().select("timestamp", "node_name", "log_type", "message", *keep)
-    return match.match_all(rows, PATTERNS)
+    """Hits of all events; those shaped by bundle include some without one."""
+    events = v.loose_events() if list(keep) == BY else v.log_events()
+    return match.match_all(events.select("timestamp", "node_name", "log_type", "message", *keep), PATTERNS)
 
 
 def minutes(v, by=()):
@@ -63,11 +68,6 @@ def histogram(v, by=()):
     return match.name_patterns(logstats.minute_histogram(minutes(v, by), by), PATTERNS, ["pattern"])
 
 
-def stored_histogram(v, by=()):
-    """The histogram as a stored report holds it: series are shaped from that, not from the logs."""
-    return written(histogram(v, by), "histogram")
-
-
 def stats(v, by=()):
     return match.name_patterns(logstats.hit_stats(hits(v, keep=by), by), PATTERNS)
 
@@ -144,23 +144,23 @@ def minute_histogram(v):
     FROM hits GROUP BY node_name, log_type, pattern_name, pattern""")
 def merged_stats(v):
     """A3: statistics per bundle, merged"""
-    return _timed(logstats.merge_stats(stats(v, ["support_bundle"])))
+    return _timed(logstats.merge_stats(stats(v, BY)))
 
 
 @query("merged_histogram", HIST + """SELECT node_name, log_type, pattern, minute, "count" FROM hist""")
 def merged_histogram(v):
     """A3: histograms per bundle, merged key by key"""
-    return logstats.merge_histograms(histogram(v, ["support_bundle"]), pattern=["pattern"])
+    return logstats.merge_histograms(histogram(v, BY), pattern=["pattern"])
 
 
-@query("hit_table", HITS + """
+@query("hit_table", LOOSE_HITS + """
     SELECT support_bundle, node_name, log_type, pattern AS message,
       strftime(min("timestamp"), '%Y-%m-%dT%H:%M:%SZ') AS first_occurrence,
       strftime(max("timestamp"), '%Y-%m-%dT%H:%M:%SZ') AS last_occurrence, count(*) AS "count"
     FROM hits GROUP BY support_bundle, node_name, log_type, pattern""")
 def hit_table(v):
     """P26, P17, per bundle"""
-    return logstats.hit_table(stats(v, ["support_bundle"]), ["support_bundle"])
+    return logstats.hit_table(stats(v, BY), BY)
 
 
 @query("filtered_stats", HITS + """
@@ -190,7 +190,9 @@ def prose_pattern_counts(v):
     return match.name_patterns(found, PROSE, ["pattern"])
 
 
-CUSTOM = catalog.custom_patterns("took a long, vote.*reset , (broken, LEADER .* detected")
+with warnings.catch_warnings():  # the list holds an invalid pattern on purpose
+    warnings.simplefilter("ignore")
+    CUSTOM = catalog.custom_patterns("took a long, vote.*reset , (broken, LEADER .* detected")
 
 
 @query("custom_pattern_stats", EVENTS + ", " + _hits_by_scan(CUSTOM, "log_events", "event_id, node_name, log_type") + """
@@ -234,40 +236,41 @@ def _rebucket_sql(interval: int, where: str) -> str:
 @query("rebucket_60", _rebucket_sql(60, "bucket BETWEEN hi - INTERVAL 7 DAY AND hi"))
 def rebucket_60(v):
     """Default range, hourly buckets"""
-    return series.rebucket(stored_histogram(v), 60)
+    return series.rebucket(histogram(v), 60)
 
 
 @query("rebucket_15", _rebucket_sql(15, "bucket BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND hi"))
 def rebucket_15(v):
     """Given start, default end"""
-    return series.rebucket(stored_histogram(v), 15, start="2024-01-05T06:30:00Z")
+    return series.rebucket(histogram(v), 15, start="2024-01-05T06:30:00Z")
 
 
 @query("rebucket_30_explicit",
        _rebucket_sql(30, "bucket BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-15 00:00:00'"))
 def rebucket_30_explicit(v):
     """Both bounds given"""
-    return series.rebucket(stored_histogram(v), 30, "2024-01-05T06:30:00Z", "2024-01-15T00:00:00Z")
+    return series.rebucket(histogram(v), 30, "2024-01-05T06:30:00Z", "2024-01-15T00:00:00Z")
 
 
-@query("rebucket_by_bundle", HITS + """, hist AS (
+@query("rebucket_by_bundle", LOOSE_HITS + """, hist AS (
       SELECT support_bundle, node_name, log_type, pattern, date_trunc('minute', "timestamp") AS bucket, count(*) AS n
       FROM hits GROUP BY ALL),
     bounds AS (SELECT support_bundle, max(bucket) AS hi FROM hist GROUP BY support_bundle)
     SELECT support_bundle, node_name, log_type, pattern,
       strftime(time_bucket(INTERVAL '60 minutes', bucket), '%Y-%m-%dT%H:%M:00Z') AS minute, CAST(sum(n) AS BIGINT) AS "count"
-    FROM hist JOIN bounds USING (support_bundle) WHERE bucket BETWEEN hi - INTERVAL 7 DAY AND hi GROUP BY ALL""")
+    FROM hist JOIN (SELECT support_bundle AS of_bundle, hi FROM bounds) ON support_bundle IS NOT DISTINCT FROM of_bundle
+    WHERE bucket BETWEEN hi - INTERVAL 7 DAY AND hi GROUP BY ALL""")
 def rebucket_by_bundle(v):
     """A7, F14 for many reports at once, each with its own range"""
-    return series.rebucket(stored_histogram(v, ["support_bundle"]), 60, by=["support_bundle"])
+    return series.rebucket(histogram(v, BY), 60, by=BY)
 
 
-@query("latest_bucket", HITS + """
+@query("latest_bucket", LOOSE_HITS + """
     SELECT support_bundle, strftime(date_trunc('minute', max("timestamp")), '%Y-%m-%dT%H:%M:00Z') AS latest
     FROM hits GROUP BY support_bundle""")
 def latest_bucket(v):
     """A8 per bundle"""
-    return series.latest_bucket(histogram(v, ["support_bundle"]), ["support_bundle"])
+    return series.latest_bucket(histogram(v, BY), BY)
 
 
 def _quick_sql(back: str) -> str:
@@ -279,19 +282,29 @@ def _quick_sql(back: str) -> str:
 @query("quick_range_12h", _quick_sql("12 hours"))
 def quick_range_12h(v):
     """F16"""
-    return series.quick_range(stored_histogram(v), "12h").drop("bucket")
+    return series.quick_range(histogram(v), "12h").drop("bucket")
 
 
 @query("quick_range_1d", _quick_sql("24 hours"))
 def quick_range_1d(v):
     """F16"""
-    return series.quick_range(stored_histogram(v), "1d").drop("bucket")
+    return series.quick_range(histogram(v), "1d").drop("bucket")
 
 
 @query("quick_range_3_days", _quick_sql("2 days"))
 def quick_range_3_days(v):
     """F16: three days counted inclusively"""
-    return series.quick_range(stored_histogram(v), "3d").drop("bucket")
+    return series.quick_range(histogram(v), "3d").drop("bucket")
+
+
+@query("quick_range_by_bundle", LOOSE_HITS + f""", hist AS (
+      SELECT support_bundle, node_name, log_type, pattern, {MINUTE} AS minute, date_trunc('minute', "timestamp") AS bucket, count(*) AS "count"
+      FROM hits GROUP BY ALL)
+    SELECT support_bundle, node_name, log_type, pattern, minute, "count" FROM hist
+    QUALIFY bucket BETWEEN max(bucket) OVER (PARTITION BY support_bundle) - INTERVAL 4 DAY AND max(bucket) OVER (PARTITION BY support_bundle)""")
+def quick_range_by_bundle(v):
+    """F16 for many reports at once: five days of each, counted inclusively"""
+    return series.quick_range(histogram(v, BY), "5d", BY).drop("bucket")
 
 
 @query("message_totals", HIST + """
@@ -318,11 +331,11 @@ def node_series(v):
     FROM names CROSS JOIN spine LEFT JOIN slots ON slots.pattern = names.pattern AND slots.slot = spine.slot""")
 def gap_filled_totals(v):
     """Hourly totals of all days, zeros where a pattern has none"""
-    hourly = series.rebucket(stored_histogram(v), 60, start="all")
+    hourly = series.rebucket(histogram(v), 60, start="all")
     return series.fill_gaps(series.message_totals(hourly), 60)
 
 
-@query("gap_filled_nodes", HITS + """, slots AS (
+@query("gap_filled_nodes", LOOSE_HITS + """, slots AS (
       SELECT support_bundle, pattern, node_name, time_bucket(INTERVAL '60 minutes', "timestamp") AS slot, count(*) AS n
       FROM hits GROUP BY ALL),
     bounds AS (SELECT support_bundle, unnest(generate_series(min(slot), max(slot), INTERVAL '60 minutes')) AS slot
@@ -330,13 +343,13 @@ def gap_filled_totals(v):
     names AS (SELECT DISTINCT support_bundle, pattern, node_name FROM slots)
     SELECT names.support_bundle, names.pattern, names.node_name, strftime(b.slot, '%Y-%m-%dT%H:%M:00Z') AS minute,
       CAST(coalesce(n, 0) AS BIGINT) AS "count"
-    FROM names JOIN bounds b USING (support_bundle)
-    LEFT JOIN slots s ON s.support_bundle = names.support_bundle AND s.pattern = names.pattern
+    FROM names JOIN bounds b ON b.support_bundle IS NOT DISTINCT FROM names.support_bundle
+    LEFT JOIN slots s ON s.support_bundle IS NOT DISTINCT FROM names.support_bundle AND s.pattern = names.pattern
       AND s.node_name = names.node_name AND s.slot = b.slot""")
 def gap_filled_nodes(v):
     """J17 per bundle and node, each bundle on its own axis"""
-    by = ["support_bundle"]
-    hourly = series.rebucket(stored_histogram(v, by), 60, start="all", by=by)
+    by = BY
+    hourly = series.rebucket(histogram(v, by), 60, start="all", by=by)
     return series.fill_gaps(series.node_series(hourly, by=by), 60, by, ["pattern", "node_name"])
 
 
@@ -346,7 +359,7 @@ def axis_buckets(v):
     return series.axis_values(histogram(v), "minute")
 
 
-@query("axis_nodes", HITS + "SELECT DISTINCT support_bundle, node_name FROM hits")
+@query("axis_nodes", LOOSE_HITS + "SELECT DISTINCT support_bundle, node_name FROM hits")
 def axis_nodes(v):
     """U8 per bundle"""
-    return series.axis_values(histogram(v, ["support_bundle"]), "node_name", ["support_bundle"])
+    return series.axis_values(histogram(v, BY), "node_name", BY)

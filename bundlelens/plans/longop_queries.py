@@ -27,6 +27,7 @@ bundle_ops AS (
   SELECT support_bundle, prefix, bucket, count(*) AS c, avg(op_value) AS "avg", max(op_value) AS "max"
   FROM cleaned GROUP BY support_bundle, prefix, bucket)
 """
+_LOOSE = _LABELLED.replace(with_views("log_events"), with_views("loose_events")).replace("FROM log_events\n", "FROM loose_events\n")
 _ROUNDED = 'c, round("avg", 6) AS "avg", round("max", 6) AS "max"'
 
 
@@ -132,13 +133,14 @@ def aligned_series(v):
     return _rounded(longops.align_series(ops(v)), "value")
 
 
-@query("aligned_series_by_bundle", _LABELLED + """,
+@query("aligned_series_by_bundle", _LOOSE + """,
     axis AS (SELECT DISTINCT support_bundle, bucket FROM bundle_ops),
     names AS (SELECT DISTINCT support_bundle, prefix FROM bundle_ops)
     SELECT n.support_bundle, n.prefix, regexp_replace(n.prefix, '\\s+took a long\\s*$', '', 'i') AS label, a.bucket,
       round(o."avg", 6) AS value
-    FROM names n JOIN axis a ON a.support_bundle = n.support_bundle
-    LEFT JOIN bundle_ops o ON o.support_bundle = n.support_bundle AND o.prefix = n.prefix AND o.bucket = a.bucket""")
+    FROM names n JOIN axis a ON a.support_bundle IS NOT DISTINCT FROM n.support_bundle
+    LEFT JOIN bundle_ops o ON o.support_bundle IS NOT DISTINCT FROM n.support_bundle AND o.prefix = n.prefix AND o.bucket = a.bucket""")
 def aligned_series_by_bundle(v):
-    """J18 per bundle"""
-    return _rounded(longops.align_series(ops(v, ["support_bundle"]), ["support_bundle"]), "value")
+    """J18 per bundle, a missing one included"""
+    by = ["support_bundle"]
+    return _rounded(longops.align_series(longops.long_operations(v.loose_events(), by), by), "value")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bundlelens.adapters import with_views
 from bundlelens.functions.timestamps import iso_second, listing_minute
-from bundlelens.operators import longops, reports, series
+from bundlelens.operators import longops, match, reports, series
 from bundlelens.plans import log_queries, longop_queries
 from bundlelens.plans.registry import query
 from bundlelens.session import shared_dir
@@ -132,13 +132,13 @@ def node_table(v):
 def documents(v, whole=False):
     """Report documents: one per bundle, node and log type, or whole bundles."""
     by = ["support_bundle"]
-    return reports.assemble_reports(
-        log_queries.stats(v, by), log_queries.histogram(v, by), longop_queries.ops(v, by),
+    return reports.assemble_from_minutes(
+        match.name_patterns(log_queries.minutes(v, by), log_queries.PATTERNS, ["pattern"]), longop_queries.ops(v, by),
         warnings=[{"message": "All patterns were run over the stored logs", "level": "info", "type": "parquet_analysis"}],
         whole=whole)
 
 
-_BUNDLE_HIST = log_queries.HITS + f"""
+_BUNDLE_HIST = log_queries.LOOSE_HITS + f"""
     SELECT support_bundle, node_name, log_type, pattern, {log_queries.MINUTE} AS minute, count(*) AS "count"
     FROM hits GROUP BY ALL"""
 
@@ -157,7 +157,7 @@ def report_documents_in_parts(v):
     return reports.report_to_rows(documents(v), ["support_bundle"])
 
 
-@query("report_documents_stats", log_queries.HITS + """
+@query("report_documents_stats", log_queries.LOOSE_HITS + """
     SELECT support_bundle, node_name, log_type, pattern, count(*) AS "count",
       strftime(min("timestamp"), '%Y-%m-%dT%H:%M:%SZ') AS start_time, strftime(max("timestamp"), '%Y-%m-%dT%H:%M:%SZ') AS end_time
     FROM hits GROUP BY support_bundle, node_name, log_type, pattern""")
@@ -167,7 +167,7 @@ def report_documents_stats(v):
     return rows.withColumns({c: iso_second(F.col(c)) for c in ("start_time", "end_time")})
 
 
-@query("report_documents_latest", log_queries.HITS + """
+@query("report_documents_latest", log_queries.LOOSE_HITS + """
     SELECT support_bundle, strftime(date_trunc('minute', max("timestamp")), '%Y-%m-%dT%H:%M:00Z') AS latest
     FROM hits GROUP BY support_bundle""")
 def report_documents_latest(v):

@@ -156,3 +156,26 @@ def test_stored_forms_and_alignment(spark):
         ("A", "1", 2.0), ("A", "2", None), ("B", "1", None), ("B", "2", 4.0)]
     assert rows(longops.result_size(ops)) == [(2, 2)]
     assert [r.prefix for r in longops.label_rollup(ops).collect()] == ["A took a long", "B"]
+
+
+def test_a_missing_bundle_is_one_like_others(spark):
+    h = hist(spark, ("2024-01-01T00:00:00Z", 1), ("2024-01-11T00:00:00Z", 1), ("2024-01-11T02:00:00Z", 2))
+    both = h.withColumn("id", F.lit(None).cast("string")).union(h.filter("minute < '2024-01-05'").withColumn("id", F.lit("a")))
+    assert rows(series.rebucket(both, 60, by=["id"]), "id", "minute", "count") == [
+        (None, "2024-01-11T00:00:00Z", 1), (None, "2024-01-11T02:00:00Z", 2), ("a", "2024-01-01T00:00:00Z", 1)]
+    assert rows(series.quick_range(both, "1d", ["id"]), "id", "minute") == [
+        (None, "2024-01-11T00:00:00Z"), (None, "2024-01-11T02:00:00Z"), ("a", "2024-01-01T00:00:00Z")]
+    recent = series.rebucket(both, 60, by=["id"])
+    filled = rows(series.fill_gaps(series.message_totals(recent, by=["id"]), 60, ["id"]), "id", "minute", "count")
+    assert [(i, m[11:13], c) for i, m, c in filled] == [(None, "00", 1), (None, "01", 0), (None, "02", 2), ("a", "00", 1)]
+
+
+def test_alignment_with_missing_bundles_and_times(spark):
+    points = [(None, "x", "2024-01-01 10:00:00", 1.0), (None, "y", "2024-01-02 10:10:00", 2.0), ("a", "x", "2024-01-01 10:00:00", 3.0),
+              ("a", "z", None, 4.0)]
+    ops = spark.createDataFrame(points, "id string, prefix string, bucket string, avg double")
+    assert rows(longops.align_series(ops, ["id"]), "id", "prefix", "bucket", "value") == [
+        (None, "x", "2024-01-01 10:00:00", 1.0), (None, "x", "2024-01-02 10:10:00", None), (None, "y", "2024-01-01 10:00:00", None),
+        (None, "y", "2024-01-02 10:10:00", 2.0), ("a", "x", "2024-01-01 10:00:00", 3.0), ("a", "z", None, 4.0), ("a", "z", "2024-01-01 10:00:00", None)]
+    assert longops.align_series(ops).count() == 7
+    assert longops.align_series(ops.limit(0)).count() == longops.align_series(ops.limit(0), ["id"]).count() == 0
