@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from bundlelens.llm.bpe import ship
 from bundlelens.llm.common import annotate, col, held as held_model
 from bundlelens.llm.crf import Adam, packed, posteriors, transfer_of
+from bundlelens.session import written
 
 LONG_WORD = 24
 WORDS = re.compile(r"[^\W\d_]{1,%d}" % LONG_WORD)
@@ -26,9 +27,9 @@ BASE, SALT, MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15), np.uint64
 """Odd numbers that hash the letters of a feature."""
 SAMPLE_ROWS = 200
 """Labelled rows per language that the model is fitted on."""
+SPARE = 4
 SAMPLE_CHARS = 1_500
 """Characters of a sampled row, from a place in its text that depends on its hash."""
-SPREAD = 64
 SPLICE = 25
 """Words after which the training chains switch to another sampled row, so that transitions are learned."""
 STEPS = 30
@@ -88,17 +89,18 @@ def _summed(weights, buckets) -> np.ndarray:
 def sample(docs: DataFrame, labelled, text: str, lang: str, key: str, rows: int, chars: int) -> DataFrame:
     """Up to ``rows`` labelled texts per language, of up to ``chars`` characters: (lang, text).
 
-    The rows with the smallest hashes are taken. Each task ranks its own first, then ``SPREAD`` groups per language theirs, so a
-    frequent language doesn't meet in one task.
+    The rows with the smallest hashes are taken. The labelled rows per language are counted first, which says below which
+    hash ``SPARE`` times as many rows as needed are expected; only those are ranked, so what moves doesn't grow with the corpus.
     """
     order = F.xxhash64(col(key), F.lit(5))
     room = F.greatest(F.length(col(text)) - chars, F.lit(0)) + 1
     part = F.substring(col(text), (F.pmod(order, room) + 1).cast("int"), F.lit(chars))
-    fit = docs.filter(labelled & col(lang).isNotNull() & col(text).isNotNull())
-    ranked = fit.select(col(lang).alias("lang"), part.alias("text"), order.alias("_order"))
-    group = F.pmod("_order", F.lit(SPREAD))
-    some = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("lang", group).orderBy("_order", "text")))
-    first = some.filter(F.col("_rank") <= rows).withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text")))
+    found = docs.filter(labelled & col(lang).isNotNull() & col(text).isNotNull())
+    counts = written(found.groupBy(col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_rows")), "languages")
+    share = F.lit(float(SPARE * rows)) / F.col("_rows")
+    ranked = found.select(col(lang).alias("lang"), part.alias("text"), order.alias("_order")).join(
+        counts, F.col("lang") == F.col("_lang")).filter((F.col("_order") / 2.0 ** 64 + 0.5) <= share)
+    first = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "text")))
     return first.filter(F.col("_rank") <= rows).select("lang", "text")
 
 
