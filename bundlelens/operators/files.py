@@ -56,15 +56,22 @@ def log_files(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("_n").alias("lines"), F.min_by("_first", timed_block).alias("start_time"),
         F.min_by("_short", timed_block).alias("_short"), F.max_by("_last", timed_block).alias("_last"),
     )
+    return ranges_of(spans, [*key, "lines"])
+
+
+def ranges_of(spans: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Rows of files from their first and last readable time (``start_time``, ``_last``).
+
+    ``_short`` says whether the first was without a year.
+    """
     start, end = F.col("start_time"), F.col("_last")
     rolls = F.col("_short") & (end < start) & (F.month(start) == 12) & (F.month(end) == 1)
     end_time = F.when(rolls, end + F.expr("INTERVAL 1 YEAR")).otherwise(end)
-    ranges = spans.select(
-        *key, "start_time", end_time.alias("end_time"), "lines",
+    return with_file_facts(spans.select(
+        *keep, "start_time", end_time.alias("end_time"),
         F.coalesce(rolls, F.lit(False)).alias("rolls_over"),
         F.when(start.isNull() | end.isNull(), "no time range").when(start > end_time, "start after end").alias("rejected"),
-    )
-    return with_file_facts(ranges)
+    ))
 
 
 def valid_files(files: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bundlelens.operators import files, logstats, longops, match, reports, tablets
 from bundlelens.session import written
-from bundlelens.sources import archives, tablet_reports
+from bundlelens.sources import archives, probe, tablet_reports
 from bundlelens.sources.catalog import Pattern, custom_patterns, load_patterns
 from bundlelens.sources.logs import read_logs
 
@@ -91,17 +91,20 @@ def _results(hits: DataFrame, patterns, pattern: str) -> tuple[DataFrame, DataFr
     return stats, match.name_patterns(logstats.minute_histogram(minutes, by), patterns, [pattern])
 
 
-def analyze_parquet(spark: SparkSession, path: str, patterns: Sequence[Pattern] | None = None) -> LogAnalysis:
-    """Every pattern against every message of the Parquet logs in a folder.
+def analyze_parquet(
+    spark: SparkSession, path: str, patterns: Sequence[Pattern] | None = None, request: Request = Request()
+) -> LogAnalysis:
+    """Every pattern against every message of the Parquet logs in a folder that the request covers.
 
-    The logs are read twice: for the patterns and, with other columns, for the
+    Time range, nodes and log types reach the scan. The logs are read twice: for the patterns and, with other columns, for the
     long operations.
     """
-    patterns = load_patterns() if patterns is None else patterns
-    logs = read_logs(spark, path)
+    if patterns is None:
+        patterns = custom_patterns(request.patterns) if request.patterns else load_patterns()
+    logs = logstats.filter_logs(read_logs(spark, path), request.start, request.end, request.nodes, request.log_types)
     hits = match.match_all(logs.select("support_bundle", "node_name", "log_type", "timestamp", "message"), patterns)
     stats, histogram = _results(hits, patterns, "pattern")
-    return LogAnalysis(stats, histogram, longops.long_operations(logs, ["support_bundle"]), Request(), "pattern")
+    return LogAnalysis(stats, histogram, longops.long_operations(logs, ["support_bundle"]), request, "pattern")
 
 
 def analyze_lines(lines: DataFrame, reference_year: int, request: Request = Request()) -> LogAnalysis:
@@ -127,6 +130,28 @@ def analyze_lines(lines: DataFrame, reference_year: int, request: Request = Requ
     return LogAnalysis(stats, histogram, None, request, "pattern_name", rejected)
 
 
+def analyze_text(
+    spark: SparkSession, path: str, reference_year: int, request: Request = Request(), bundle: str | None = None
+) -> LogAnalysis:
+    """The first matching pattern of every line of the log files below a folder, one bundle.
+
+    Times come from the ends of the files, so files outside the range, or of other nodes and log types, are not read.
+    """
+    patterns = custom_patterns(request.patterns) if request.patterns else load_patterns()
+    found = written(probe.probe_files(spark, path, reference_year), "files")
+    rejected = found.filter(F.col("rejected").isNotNull())
+    kept = files.valid_files(found)
+    if request.start is not None and request.end is not None:
+        kept = files.prune_files(found, request.start, request.end)
+    kept = kept.unionByName(rejected.filter(F.col("start_time").isNotNull()))
+    kept = written(logstats.filter_logs(kept, nodes=request.nodes, log_types=request.log_types), "kept")
+    lines = files.parse_lines(probe.read_files(spark, kept), reference_year)
+    name = bundle or path.rstrip("/").rsplit("/", 1)[-1]
+    chosen = logstats.filter_logs(files.lines_of(lines, kept), request.start, request.end).withColumn("support_bundle", F.lit(name))
+    stats, histogram = _results(match.match_first(chosen, patterns, message="line"), patterns, "pattern_name")
+    return LogAnalysis(stats, histogram, None, request, "pattern_name", rejected)
+
+
 def analyze_bundles(
     spark: SparkSession, path: str, reference_year: int, request: Request = Request()
 ) -> tuple[LogAnalysis, DataFrame]:

@@ -16,7 +16,7 @@ from bundlelens.operators import files, logstats, match
 from bundlelens.plans.log_queries import PATTERNS, _catalogue
 from bundlelens.plans.registry import query
 from bundlelens.session import shared_dir, written
-from bundlelens.sources import archives, text
+from bundlelens.sources import archives, probe, text
 
 _YEAR = REFERENCE_YEAR
 # Lines as parsed: year-less lines have minute precision, stray ones no known node.
@@ -135,6 +135,44 @@ def text_file_stats(v):
     return line_stats(files.with_file_facts(lines))
 
 
+def _as_text(v):
+    """The log files as plain text below one folder, a file each, lines in order."""
+    root = shared_dir(v.spark, "plain")
+    rows = v.log_lines().select(
+        "event_id", "support_bundle", F.split_part("file_path", F.lit("/"), F.lit(3)).alias("node"),
+        paths.file_name(F.col("file_path")).alias("name"), "line")
+    places = ["support_bundle", "node", "name"]
+    rows.repartition(*places).sortWithinPartitions(*places, "event_id").drop("event_id").write.partitionBy(*places).text(root)
+    return root
+
+
+def _log_path(column):
+    """The path of the log file that a folder of Spark's writer stands for."""
+    folder = F.regexp_extract(column, "support_bundle=([^/]*)/node=([^/]*)/name=([^/]*)/", 0)
+    return F.concat(F.lit("/"), F.regexp_replace(F.rtrim(folder, F.lit("/")), "(support_bundle|node|name)=", ""))
+
+
+@query("probed_files", _LINES + _FILES + """
+    SELECT file_path, node_name, log_type, sub_type, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time,
+      strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time FROM spans""")
+def probed_files(v):
+    """The time range of each text file from its two ends, the file itself unread"""
+    found = probe.probe_files(v.spark, _as_text(v), _YEAR, servers=None)
+    named = files.with_file_facts(files.valid_files(found).withColumn("file_path", _log_path(F.col("file_path"))))
+    return named.select("file_path", "node_name", "log_type", "sub_type", second_text(F.col("start_time")).alias("start_time"),
+                        second_text(F.col("end_time")).alias("end_time"))
+
+
+@query("probed_line_stats", _FIRST + _STATS.format(where=f"WHERE ts BETWEEN {_RANGE[0]} AND {_RANGE[1]}"))
+def probed_line_stats(v):
+    """Only the text files whose range overlaps are read"""
+    bounds = "2024-01-10 00:00:00", "2024-01-11 12:00:00"
+    kept = files.prune_files(probe.probe_files(v.spark, _as_text(v), _YEAR, servers=None), *bounds)
+    lines = probe.read_files(v.spark, kept).withColumn("file_path", _log_path(F.col("file_path")))
+    parsed_lines = files.with_file_facts(files.parse_lines(lines, _YEAR))
+    return line_stats(logstats.filter_logs(parsed_lines, *bounds))
+
+
 def _pack(batches):
     """One archive per Arrow batch: a nested archive of gzip log files, and a broken one."""
     def member(tar, name, data):
