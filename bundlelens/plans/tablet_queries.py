@@ -9,7 +9,7 @@ from bundlelens.functions import encodings
 from bundlelens.operators import tablets
 from bundlelens.plans.registry import query
 from bundlelens.session import shared_dir
-from bundlelens.sources import store, tablet_reports
+from bundlelens.sources import publish, store, tablet_reports
 
 _TABLETS = with_views("ts_tablet", "ts_cluster")
 _LIVE = _TABLETS + """, live AS (
@@ -249,3 +249,25 @@ def saved_tablet_tables(v):
     for part in parts[1:]:
         rows = rows.unionByName(part)
     return rows
+
+
+@query("published_reports", _ZONES + """
+    SELECT report_id, name, count(*) AS n, CAST(sum(size) AS BIGINT) AS total FROM (
+      SELECT 'r' || (length(table_name) % 3) AS report_id, 'tablets' AS name, sst_size AS size FROM ts_tablet WHERE namespace LIKE '%A%'
+      UNION ALL SELECT 'r' || (length(table_name) % 3), 'tableinfo', s FROM (
+        SELECT table_name, sum(sst_size) AS s FROM ts_tablet WHERE namespace LIKE '%A%' GROUP BY namespace, table_name))
+    WHERE report_id <> 'r1' GROUP BY report_id, name""")
+def published_reports(v):
+    """Many reports by one commit; replaced, failed and withdrawn publications are not seen"""
+    root = shared_dir(v.spark, "published")
+    named = v.ts_tablet().withColumn("report_id", F.concat(F.lit("r"), (F.length("table_name") % 3).cast("string")))
+    info = lambda rows: tablets.table_info(rows, ["report_id"])
+    publish.publish(root, {"tablets": named, "tableinfo": info(named)})
+    some = named.filter(F.col("namespace").contains("A"))
+    publish.publish(root, {"tablets": some, "tableinfo": info(some)}, named.select("report_id"))
+    named.limit(5).write.parquet(f"{root}/tablets/version=unfinished")
+    publish.withdraw(v.spark, root, "r1")
+    sums = {"tablets": "sst_size", "tableinfo": "sst_tot_bytes"}
+    parts = [publish.read_published(v.spark, root, name).groupBy("report_id").agg(
+        F.count("*").alias("n"), F.sum(size).cast("bigint").alias("total")).withColumn("name", F.lit(name)) for name, size in sums.items()]
+    return parts[0].unionByName(parts[1])

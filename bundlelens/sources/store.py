@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from bundlelens.schemas import BUNDLE_FLAGS, BUNDLE_HEADER, NODE_INVENTORY, REPORTS
+from bundlelens.sources.publish import existing, publish, read_published
 
 TABLET_TABLES = ("cluster", "tablets", "tableinfo", "region_zone_tablets")
 
@@ -44,10 +44,7 @@ def append_reports(
 
 
 def _deleted(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.schema("id string").parquet(f"{root}/deleted")
-    except AnalysisException:
-        return None
+    return existing(spark, f"{root}/deleted", "id string")
 
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
@@ -96,18 +93,21 @@ def save_rows(rows: DataFrame, path: str) -> None:
 
 
 def write_tablet_tables(
-    root: str, report_id: str, cluster: DataFrame, tablets: DataFrame, tableinfo: DataFrame, zones: DataFrame
-) -> None:
-    """The four tables of a report, each replacing what that report had before."""
-    for name, table in zip(TABLET_TABLES, (cluster, tablets, tableinfo, zones)):
-        kept = table.drop("uptime")  # always empty, and Parquet partitions need no interval
-        (
-            kept.withColumn("report_id", F.lit(report_id)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("report_id").parquet(f"{root}/{name}")
-        )
+    root: str, report_id: str, cluster: DataFrame, tablets: DataFrame, tableinfo: DataFrame, zones: DataFrame,
+    document: DataFrame | None = None,
+) -> str:
+    """The four tables of a report, and its document, in one step: each replaces what that report had before.
+
+    Until all are written, and if one fails, readers see what was there before. Returns the version.
+    """
+    parts = dict(zip(TABLET_TABLES, (cluster, tablets, tableinfo, zones)))
+    if document is not None:
+        parts["documents"] = document
+    # uptime is always empty, and Parquet holds no interval of that kind
+    named = {name: table.drop("uptime").withColumn("report_id", F.lit(report_id)) for name, table in parts.items()}
+    return publish(root, named, cluster.sparkSession.createDataFrame([(report_id,)], "report_id string"))
 
 
 def read_tablet_table(spark: SparkSession, root: str, name: str, report_id: str | None = None) -> DataFrame:
-    """One of the four tables, of one report or of all."""
-    rows = spark.read.parquet(f"{root}/{name}")
-    return rows if report_id is None else rows.filter(F.col("report_id") == report_id)
+    """One of the tables, of one report or of all."""
+    return read_published(spark, root, name, report_id)
