@@ -178,10 +178,10 @@ def analyze_tablet_reports(spark: SparkSession, root: str) -> TabletAnalysis:
     servers = written(
         tablet_reports.tservers(tablet_reports.read_details(spark, root), tablet_reports.read_entities(spark, root))
         .drop("uptime"), "cluster")
-    raw = tablet_reports.read_report_files(spark, root)
-    entries = written(tablet_reports.split_documents(raw), "entries")
+    listed = tablet_reports.list_report_files(spark, root)
+    entries = written(tablet_reports.scan_report_files(spark, root), "entries")
     replicas = written(tablet_reports.tablets(entries, servers), "tablets")
-    unmatched = tablet_reports.unmatched_files(raw, servers).withColumn("error", F.lit("no node has this file's name"))
+    unmatched = tablet_reports.unmatched_files(listed, servers).withColumn("error", F.lit("no node has this file's name"))
     bad = entries.filter(F.col("error").isNotNull()).select("bundle", "file_name", "error")
     return TabletAnalysis(
         servers, replicas,

@@ -8,7 +8,7 @@ from bundlelens.adapters import with_views
 from bundlelens.functions import encodings
 from bundlelens.operators import tablets
 from bundlelens.plans.registry import query
-from bundlelens.session import shared_dir
+from bundlelens.session import shared_dir, written
 from bundlelens.sources import publish, store, tablet_reports
 
 _TABLETS = with_views("ts_tablet", "ts_cluster")
@@ -220,11 +220,26 @@ def _servers(v):
       '0x' || lower(hex(encode(tablet_uuid))) AS start_key, '0xffff' AS end_key, sst_size, wal_size, 3 AS cterm, 7 AS cidx,
       CAST(NULL AS VARCHAR) AS leader, lease_status FROM ts_tablet""")
 def tablets_from_documents(v):
-    """S13, S14, M3, M4, J9, D5, D8, P12, P13, P15"""
-    entries = tablet_reports.split_documents(_report_files(v))
+    """S13, M3, M4, J9, D5, D8, P12, P13, P15"""
+    entries = written(tablet_reports.split_documents(_report_files(v)), "entries")
     return tablet_reports.tablets(entries, _servers(v)).drop("bundle", "file_name", "pos")
 
 
+@query("tablets_from_files", _TABLETS + """
+    SELECT node_uuid, tablet_uuid, table_name, table_uuid, namespace, CAST(NULL AS VARCHAR) AS state, status,
+      '0x' || lower(hex(encode(tablet_uuid))) AS start_key, '0xffff' AS end_key, sst_size, wal_size, 3 AS cterm, 7 AS cidx,
+      CAST(NULL AS VARCHAR) AS leader, lease_status FROM ts_tablet""")
+def tablets_from_files(v):
+    """The same reports written as files and read as streams"""
+    root = shared_dir(v.spark, "reports")
+    files = _report_files(v).withColumn("name", F.regexp_extract("file_name", "^(.*)_tablet_report", 1))
+    files.select("name", "text").write.partitionBy("name").text(root)
+    # Spark names its files itself, so the folder stands for the report file.
+    entries = tablet_reports.scan_report_files(v.spark, root, "*").withColumns({
+        "bundle": F.lit(""), "file_name": F.concat(F.regexp_replace("bundle", "^name=", ""), F.lit("_tablet_report.json"))})
+    return tablet_reports.tablets(written(entries, "entries"), _servers(v)).drop("bundle", "file_name", "pos")
+
+
 @query("saved_tablet_tables", _ZONES + """
     SELECT 'tablets' AS name, 'r1' AS report_id, count(*) AS n, CAST(sum(sst_size) AS BIGINT) AS total FROM ts_tablet
     UNION ALL SELECT 'cluster', 'r1', count(*), 0 FROM ts_cluster

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlelens.functions.encodings import decode_partition_key, decode_uuid, lenient_int, strip_dashes
 from bundlelens.functions.paths import file_name, host_of
+from bundlelens.sources.json_scan import entries_of
+from bundlelens.sources.probe import open_file
 
 DETAILS_GLOB = "*universe-details.json*"
 ENTITIES_GLOB = "*dump-entities.json*"
@@ -24,15 +26,20 @@ DETAILS_SCHEMA = (
     "cloudInfo: struct<private_ip: string, az: string, region: string>>>"
 )
 ENTITIES_SCHEMA = "tablets array<struct<replicas: array<struct<addr: string, server_uuid: string>>>>"
-CONTENT_SCHEMA = (
-    "struct<tablet: struct<tablet_status: struct<tabletId: string, tableName: string, tableId: string, "
-    "namespaceName: string, state: string, tabletDataState: string, "
-    "partition: struct<partitionKeyStart: string, partitionKeyEnd: string>, "
-    "sstFilesDiskSize: string, walFilesDiskSize: string>>, "
-    "consensus_state: struct<leaderLeaseStatus: string, cstate: struct<currentTerm: string, "
-    "leaderUuid: string, config: struct<opidIndex: string>>>>"
-)
-ENTRY_SCHEMA = "bundle string, file_name string, doc_no bigint, entry_no bigint, entry string, error string"
+_STATUS, _CONSENSUS = ("tablet", "tablet_status"), ("consensus_state",)
+FIELDS = {
+    "tablet_uuid": (*_STATUS, "tabletId"), "table_name": (*_STATUS, "tableName"), "table_uuid": (*_STATUS, "tableId"),
+    "namespace": (*_STATUS, "namespaceName"), "state": (*_STATUS, "state"), "status": (*_STATUS, "tabletDataState"),
+    "start_text": (*_STATUS, "partition", "partitionKeyStart"), "end_text": (*_STATUS, "partition", "partitionKeyEnd"),
+    "sst_text": (*_STATUS, "sstFilesDiskSize"), "wal_text": (*_STATUS, "walFilesDiskSize"),
+    "term_text": (*_CONSENSUS, "cstate", "currentTerm"), "index_text": (*_CONSENSUS, "cstate", "config", "opidIndex"),
+    "leader_text": (*_CONSENSUS, "cstate", "leaderUuid"), "lease_status": (*_CONSENSUS, "leaderLeaseStatus"),
+}
+"""What is taken of a content entry, as text, and where it is."""
+ENTRY_SCHEMA = "bundle string, file_name string, doc_no bigint, entry_no bigint, error string, " + ", ".join(f"{name} string" for name in FIELDS)
+PIECE = 1 << 20
+"""Bytes of a file that are read at a time."""
+BATCH = 5_000
 
 
 def _bundle_of(path: Column, root: str) -> Column:
@@ -94,52 +101,83 @@ def tservers(details: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def _entries(text: str):
-    """(document number, entry number, entry, error) of JSON documents written back to back."""
-    decoder, at, number = json.JSONDecoder(), 0, 0
-    while True:
-        while at < len(text) and text[at].isspace():
-            at += 1
-        if at >= len(text):
-            return
-        try:
-            document, at = decoder.raw_decode(text, at)
-        except json.JSONDecodeError as exc:
-            yield number, None, None, f"bad document: {exc}"
-            return
-        if not isinstance(document, dict):
-            yield number, None, None, "bad document: not an object"
-            return
-        content = document.get("content", [])
-        if not isinstance(content, list):
-            yield number, None, None, "bad document: content is no list"
-            return
-        for i, entry in enumerate(content):
-            yield number, i, json.dumps(entry), None
-        number += 1
-
-
-def split_documents(files: DataFrame, batch: int = 5_000) -> DataFrame:
-    """Every ``content`` entry of files held in ``bundle``, ``file_name``, ``text``.
+def _field(entry, path) -> str | None:
+    """A value inside an entry as text; other values than text as JSON."""
+    for name in path:
+        if not isinstance(entry, dict):
+            return None
+        entry = entry.get(name)
+    return entry if entry is None or isinstance(entry, str) else json.dumps(entry)
+
+
+def _batches(files):
+    """Arrow batches of the entries of files: (bundle, file name, pieces of bytes) each."""
+    names = [part.split()[0] for part in ENTRY_SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.string()] * (len(names) - 4)
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    rows = []
+    for bundle, name, pieces in files:
+        for number, at, entry, error in entries_of(pieces):
+            rows.append((bundle, name, number, at, error, *[_field(entry, path) for path in FIELDS.values()]))
+            if len(rows) == BATCH:
+                yield made(rows)
+                rows = []
+    if rows:
+        yield made(rows)
+
+
+def split_documents(files: DataFrame) -> DataFrame:
+    """Every ``content`` entry of files held in ``bundle``, ``file_name``, ``text``, its fields as columns.
 
     A file may hold several documents back to back; it is read up to its first
     bad one, which gives a row with an error.
     """
-    columns = ["bundle", "file_name", "doc_no", "entry_no", "entry", "error"]
+    def read(batches):
+        def texts():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    data = memoryview((batch.column(2)[i].as_py() or "").encode())
+                    yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), (bytes(data[at:at + PIECE]) for at in range(0, len(data), PIECE))
+        yield from _batches(texts())
+
+    return files.select("bundle", "file_name", "text").mapInArrow(read, ENTRY_SCHEMA)
+
 
-    def read(frames):
-        rows = []
-        for pdf in frames:
-            for bundle, name, text in zip(pdf["bundle"], pdf["file_name"], pdf["text"]):
-                for row in _entries(text or ""):
-                    rows.append((bundle, name, *row))
-                    if len(rows) == batch:
-                        yield pd.DataFrame(rows, columns=columns).astype({"entry_no": "Int64"})
-                        rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=columns).astype({"entry_no": "Int64"})
+def _pieces(path: str):
+    """The bytes of a file, unpacked, piece by piece."""
+    with open_file(path) as file:
+        packed = path.endswith(".gz")
+        stream = pa.CompressedInputStream(file, "gzip") if packed else file
+        while piece := stream.read(PIECE):
+            yield piece
 
-    return files.select("bundle", "file_name", "text").mapInPandas(read, ENTRY_SCHEMA)
+
+def list_report_files(spark: SparkSession, root: str, glob: str = REPORTS_GLOB) -> DataFrame:
+    """(bundle, file_name, path, length) of the tablet-report files; nothing is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    path = F.col("_metadata.file_path")
+    return found.select(_bundle_of(path, root).alias("bundle"), file_name(path).alias("file_name"), "path", "length")
+
+
+def scan_report_files(spark: SparkSession, root: str, glob: str = REPORTS_GLOB) -> DataFrame:
+    """The rows of ``split_documents`` for all report files below a folder, each read as a stream by one task.
+
+    A task holds a piece of a file and an entry, whatever the size of the file; files are dealt over tasks one by one. Where Python has no client
+    for the store, Spark reads whole files instead.
+    """
+    files = list_report_files(spark, root, glob)
+    first = files.select("path").first()
+    if first is not None:
+        try:
+            open_file(first["path"]).close()
+        except (OSError, ValueError, pa.ArrowException, NotImplementedError):
+            return split_documents(read_report_files(spark, root, glob))
+
+    def read(batches):
+        yield from _batches((bundle, name, _pieces(path)) for batch in batches
+                            for bundle, name, path in zip(*(column.to_pylist() for column in batch.columns)))
+
+    return files.repartition(max(1, files.count()), "path").select("bundle", "file_name", "path").mapInArrow(read, ENTRY_SCHEMA)
 
 
 def read_report_files(spark: SparkSession, root: str, glob: str = REPORTS_GLOB) -> DataFrame:
@@ -177,24 +215,21 @@ def unmatched_files(files: DataFrame, servers: DataFrame) -> DataFrame:
 
 
 def tablets(entries: DataFrame, servers: DataFrame) -> DataFrame:
-    """The ``tablet`` table out of the entries of ``split_documents``."""
-    good = entries.filter(F.col("error").isNull())
-    parsed = good.withColumn("e", F.from_json("entry", CONTENT_SCHEMA)).join(
-        node_of_file(entries, servers), ["bundle", "file_name"])
-    status, consensus = "e.tablet.tablet_status", "e.consensus_state"
-    cstate = f"{consensus}.cstate"
-    return parsed.select(
-        "bundle", "node_uuid",
-        F.col(f"{status}.tabletId").alias("tablet_uuid"), F.col(f"{status}.tableName").alias("table_name"),
-        F.col(f"{status}.tableId").alias("table_uuid"), F.col(f"{status}.namespaceName").alias("namespace"),
-        F.col(f"{status}.state").alias("state"), F.col(f"{status}.tabletDataState").alias("status"),
-        decode_partition_key(F.col(f"{status}.partition.partitionKeyStart"), "0000").alias("start_key"),
-        decode_partition_key(F.col(f"{status}.partition.partitionKeyEnd"), "ffff").alias("end_key"),
-        lenient_int(F.col(f"{status}.sstFilesDiskSize")).alias("sst_size"),
-        lenient_int(F.col(f"{status}.walFilesDiskSize")).alias("wal_size"),
-        F.col(f"{cstate}.currentTerm").try_cast("int").alias("cterm"),
-        F.col(f"{cstate}.config.opidIndex").try_cast("int").alias("cidx"),
-        decode_uuid(F.col(f"{cstate}.leaderUuid")).alias("leader"),
-        F.col(f"{consensus}.leaderLeaseStatus").alias("lease_status"),
-        "file_name", (F.col("doc_no") * 2**32 + F.col("entry_no")).alias("pos"),
+    """The ``tablet`` table out of the entries of ``split_documents`` or ``scan_report_files``.
+
+    Of a bad document no entry counts. The entries are used three times, so pass a stored table.
+    """
+    place = ["bundle", "file_name", "doc_no"]
+    bad = entries.filter(F.col("error").isNotNull()).select(*place)
+    good = entries.filter(F.col("error").isNull()).join(bad, place, "left_anti")
+    return good.join(node_of_file(entries, servers), ["bundle", "file_name"]).select(
+        "bundle", "node_uuid", "tablet_uuid", "table_name", "table_uuid", "namespace", "state", "status",
+        decode_partition_key(F.col("start_text"), "0000").alias("start_key"),
+        decode_partition_key(F.col("end_text"), "ffff").alias("end_key"),
+        lenient_int(F.col("sst_text")).alias("sst_size"),
+        lenient_int(F.col("wal_text")).alias("wal_size"),
+        F.col("term_text").try_cast("int").alias("cterm"),
+        F.col("index_text").try_cast("int").alias("cidx"),
+        decode_uuid(F.col("leader_text")).alias("leader"),
+        "lease_status", "file_name", (F.col("doc_no") * 2**32 + F.col("entry_no")).alias("pos"),
     )

@@ -10,6 +10,7 @@ from bundlelens.functions import encodings
 from bundlelens.operators import tablets
 from bundlelens.plans.analysis import analyze_tablet_reports
 from bundlelens.sources import store, tablet_reports
+from bundlelens.sources.json_scan import entries_of
 from tests.conftest import rows
 
 SCHEMA = ("node_uuid string, tablet_uuid string, table_name string, table_uuid string, namespace string, status string, "
@@ -158,9 +159,83 @@ def test_json_inputs(spark, bundle_dir):
 
 def test_back_to_back_documents():
     four = json.dumps({"content": [1]}) * 4
-    assert [r[0] for r in tablet_reports._entries(four)] == [0, 1, 2, 3]
-    assert [r[3] for r in tablet_reports._entries("[1]")] == ["bad document: not an object"]
-    assert list(tablet_reports._entries("  ")) == []
+    assert [r[0] for r in entries_of([four.encode()])] == [0, 1, 2, 3]
+    assert [r[3] for r in entries_of([b"[1]"])] == ["bad document: not an object"]
+    assert list(entries_of([b"  "])) == list(entries_of([])) == []
+
+
+def json_value(dice, depth):
+    roll = dice.random()
+    if depth > 3 or roll < .3:
+        return dice.choice([1, -2.5, "a,b]}{\\\"", "é👍\n", "", None, True, "content", '"'])
+    if roll < .6:
+        return [json_value(dice, depth + 1) for _ in range(dice.randint(0, 3))]
+    return {dice.choice(["content", "a", 'k"', "x]"]): json_value(dice, depth + 1) for _ in range(dice.randint(0, 3))}
+
+
+def whole_text(text):
+    """Entries by a decoder that has all of the text, and whether a document is bad."""
+    decoder, at, number, out = json.JSONDecoder(), 0, 0, []
+    while True:
+        while at < len(text) and text[at] in " \t\n\r":
+            at += 1
+        if at >= len(text):
+            return out, False
+        try:
+            document, at = decoder.raw_decode(text, at)
+        except ValueError:
+            return out, True
+        if not isinstance(document, dict) or not isinstance(document.get("content", []), list):
+            return out, True
+        out += [(number, i, entry) for i, entry in enumerate(document.get("content", []))]
+        number += 1
+
+
+def test_scanner_against_a_decoder_of_whole_texts():
+    dice = random.Random(1)
+    for _ in range(3000):
+        documents = []
+        for _ in range(dice.randint(0, 3)):
+            document = {"z": json_value(dice, 0)}
+            if dice.random() < .8:
+                document["content"] = [json_value(dice, 0) for _ in range(dice.randint(0, 4))] if dice.random() < .9 else json_value(dice, 0)
+            documents.append(json.dumps(document | {"t": json_value(dice, 1)}, ensure_ascii=dice.random() < .5, indent=dice.choice([None, 1])))
+        text = dice.choice(["", " ", "\n"]).join(documents)
+        if dice.random() < .3 and text:
+            at = dice.randrange(len(text))
+            text = text[:at] + dice.choice(["", "]", "}", ",", '"', "x"]) + text[at + dice.randint(0, 1):]
+        raw, size = text.encode(), dice.choice([1, 2, 3, 7, 50, 10_000])
+        got = list(entries_of(raw[i:i + size] for i in range(0, len(raw), size)))
+        bad = bool(got) and got[-1][3] is not None
+        if bad and "twice" in got[-1][3]:
+            continue
+        entries = [g[:3] for g in got if g[3] is None and not (bad and g[0] == got[-1][0])]
+        assert (entries, bad) == whole_text(text), (text, size)
+
+
+def test_a_large_file_is_scanned_in_bounded_memory():
+    import tracemalloc
+
+    one = json.dumps(entry(1, note="x" * 300)).encode()
+    def pieces():  # 400 MB in documents of 100 MB
+        for _ in range(4):
+            yield b'{"about": {"a": [1, 2]}, "content": ['
+            yield from (b",".join([one] * 2000) + b"," for _ in range(90))
+            yield one + b"]}"
+    tracemalloc.start()
+    count = sum(1 for _ in entries_of(pieces()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 4 * (90 * 2000 + 1) and peak < 20_000_000
+
+
+def test_entries_of_bad_documents_do_not_count(spark):
+    text = json.dumps({"content": [entry(1)]}) + '{"content": [' + json.dumps(entry(2)) + ", nonsense]}" + json.dumps({"content": [entry(3)]})
+    files = spark.createDataFrame([("b", "n1_x", text), ("b", "n1_y", None), ("b", "n1_z", "{}")], "bundle string, file_name string, text string")
+    entries = tablet_reports.split_documents(files)
+    servers = spark.createDataFrame([("b", "n1", "u1", 0)], "bundle string, node_name string, uuid string, pos int")
+    assert rows(tablet_reports.tablets(entries, servers), "tablet_uuid", "sst_size", "wal_size", "cterm") == [("t1", 1, 2, 4)]
+    assert rows(entries.filter("error is not null"), "file_name", "doc_no") == [("n1_x", 1)]
 
 
 def test_tables_are_replaced_per_report(spark, tmp_path):
@@ -177,5 +252,5 @@ def test_tables_are_replaced_per_report(spark, tmp_path):
 
 def test_content_that_is_no_list_is_a_reject():
     good, bad = '{"content": [{"a": 1}]}', '{"content": null}'
-    assert [(r[0], r[3]) for r in tablet_reports._entries(good + bad + good)] == [
+    assert [(r[0], r[3]) for r in entries_of([(good + bad + good).encode()])] == [
         (0, None), (1, "bad document: content is no list")]
