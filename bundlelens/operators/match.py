@@ -128,6 +128,7 @@ def match_all(
     message: str = "message",
     log_type: str = "log_type",
     node: str | None = "node_name",
+    classes: str = "ascii",
 ) -> DataFrame:
     """One row per message and matching pattern, with ``pattern_id`` added.
 
@@ -138,7 +139,7 @@ def match_all(
 
     def hits(ids):
         tests = [
-            F.when(matches(F.col(message), lowered, patterns[i].regex), F.lit(i)).otherwise(F.lit(-1))
+            F.when(matches(F.col(message), lowered, patterns[i].regex, classes), F.lit(i)).otherwise(F.lit(-1))
             for i in ids
         ]
         return _kept(tests) if tests else F.array().cast("array<int>")
@@ -149,7 +150,7 @@ def match_all(
         found = F.when(parts[0][0], found).otherwise(hits(parts[1][1]))
     rows = logs.filter(F.col(node).isNotNull()) if node else logs
     return (
-        rows.withColumn("_lowered", folded(F.col(message)))
+        rows.withColumn("_lowered", folded(F.col(message), classes))
         .select("*", F.explode(found).alias("pattern_id"))
         .drop("_lowered")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bundlelens.adapters import with_views
 from bundlelens.functions.timestamps import iso_second
-from bundlelens.operators import logstats, match, series
+from bundlelens.operators import logstats, match, pattern_index, series
 from bundlelens.plans.registry import query
 from bundlelens.sources import catalog, logs
 
@@ -204,6 +204,36 @@ def custom_pattern_stats(v):
     return match.name_patterns(found, CUSTOM, ["pattern_name"])
 
 
+_PHRASES = """WITH wanted AS (
+    SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,} [a-z]{3,}')) AS phrase FROM benchmark)"""
+
+
+def _phrase_patterns(v):
+    """Pairs of words of the benchmark as patterns: thousands of them."""
+    pairs = v.table("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,} [a-z]{3,}"), F.lit(0))).alias("phrase"))
+    return [catalog.Pattern("custom", r["phrase"], r["phrase"] + r"\w*") for r in pairs.distinct().orderBy("phrase").collect()]
+
+
+@query("indexed_pattern_counts", _PHRASES + """
+    SELECT source AS node_name, lang AS log_type, phrase AS pattern_name, count(*) AS "count"
+    FROM documents JOIN wanted ON contains(lower(text), phrase) WHERE source IS NOT NULL GROUP BY ALL""")
+def indexed_pattern_counts(v):
+    """J1 for a large catalogue: whole prose texts through the index of required texts"""
+    patterns = _phrase_patterns(v)
+    found = pattern_index.match_all_indexed(v.documents(), patterns)
+    counts = found.groupBy("node_name", "log_type", "pattern_id").agg(F.count("*").alias("count"))
+    return match.name_patterns(counts, patterns, ["pattern_name"])
+
+
+@query("indexed_first_match", _SCOPED + """
+    SELECT event_id, node_name, log_type, arg_min(pattern_name, ord) AS pattern_name FROM scoped
+    GROUP BY event_id, node_name, log_type""")
+def indexed_first_match(v):
+    """J2, J3, F9 through the index"""
+    found = pattern_index.match_first_indexed(v.log_events().select("event_id", "node_name", "log_type", "message"), PATTERNS)
+    return match.name_patterns(found.drop("message"), PATTERNS, ["pattern_name"])
+
+
 @query("hit_solutions", HITS + ", " + _catalogue(PATTERNS) + """
     , keys AS (SELECT DISTINCT pattern AS k FROM hits UNION SELECT DISTINCT message FROM log_events),
     loose AS (SELECT k, arg_min(pattern_name, ord) AS n FROM keys JOIN patterns ON regexp_matches(k, pattern) GROUP BY k),
