@@ -71,18 +71,19 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_
 def swapped_endings(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
     """Rejected conversations: each one with its last turn's text taken from its neighbour's last turn.
 
-    Neighbours are the keys 2n and 2n + 1; without a neighbour the last text is empty. Rows without a key are left out.
+    Neighbours are the keys 2n and 2n + 1; without a neighbour the last text is empty. Rows without a key are one conversation, which
+    has no neighbour.
     """
     order = F.struct(F.col("turn").isNull().alias("no_turn"), "turn", F.coalesce("role", F.lit("")).alias("role"),
                      F.coalesce("text", F.lit("")).alias("text"))
-    turns = conversations.filter(col(key).isNotNull()).select(col(key).alias(key), order.alias("_turn"))
+    turns = conversations.select(col(key).alias(key), order.alias("_turn"))
     lasts = turns.groupBy(key).agg(F.max("_turn").alias("_last"), F.count(F.lit(1)).alias("_n"))
     other = lasts.select(F.col(key).bitwiseXOR(F.lit(1)).alias("_key"), F.col("_last.text").alias("_text"))
     endings = lasts.join(other, F.col(key) == F.col("_key"), "left").select(
         key, F.col("_last.turn").alias("turn"), F.col("_last.role").alias("role"), F.coalesce("_text", F.lit("")).alias("text"))
     # All turns but one of those equal to the last.
     kept = turns.groupBy(key, "_turn").agg(F.count(F.lit(1)).alias("_times")).join(
-        lasts.select(F.col(key).alias("_key"), "_last"), F.col(key) == F.col("_key")).withColumn(
+        lasts.select(F.col(key).alias("_key"), "_last"), F.col(key).eqNullSafe(F.col("_key"))).withColumn(
         "_times", F.col("_times") - F.col("_turn").eqNullSafe(F.col("_last")).cast("int")).filter("_times > 0").select(
         key, F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")), "_turn").select(
         key, F.col("_turn.turn").alias("turn"), F.col("_turn.role").alias("role"), F.col("_turn.text").alias("text"))

@@ -88,7 +88,7 @@ def mixing_query(spark, sf_dir):
     WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS n,
         count(*) OVER (PARTITION BY conv_id) AS total
-      FROM conversations WHERE conv_id IS NOT NULL),
+      FROM conversations),
     lasts AS (SELECT conv_id, text FROM turns WHERE n = total),
     pairs AS (SELECT t.conv_id, n, total, role, t.text, coalesce(l.text, '') AS swapped,
         n = total AND t.text <> coalesce(l.text, '') AS differs
@@ -106,8 +106,7 @@ def mixing_query(spark, sf_dir):
 def preference_query(spark, sf_dir):
     """Operator 6 over all conversations: each is chosen, and rejected with its neighbour's last turn."""
     turns = table(spark, sf_dir, "conversations")
-    chosen = turns.filter("conv_id is not null")
-    return preference.format_preferences(chosen, preference.swapped_endings(turns))
+    return preference.format_preferences(turns, preference.swapped_endings(turns))
 
 
 @query("op7_top_k", """

@@ -177,6 +177,21 @@ def test_preferences(spark):
     assert got[3]["n_prompt"] == 0 and got[3]["chosen"] == "" and got[2]["rejected"] == ""
 
 
+def test_preferences_of_turns_without_a_key(spark):
+    kind = "conv_id bigint, turn bigint, role string, text string, prompt string"
+    rows = [(None, 0, "user", "q", "x"), (None, 1, "assistant", "a", "x"), (None, 1, "assistant", "a", "x"), (0, 0, "user", "hi", "x"), (1, 0, "user", "yo", "x"),
+            (None, None, None, None, "x")]
+    turns = spark.createDataFrame(rows, kind)
+    got = {r["conv_id"]: r for r in preference.format_preferences(turns, preference.swapped_endings(turns)).collect()}
+    assert got[None]["n_prompt"] == 4 and got[None]["chosen"] == got[None]["rejected"] == ""
+    assert got[0]["rejected"] == "<|user|>\nyo<|end|>\n" and got[1]["rejected"] == "<|user|>\nhi<|end|>\n" and len(got) == 3
+    some = turns.filter("turn is not null")
+    found = {r["conv_id"]: r for r in preference.format_preferences(some, preference.swapped_endings(some)).collect()}
+    assert found[None]["chosen"].endswith("a<|end|>\n") and found[None]["rejected"] == "<|assistant|>\n<|end|>\n"
+    empty = turns.filter("false")
+    assert preference.format_preferences(empty, preference.swapped_endings(empty)).count() == 0
+
+
 def test_top_k(spark):
     random = np.random.default_rng(5)
     rows = [(i % 95, [float(x) for x in v]) for i, v in enumerate(random.normal(size=(100, 8)))]
