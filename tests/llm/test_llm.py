@@ -185,7 +185,7 @@ def test_preferences_of_turns_without_a_key(spark):
     got = {r["conv_id"]: r for r in preference.format_preferences(turns, preference.swapped_endings(turns)).collect()}
     assert got[None]["n_prompt"] == 4 and got[None]["chosen"] == got[None]["rejected"] == ""
     assert got[0]["rejected"] == "<|user|>\nyo<|end|>\n" and got[1]["rejected"] == "<|user|>\nhi<|end|>\n" and len(got) == 3
-    some = turns.filter("turn is not null")
+    some = turns.filter("turn is not null").distinct()
     found = {r["conv_id"]: r for r in preference.format_preferences(some, preference.swapped_endings(some)).collect()}
     assert found[None]["chosen"].endswith("a<|end|>\n") and found[None]["rejected"] == "<|assistant|>\n<|end|>\n"
     empty = turns.filter("false")
