@@ -96,8 +96,11 @@ def list_reports(
 
 
 def page_count(reports: DataFrame, header: DataFrame, per_page: int = 10, query: str | None = None) -> DataFrame:
-    """Total number of rows and of pages (at least one)."""
-    rows = search_reports(reports, header, query) if query else with_header(reports, header)
+    """Total number of rows and of pages (at least one).
+
+    Without a query the headers are not looked at: a report is listed once, with its header or without.
+    """
+    rows = search_reports(reports, header, query) if query else reports
     total = F.count("*")
     return rows.agg(
         total.alias("total_reports"),

@@ -9,7 +9,7 @@ from bundlelens.functions.timestamps import second_text
 from bundlelens.operators import longops, reports
 from bundlelens.plans.registry import query
 
-_LABELLED = with_views("log_events") + """, labelled AS (
+OPS = """labelled AS (
   SELECT *, coalesce(long_op_value, timing_real_value) AS op_value, trim(coalesce(
     nullif(regexp_extract(message, '((?:\\S+\\s+)?\\S+)\\s+took a long', 1), ''),
     nullif(regexp_extract(message, '^Time spent\\s+(\\S+(?:\\s+\\S+)?)', 1), ''))) AS label
@@ -27,6 +27,7 @@ bundle_ops AS (
   SELECT support_bundle, prefix, bucket, count(*) AS c, avg(op_value) AS "avg", max(op_value) AS "max"
   FROM cleaned GROUP BY support_bundle, prefix, bucket)
 """
+_LABELLED = with_views("log_events") + ", " + OPS
 _LOOSE = _LABELLED.replace(with_views("log_events"), with_views("loose_events")).replace("FROM log_events\n", "FROM loose_events\n")
 _ROUNDED = 'c, round("avg", 6) AS "avg", round("max", 6) AS "max"'
 

@@ -207,8 +207,21 @@ def archive_stats(v):
     return line_stats(files.with_file_facts(files.parse_lines(lines, _YEAR)))
 
 
-@query("archive_rejects")
+def _pack_day(pdf):
+    """The lines of one bundle and day as an archive with a broken member."""
+    made = next(_pack(iter([pdf])))
+    made["path"] = f"{pdf['support_bundle'].iloc[0]}-{pdf['day'].iloc[0]}.tar.gz"
+    return made
+
+
+@query("archive_rejects", _LINES + """
+    SELECT DISTINCT support_bundle || '-' || strftime(e.ts, '%Y-%m-%d') AS bundle, true AS rejected, 'broken.tgz' AS member
+    FROM lines JOIN events e USING (event_id)""")
 def archive_rejects(v):
-    """The rejects table (one broken member per archive; the number of archives follows Arrow's batches)"""
-    packed = v.log_lines().select("file_path", "line").mapInPandas(_pack, "path string, content binary")
-    return archives.rejects(archives.explode_archives(packed)).select("bundle", "file_path", "error").distinct()
+    """One archive per bundle and day, each with a broken member: every one of them is a reject"""
+    days = v.table("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    lines = v.log_lines().join(days, "event_id").select("support_bundle", "day", "file_path", "line")
+    packed = lines.groupBy("support_bundle", "day").applyInPandas(_pack_day, "path string, content binary")
+    found = archives.rejects(archives.explode_archives(packed))
+    return found.groupBy("bundle", "file_path").agg((F.count("*") == 1).alias("rejected")).select(
+        "bundle", "rejected", paths.file_name(F.col("file_path")).alias("member"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bundlelens.adapters import with_views
+from bundlelens.adapters import SQL, with_views
 from bundlelens.functions.timestamps import iso_second, listing_minute
 from bundlelens.operators import longops, match, reports, series
 from bundlelens.plans import log_queries, longop_queries
 from bundlelens.plans.registry import query
 from bundlelens.session import shared_dir
-from bundlelens.sources import store
+from bundlelens.sources import lookup, store
 
 _BASE = with_views("reports", "bundle_header")
 _JOINED = _BASE + """, joined AS (
@@ -204,9 +204,40 @@ def stored_reports(v):
     return kept.select("id", "support_bundle_name", listing_minute(F.col("created_at")).alias("created_at"))
 
 
-@query("stored_documents")
+@query("stored_documents", log_queries.LOOSE_HITS + f", log_events AS ({SQL['log_events']}), " + longop_queries.OPS + """
+    , parts AS (
+      SELECT DISTINCT support_bundle, node_name || '/' || log_type AS part FROM hits WHERE log_type IS NOT NULL
+      UNION ALL SELECT DISTINCT support_bundle, 'long operations/' || prefix FROM bundle_ops)
+    SELECT support_bundle AS support_bundle_name, count(*) AS documents, count(*) AS ids FROM parts GROUP BY support_bundle""")
 def stored_documents(v):
-    """S9 with new ids (ids differ in every run)"""
+    """S9 with new ids, one per document: how many there are of each bundle"""
     root = shared_dir(v.spark, "documents")
     store.append_reports(documents(v), root)
-    return store.read_reports(v.spark, root).select("id", "support_bundle_name")
+    return store.read_reports(v.spark, root).groupBy("support_bundle_name").agg(
+        F.count("*").alias("documents"), F.count_distinct("id").alias("ids"))
+
+
+@query("report_lookup", _BASE + """
+    SELECT id, support_bundle_name, strftime(created_at, '%Y-%m-%d %H:%M') AS created_at FROM reports
+    WHERE id IN (SELECT unnest([min(id), max(id)]) FROM reports)""")
+def report_lookup(v):
+    """two reports by id; the files that can't hold them are not opened"""
+    root, rows = shared_dir(v.spark, "lookup"), v.reports()
+    lookup.write_lookup(rows, root, rows_per_file=2_000)
+    ids = rows.agg(F.min("id"), F.max("id")).first()
+    found = lookup.find_reports(v.spark, root, *[i for i in ids if i is not None])
+    return found.select("id", "support_bundle_name", listing_minute(F.col("created_at")).alias("created_at"))
+
+
+@query("stored_catalogue", with_views("bundle_header", "bundle_flags", "node_inventory") + """
+    SELECT 'headers' AS name, count(*) AS n, count(DISTINCT support_bundle) AS bundles FROM bundle_header
+    UNION ALL SELECT 'flags', count(*), count(DISTINCT support_bundle) FROM bundle_flags
+    UNION ALL SELECT 'nodes', count(*), count(DISTINCT support_bundle) FROM node_inventory""")
+def stored_catalogue(v):
+    """Headers, flags and nodes stored next to the reports and read with their schemas"""
+    root = shared_dir(v.spark, "catalogue")
+    for name, rows in (("headers", v.bundle_header()), ("flags", v.bundle_flags()), ("nodes", v.node_inventory())):
+        rows.write.parquet(f"{root}/{name}")
+    parts = [rows.agg(F.count("*").alias("n"), F.count_distinct("support_bundle").alias("bundles")).withColumn("name", F.lit(name))
+             for name, rows in zip(("headers", "flags", "nodes"), store.read_catalogue(v.spark, root))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -26,7 +26,7 @@ def duck():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert sorted(set(QUERIES) - set(ORACLES)) == ["archive_rejects", "stored_documents"]
+    assert not set(QUERIES) - set(ORACLES)
 
 
 def test_entry(spark):
