@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("log_queries", "longop_queries", "tablet_queries", "flag_queries", "report_queries", "raw_queries")
+_MODULES = ("log_queries", "longop_queries", "tablet_queries", "flag_queries", "report_queries", "raw_queries", "stream_queries")
 
 
 def _registry():
