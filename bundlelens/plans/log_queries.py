@@ -239,7 +239,7 @@ def indexed_first_match(v):
     loose AS (SELECT k, arg_min(pattern_name, ord) AS n FROM keys JOIN patterns ON regexp_matches(k, pattern) GROUP BY k),
     named AS (SELECT k AS pattern, coalesce(p.pattern_name, l.n, k) AS log_name
               FROM keys LEFT JOIN patterns p ON p.pattern = k LEFT JOIN loose l USING (k))
-    SELECT named.pattern, log_name, coalesce(s.solution, 'No solution available for this log message.') AS solution
+    SELECT named.pattern, log_name, coalesce(s.solution, """ + _quoted(catalog.NO_SOLUTION) + """) AS solution
     FROM named LEFT JOIN patterns s ON s.pattern_name = log_name""")
 def hit_solutions(v):
     """Exact pattern, else first pattern that matches the key, else the key itself"""

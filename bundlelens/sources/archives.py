@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlelens.functions.paths import DISCOVERED_SERVERS
+from bundlelens.sources.listing import dealt
 
 ARCHIVE_SUFFIXES = (".tar.gz", ".tgz")
 LINES_SCHEMA = "bundle string, file_path string, line_no bigint, line string, error string"
@@ -114,19 +115,16 @@ def explode_archives(archives: DataFrame, servers: Sequence[str] | None = DISCOV
 
 
 def ingest_archives(
-    spark: SparkSession, path: str, servers: Sequence[str] | None = DISCOVERED_SERVERS, tasks: int | None = None
+    spark: SparkSession, path: str, servers: Sequence[str] | None = DISCOVERED_SERVERS
 ) -> DataFrame:
     """Lines of all archives below ``path``, streamed from the file system.
 
-    Only names are listed by Spark; each task opens its archives through the
-    Arrow file system of their address, so they must lie where all executors can
+    Only names are listed by Spark; each archive is a task of its own, which opens it through the
+    Arrow file system of its address, so they must lie where all executors can
     read them. Rows with ``error`` set are rejects.
     """
-    names = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-        .filter(F.col("path").rlike(r"\.(tar\.gz|tgz)$"))
-    )
-    names = names.repartition(tasks or spark.sparkContext.defaultParallelism * 4, "path")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    names = dealt(found.filter(F.col("path").rlike(r"\.(tar\.gz|tgz)$"))).select("path")
 
     def read(batches):
         from pyarrow import fs

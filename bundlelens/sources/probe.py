@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from bundlelens.functions.paths import DISCOVERED_SERVERS, is_log_file
 from bundlelens.functions.timestamps import is_short_form, log_timestamp
 from bundlelens.operators.files import log_files, parse_lines, ranges_of
+from bundlelens.sources.listing import dealt
 from bundlelens.sources.text import read_log_lines
 
 PIECE = 1 << 16
@@ -130,8 +131,7 @@ def probe_files(spark: SparkSession, paths: str | Sequence[str], reference_year:
     ``bytes_read`` is null for files read as streams. The listing is dealt evenly over the tasks, whatever the sizes of the files.
     """
     files = list_files(spark, paths, servers)
-    files = files.repartition(files.count() // FILES_PER_TASK + 1, "file_path")
-    probed = files.mapInArrow(lambda batches: _probe(batches, reference_year, piece), SCHEMA)
+    probed = dealt(files, FILES_PER_TASK).mapInArrow(lambda batches: _probe(batches, reference_year, piece), SCHEMA)
     start, end = (log_timestamp(F.col(c), reference_year) for c in ("first", "last"))
     rows = probed.select(
         "path", "file_path", "length", "bytes_read", "ranged", F.struct(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bundlelens.functions.encodings import decode_partition_key, decode_uuid, lenient_int, strip_dashes
 from bundlelens.functions.paths import file_name, host_of
 from bundlelens.sources.json_scan import entries_of
+from bundlelens.sources.listing import dealt
 from bundlelens.sources.probe import open_file
 
 DETAILS_GLOB = "*universe-details.json*"
@@ -177,7 +178,7 @@ def scan_report_files(spark: SparkSession, root: str, glob: str = REPORTS_GLOB)
         yield from _batches((bundle, name, _pieces(path)) for batch in batches
                             for bundle, name, path in zip(*(column.to_pylist() for column in batch.columns)))
 
-    return files.repartition(max(1, files.count()), "path").select("bundle", "file_name", "path").mapInArrow(read, ENTRY_SCHEMA)
+    return dealt(files).select("bundle", "file_name", "path").mapInArrow(read, ENTRY_SCHEMA)
 
 
 def read_report_files(spark: SparkSession, root: str, glob: str = REPORTS_GLOB) -> DataFrame:
