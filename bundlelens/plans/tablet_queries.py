@@ -249,8 +249,10 @@ def tablets_from_files(v):
 def saved_tablet_tables(v):
     """Written twice for one report, read back"""
     root = shared_dir(v.spark, "tablet-tables")
-    tablet, cluster = v.ts_tablet(), v.ts_cluster()
-    tables = cluster, tablet, tablets.table_info(tablet), tablets.zone_replicas(tablet, cluster)
+    # Each table is computed once, whatever reads it.
+    tablet, cluster = written(v.ts_tablet(), "tablet"), written(v.ts_cluster(), "cluster")
+    tables = (cluster, tablet, written(tablets.table_info(tablet), "info"),
+              written(tablets.zone_replicas(tablet, cluster), "zones"))
     for _ in range(2):
         store.write_tablet_tables(root, "r1", *tables)
     sums = {"cluster": F.lit(0), "tablets": F.sum("sst_size"), "tableinfo": F.sum("sst_tot_bytes"),
