@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from bundlelens.functions.timestamps import bucket_start, iso_second, minute_key, parse_minute_key
 from bundlelens.operators.joins import null_safe_join
+from bundlelens.session import written
 
 INTERVALS = (1, 5, 15, 30, 60)
 DEFAULT_RANGE = "7 days"
@@ -148,10 +149,11 @@ def fill_gaps(
     Each series generates its own zero rows, which are added to the counts; no
     join with a spine of buckets is needed. It generates days first and, in other
     tasks, the buckets of a day, so no row holds more than a day's. ``interval`` divides a day.
+    The series are written once: names, bounds and counts read them, not the logs behind them.
     """
     if (24 * 60) % interval:
         raise ValueError("the interval must divide a day")
-    rows = with_bucket(series).select(*by, *keys, "bucket", "count")
+    rows = written(with_bucket(series).select(*by, *keys, "bucket", "count"), "series")
     names = rows.groupBy(*by, *keys).agg(F.min("bucket").alias("_low"), F.max("bucket").alias("_high"))
     bounds = names.groupBy(*by).agg(F.struct(F.min("_low").alias("low"), F.max("_high").alias("high")).alias("_range"))
     if by:

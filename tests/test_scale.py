@@ -46,3 +46,9 @@ def test_saved_tables_compute_the_replicas_once(spark, tmp_path):
     v = SimpleNamespace(spark=spark, ts_tablet=lambda: watched(replicas(spark), tmp_path), ts_cluster=lambda: servers(spark))
     got = rows(tablet_queries.saved_tablet_tables(v), "name", "n")
     assert ("tablets", 3000) in got and ("tableinfo", 1) in got and len(os.listdir(tmp_path)) == 1
+
+
+def test_gap_filling_computes_the_series_once(spark, tmp_path):
+    h = spark.createDataFrame([("p", "2024-01-01T10:00:00Z", 4), ("p", "2024-01-01T12:00:00Z", 5)], "pattern string, minute string, count bigint")
+    got = rows(series.fill_gaps(watched(h, tmp_path), 60), "minute", "count")
+    assert [c for _, c in got] == [4, 0, 5] and len(os.listdir(tmp_path)) == 1
