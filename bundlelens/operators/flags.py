@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bundlelens.session import written
+
 CLUSTER = ("cluster_name", "organization")
 # Server types shown.
 KNOWN_SERVER_TYPES = ("master", "tserver", "controller")
@@ -143,24 +145,30 @@ def flag_history(flags: DataFrame, steps: DataFrame) -> DataFrame:
     always seen from ``prev_bundle`` to ``support_bundle`` in walk order. Values
     are compared as text; of a repeated (bundle, node, role, flag) the greatest
     value counts. ``steps`` comes from ``snapshot_steps``.
+
+    The steps are written once and read twice: only the names of the two bundles travel with a flag, what else is known
+    of a step joins it where all flags of the bundle lie.
     """
     process = ["node_name", "server_type", "gflag"]
-    step_of = ["support_bundle", *CLUSTER, "timestamp", "step", "prev_bundle"]
-    placed = flags.select("support_bundle", *process, "value").join(steps, "support_bundle")
-    own = F.struct(*step_of, F.lit(True).alias("_own"))
+    steps = written(steps.select("support_bundle", *CLUSTER, "timestamp", "step", "prev_bundle", "next_bundle"), "steps")
+    placed = flags.select("support_bundle", *process, "value").join(
+        steps.select("support_bundle", "prev_bundle", "next_bundle"), "support_bundle")
+    own = F.struct("support_bundle", F.col("prev_bundle").alias("_prev"), F.lit(True).alias("_own"))
     later = F.struct(
-        F.col("next_bundle").alias("support_bundle"), *CLUSTER, F.col("next_timestamp").alias("timestamp"),
-        (F.col("step") + 1).alias("step"), F.col("support_bundle").alias("prev_bundle"), F.lit(False).alias("_own"))
+        F.col("next_bundle").alias("support_bundle"), F.col("support_bundle").alias("_prev"), F.lit(False).alias("_own"))
     seen = placed.select(*process, "value", F.inline(F.array(own, later))).filter(F.col("support_bundle").isNotNull())
-    held = F.struct("value")
-    both = seen.groupBy(*step_of, *process).agg(
-        F.max(F.when(F.col("_own"), held)).alias("_new"), F.max(F.when(~F.col("_own"), held)).alias("_old"))
-    same = F.col("_new.value").cast("string").eqNullSafe(F.col("_old.value").cast("string"))
-    return both.select(
+    # Dealt by bundle before it is grouped, so a task sorts its flags once and both joins and groupings by bundle stay in it.
+    both = seen.repartition("support_bundle").groupBy("support_bundle", "_prev", *process).agg(
+        F.max(F.when(F.col("_own"), F.col("value"))).alias("new_value"),
+        F.max(F.when(~F.col("_own"), F.col("value"))).alias("old_value"),
+        F.bool_or("_own").alias("_new"), F.bool_or(~F.col("_own")).alias("_old"))
+    # Not a key of the join: that would deal the flags out again.
+    follows = F.coalesce(F.col("_prev") == F.col("prev_bundle"), F.col("_prev").isNull() & F.col("prev_bundle").isNull())
+    same = F.col("new_value").cast("string").eqNullSafe(F.col("old_value").cast("string"))
+    return both.join(steps.drop("next_bundle"), "support_bundle").filter(follows).select(
         *CLUSTER, "step", "prev_bundle", "support_bundle", "timestamp", *process,
-        F.when(F.col("step") == 0, "initial").when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
-        .when(same, "same").otherwise("modified").alias("change"),
-        F.col("_old.value").alias("old_value"), F.col("_new.value").alias("new_value"),
+        F.when(F.col("step") == 0, "initial").when(~F.col("_old"), "added").when(~F.col("_new"), "removed")
+        .when(same, "same").otherwise("modified").alias("change"), "old_value", "new_value",
     )
 
 
@@ -177,8 +185,12 @@ def _change_counts():
 
 
 def change_counts(history: DataFrame) -> DataFrame:
-    """Changes per (node, role) and step."""
-    return history.groupBy(*CLUSTER, "node_name", "server_type", "step").agg(*_change_counts())
+    """Changes per (node, role) and step.
+
+    A step has one bundle; with it as a key the rows of ``flag_history`` are counted where they lie.
+    """
+    return history.groupBy("support_bundle", *CLUSTER, "node_name", "server_type", "step").agg(
+        *_change_counts()).drop("support_bundle")
 
 
 def diff_summary(history: DataFrame, level: str = "role") -> DataFrame:

@@ -52,3 +52,25 @@ def test_gap_filling_computes_the_series_once(spark, tmp_path):
     h = spark.createDataFrame([("p", "2024-01-01T10:00:00Z", 4), ("p", "2024-01-01T12:00:00Z", 5)], "pattern string, minute string, count bigint")
     got = rows(series.fill_gaps(watched(h, tmp_path), 60), "minute", "count")
     assert [c for _, c in got] == [4, 0, 5] and len(os.listdir(tmp_path)) == 1
+
+
+def test_flags_travel_with_two_bundle_names(spark):
+    steps = flags.snapshot_steps(spark.createDataFrame(
+        [(b, c, "o", t) for b, c, t in (("a", "c", DAY + timedelta(1)), ("b", "c", DAY), ("b", "d", DAY + timedelta(1)), ("x", "d", DAY))],
+        "support_bundle string, cluster_name string, organization string, timestamp timestamp_ntz"))
+    held = spark.createDataFrame([("a", "n", "t", "f", "1"), ("b", "n", "t", "f", "2"), ("b", "n", "t", "g", "1"), ("x", "m", "t", "f", "2")],
+                                 "support_bundle string, node_name string, server_type string, gflag string, value string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        payload = flags.diff_payload(held, steps)
+        counts = flags.change_counts(flags.flag_history(held, steps))
+        for df in (payload, counts):
+            assert len(exchanges(df)) == 4 and not any("cluster_name" in e for e in exchanges(df))
+        # one bundle in two clusters is compared in each with what comes before it there
+        assert rows(counts, "cluster_name", "node_name", "step", "added", "removed", "modified") == [
+            ("c", "n", 0, 0, 0, 0), ("c", "n", 1, 1, 0, 1), ("d", "m", 1, 1, 0, 0), ("d", "n", 0, 0, 0, 0), ("d", "n", 1, 0, 2, 0)]
+        assert rows(payload.filter("cluster_name = 'd' and step = 1"), "node_name", "removed") == [
+            ("m", {}), ("n", {"f": "2", "g": "1"})]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
