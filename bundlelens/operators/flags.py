@@ -208,16 +208,18 @@ def diff_payload(flags: DataFrame, steps: DataFrame) -> DataFrame:
     cell = [*CLUSTER, "support_bundle", "node_name", "server_type", "step", "timestamp"]
 
     def as_map(condition, value):
-        pairs = F.collect_list(F.when(condition, F.struct("gflag", value.alias("v"))))
-        return F.map_from_entries(F.array_sort(pairs))
-
-    change, new, old = F.col("change"), F.col("new_value"), F.col("old_value")
-    return history.groupBy(*cell).agg(
-        F.when(F.col("step") == 0, "initial").otherwise("diff").alias("type"),
-        as_map(change == "added", new).alias("added"),
-        as_map(change == "removed", old).alias("removed"),
-        as_map(change == "modified", F.struct(old.alias("old"), new.alias("new"))).alias("modified"),
-        as_map(change != "removed", new).alias("gflags"),
+        pairs = F.transform(F.filter("_flags", condition), lambda f: F.struct(f["gflag"], value(f).alias("v")))
+        return F.map_from_entries(pairs)
+
+    new, old = lambda f: f["new_value"], lambda f: f["old_value"]
+    cells = history.groupBy(*cell).agg(
+        F.array_sort(F.collect_list(F.struct("gflag", "change", "old_value", "new_value"))).alias("_flags"))
+    return cells.select(
+        *cell, F.when(F.col("step") == 0, "initial").otherwise("diff").alias("type"),
+        as_map(lambda f: f["change"] == "added", new).alias("added"),
+        as_map(lambda f: f["change"] == "removed", old).alias("removed"),
+        as_map(lambda f: f["change"] == "modified", lambda f: F.struct(old(f).alias("old"), new(f).alias("new"))).alias("modified"),
+        as_map(lambda f: f["change"] != "removed", new).alias("gflags"),
     )
 
 
