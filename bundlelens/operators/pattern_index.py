@@ -20,6 +20,9 @@ from bundlelens.sources.catalog import Pattern
 
 SIZES = (6, 3)
 """Lengths of grams; a text takes the first it is long enough for."""
+SIDE = 3
+"""Characters on either side of a space in the grams of a text that has such a space: a message has far fewer of them than of others."""
+JOINT = 2 * SIDE + 1
 BROADCAST_ROWS = 50_000
 """Index rows (a gram, a regular expression) up to which the index is broadcast; a larger one is joined by a shuffle."""
 
@@ -53,6 +56,9 @@ def required_texts(regex: str) -> list[str] | None:
 
 
 def _grams(text: str) -> list[str]:
+    joints = [text[i - SIDE:i + SIDE + 1] for i in range(SIDE, len(text) - SIDE) if text[i] == " "]
+    if joints:
+        return joints
     size = next(n for n in SIZES if len(text) >= n)
     return [text[i:i + size] for i in range(len(text) - size + 1)]
 
@@ -79,7 +85,8 @@ def index_rows(patterns: Sequence[Pattern], frequency=None) -> tuple[list[tuple]
 
 def _message_grams(lowered: Column, sizes) -> Column:
     """The distinct grams of a text, all of it in one pass of a regular expression."""
-    found = [F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    runs = [f".{{{SIDE}}} .{{{SIDE}}}" if n == JOINT else f".{{{n}}}" for n in sizes]
+    found = [F.regexp_extract_all(lowered, F.lit(f"(?s)(?=({run}))"), F.lit(1)) for run in runs]
     return F.array_distinct(F.concat(*found) if len(found) > 1 else found[0])
 
 

@@ -74,3 +74,9 @@ def test_flags_travel_with_two_bundle_names(spark):
             ("m", {}), ("n", {"f": "2", "g": "1"})]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_with_a_space_are_found_by_grams_around_it(spark):
+    assert pattern_index._grams("abc def ghi") == ["abc def", "def ghi"] and pattern_index._grams("ab cdefg") == ["ab cde", "b cdef", " cdefg"]
+    found = spark.range(1).select(pattern_index._message_grams(F.lit("xabc def  ghij\nk lm"), [pattern_index.JOINT])).first()[0]
+    assert sorted(found) == ["abc def", "def  gh", "ef  ghi"]
