@@ -186,29 +186,41 @@ def tservers(v):
     return rows.select("bundle", "type", "uuid", "ip", "port", "region", "zone", "node_name")
 
 
-def _report_files(v):
-    """Tablet-report files: per server and 1,000 tablet numbers, one file of two documents back to back."""
+def _report_files(v, by=("node_uuid", "piece")):
+    """Tablet-report texts: per server and 1,000 tablet numbers, one of two documents back to back.
+
+    Replicas are shuffled as columns, by ``by``; the JSON of a text is made where its replicas are.
+    """
     part = F.substring("tablet_uuid", 2, 20).cast("bigint")
-    entry = F.to_json(F.struct(
-        F.struct(F.struct(
-            F.col("tablet_uuid").alias("tabletId"), F.col("table_name").alias("tableName"),
-            F.col("table_uuid").alias("tableId"), F.col("namespace").alias("namespaceName"),
-            F.col("status").alias("tabletDataState"),
-            F.struct(F.base64(F.encode("tablet_uuid", "utf-8")).alias("partitionKeyStart")).alias("partition"),
-            F.col("sst_size").alias("sstFilesDiskSize"), F.col("wal_size").cast("string").alias("walFilesDiskSize"),
-        ).alias("tablet_status")).alias("tablet"),
-        F.struct(
-            F.col("lease_status").alias("leaderLeaseStatus"),
-            F.struct(F.lit(3).alias("currentTerm"), F.struct(F.lit("7").alias("opidIndex")).alias("config")).alias("cstate"),
-        ).alias("consensus_state"),
-    ))
-    document = F.concat(F.lit('{"content": ['), F.array_join(F.collect_list("entry"), ", "), F.lit("]}"))
-    documents = v.ts_tablet().select("node_uuid", F.floor(part / 1000).alias("piece"), (part % 2).alias("half"),
-                                     entry.alias("entry")).groupBy("node_uuid", "piece", "half").agg(document.alias("doc"))
-    return documents.groupBy("node_uuid", "piece").agg(F.array_join(F.collect_list("doc"), "\n").alias("text")).select(
-        F.lit("").alias("bundle"),
+    fields = ("tablet_uuid", "table_name", "table_uuid", "namespace", "status", "sst_size", "wal_size", "lease_status")
+
+    def entry(row):
+        return F.to_json(F.struct(
+            F.struct(F.struct(
+                row["tablet_uuid"].alias("tabletId"), row["table_name"].alias("tableName"),
+                row["table_uuid"].alias("tableId"), row["namespace"].alias("namespaceName"),
+                row["status"].alias("tabletDataState"),
+                F.struct(F.base64(F.encode(row["tablet_uuid"], "utf-8")).alias("partitionKeyStart")).alias("partition"),
+                row["sst_size"].alias("sstFilesDiskSize"), row["wal_size"].cast("string").alias("walFilesDiskSize"),
+            ).alias("tablet_status")).alias("tablet"),
+            F.struct(
+                row["lease_status"].alias("leaderLeaseStatus"),
+                F.struct(F.lit(3).alias("currentTerm"), F.struct(F.lit("7").alias("opidIndex")).alias("config")).alias("cstate"),
+            ).alias("consensus_state"),
+        ))
+
+    def document(half):
+        rows = F.filter("rows", lambda row: row["half"].eqNullSafe(half))
+        return F.when(F.size(rows) > 0, F.concat(
+            F.lit('{"content": ['), F.array_join(F.transform(rows, entry), ", "), F.lit("]}")))
+
+    pieces = v.ts_tablet().select(
+        "node_uuid", F.floor(part / 1000).alias("piece"), F.struct((part % 2).alias("half"), *fields).alias("row"),
+    ).repartition(*by).groupBy("node_uuid", "piece").agg(F.collect_list("row").alias("rows"))
+    return pieces.select(
+        F.lit("").alias("bundle"), "node_uuid",
         F.concat("node_uuid", F.lit("-"), F.col("piece").cast("string"), F.lit("_tablet_report.json")).alias("file_name"),
-        "text")
+        F.concat_ws("\n", *[document(F.lit(half)) for half in (0, 1, None)]).alias("text"))
 
 
 def _servers(v):

@@ -42,6 +42,12 @@ def servers(spark):
                                  "type string, uuid string, region string, zone string, pos int")
 
 
+def test_report_texts_are_not_shuffled(spark):
+    files = tablet_queries._report_files(SimpleNamespace(ts_tablet=lambda: replicas(spark)))
+    assert len(exchanges(files)) == 1  # of columns; what is grouped and made to texts after it stays in place
+    assert files.count() == 9 and files.filter(F.col("text").contains('"tabletId":"t1001"')).count() == 1
+
+
 def test_saved_tables_compute_the_replicas_once(spark, tmp_path):
     v = SimpleNamespace(spark=spark, ts_tablet=lambda: watched(replicas(spark), tmp_path), ts_cluster=lambda: servers(spark))
     got = rows(tablet_queries.saved_tablet_tables(v), "name", "n")
