@@ -244,8 +244,9 @@ def tablets_from_documents(v):
 def tablets_from_files(v):
     """The same reports written as files and read as streams"""
     root = shared_dir(v.spark, "reports")
-    files = _report_files(v).withColumn("name", F.regexp_extract("file_name", "^(.*)_tablet_report", 1))
-    files.select("name", "text").write.partitionBy("name").text(root)
+    files = _report_files(v, ["node_uuid"])
+    # A server's texts lie in one task, so they are the lines of one file.
+    files.select(F.col("node_uuid").alias("name"), "text").write.partitionBy("name").option("compression", "gzip").text(root)
     # Spark names its files itself, so the folder stands for the report file.
     entries = tablet_reports.scan_report_files(v.spark, root, "*").withColumns({
         "bundle": F.lit(""), "file_name": F.concat(F.regexp_replace("bundle", "^name=", ""), F.lit("_tablet_report.json"))})

@@ -48,6 +48,14 @@ def test_report_texts_are_not_shuffled(spark):
     assert files.count() == 9 and files.filter(F.col("text").contains('"tabletId":"t1001"')).count() == 1
 
 
+def test_many_small_files_share_tasks(spark):
+    small = spark.createDataFrame([(f"/{i}", 10) for i in range(100)], "path string, length bigint")
+    assert dealt(small).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    large = spark.createDataFrame([(f"/{i}", 1 << 30) for i in range(3)] + [(f"/s{i}", 1) for i in range(50)], "path string, length bigint")
+    assert max(dealt(large).filter("length > 1").groupBy(F.spark_partition_id()).count().toPandas()["count"]) == 1
+    assert dealt(large).count() == 53 and dealt(small, 30).rdd.getNumPartitions() == 4 and dealt(small.limit(0)).count() == 0
+
+
 def test_saved_tables_compute_the_replicas_once(spark, tmp_path):
     v = SimpleNamespace(spark=spark, ts_tablet=lambda: watched(replicas(spark), tmp_path), ts_cluster=lambda: servers(spark))
     got = rows(tablet_queries.saved_tablet_tables(v), "name", "n")
