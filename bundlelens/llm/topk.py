@@ -15,6 +15,9 @@ from bundlelens.session import written
 
 EXACT = 2.0 ** 53
 """Below this, products and sums of whole numbers are exact as doubles."""
+BLOCKS_PER_PART = 8
+"""Pairs of groups of tiles for each shuffle partition, so that they are dealt evenly."""
+HELD_TILES = 16
 
 
 def quantised(vector, scale: float = 256.0):
@@ -100,6 +103,17 @@ def _merged(lists: DataFrame, k: int, by) -> DataFrame:
     return lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def blocks(shards: int, asked: int, vectors_per_query: float, least: int) -> tuple[int, int]:
+    """Groups of query tiles and groups of shards: ``least`` pairs of groups, or all pairs of tiles, with the fewest bytes of copies.
+
+    A group has about ``HELD_TILES`` query tiles at most; a task holds them while the shards pass.
+    """
+    lines = max(math.sqrt(least / vectors_per_query), asked / HELD_TILES)
+    lines = max(1, min(asked, math.ceil(lines)))
+    columns = max(1, min(shards, math.ceil(least / lines)))
+    return max(1, min(asked, max(lines, math.ceil(least / columns)))), columns
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, query_rows: int = 1024, shard_rows: int = 4096,
           fan_in: int = 32, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The ``k`` rows with the highest integer inner product for each query row: query_id, rank, vec_id, score.
@@ -108,9 +122,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, query_
     go to the smaller key. Components become floor(scale * x).
 
     Vectors are packed into tiles where they lie, ``shard_rows`` to a tile, and stored; the query rows again into tiles of
-    ``query_rows``. Each shard is copied to each query tile, so the product of one pair of tiles is one bounded
-    task-local step whatever the size; it leaves ``k`` rows per query. Lists are merged as a tree: shards
-    in groups of ``fan_in`` per query, until one group is left.
+    ``query_rows``. Each shard is copied to each group of query tiles and each query tile to each group of shards, so the product
+    of one pair of tiles is one bounded task-local step whatever the size; it leaves ``k`` rows per query. ``blocks`` has the groups.
+    Lists are merged as a tree: shards in groups of ``fan_in`` per query, until one group is left.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without a key. Rows that repeat a
     key are candidates of each other, and each query row has its own list. Scores beyond a long count as its limits.
@@ -123,20 +137,25 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, query_
     ).filter("values is not null and id is not null"), "vectors")
     shards = written(tiles(sound, shard_rows), "shards")
     asked = written(tiles(sound.filter("query"), query_rows), "queries")
-    n_shards, n_asked = (max(1, table.count()) for table in (shards, asked))
+    (n_shards, n_vectors), (n_asked, n_queries) = (
+        table.agg(F.count("*"), F.sum(F.length("ids"))).first() for table in (shards, asked))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines, columns = blocks(n_shards, n_asked, (n_vectors or 1) / (n_queries or 1), BLOCKS_PER_PART * parts)
 
     places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     shards = shards.select(
         "dim", F.col("tile").alias("shard"), F.col("ids").alias("shard_ids"), F.col("data").alias("shard_data"),
-        F.pmod(F.xxhash64("tile"), F.lit(n_shards)).cast("int").alias("column"), places(n_asked).alias("line"))
+        F.pmod(F.xxhash64("tile"), F.lit(columns)).cast("int").alias("column"), places(lines).alias("line"))
     asked = asked.select(
         "dim", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"),
-        F.pmod(F.xxhash64("tile"), F.lit(n_asked)).cast("int").alias("line"), places(n_shards).alias("column"))
-    pairs = shards.join(asked, ["dim", "line", "column"]).select(
+        F.pmod(F.xxhash64("tile"), F.lit(lines)).cast("int").alias("line"), places(columns).alias("column"))
+    place = ["dim", "line", "column"]
+    # The copies are many times what their tables' sizes tell the planner; a broadcast would collect them all on the driver.
+    pairs = shards.repartition(parts, *place).join(asked.repartition(parts, *place).hint("merge"), place).select(
         "dim", "shard", "shard_ids", "shard_data", "query_ids", "query_data")
     lists = pairs.mapInArrow(
         lambda batches: _products(batches, k), "query_row bigint, query_id bigint, shard bigint, vec_id bigint, score bigint")
-    groups = n_shards
+    groups = max(1, n_shards)
     while groups > fan_in:
         groups = math.ceil(groups / fan_in)
         lists = _merged(lists.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(groups))), k, ["query_row", "shard"]).drop("rank")

@@ -208,6 +208,22 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_copies_no_tiles_to_the_driver(spark):
+    vectors = spark.range(300).selectExpr("id as vec_id", "array(id / 300D, 1D) as embedding")
+    asked = mixing.F.col("vec_id") % 50 == 0
+    with_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        got = topk.top_k(vectors, asked, k=2, query_rows=1, shard_rows=10)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect()))[-2:] == [(250, 1, 299, 65536 + 213 * 255), (250, 2, 298, 65536 + 213 * 254)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_limit)
+    assert topk.blocks(156, 18, 50, 200) == (2, 100)  # not 18 copies of each vector and 156 of each query
+    assert topk.blocks(3, 8, 50, 1000) == (8, 3) and topk.blocks(0, 0, 1, 8) == (1, 1)
+    assert topk.blocks(10**4, 10**4, 1, 200)[0] == 10**4 / topk.HELD_TILES  # what a task holds stays bounded
+
+
 def test_forward_backward_against_all_paths():
     from itertools import product
     random = np.random.default_rng(1)
