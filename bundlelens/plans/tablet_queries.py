@@ -8,7 +8,7 @@ from bundlelens.adapters import with_views
 from bundlelens.functions import encodings
 from bundlelens.operators import tablets
 from bundlelens.plans.registry import query
-from bundlelens.session import shared_dir, written
+from bundlelens.session import shared_dir, shuffles_dropped, written
 from bundlelens.sources import publish, store, tablet_reports
 
 _TABLETS = with_views("ts_tablet", "ts_cluster")
@@ -233,7 +233,8 @@ def _servers(v):
       CAST(NULL AS VARCHAR) AS leader, lease_status FROM ts_tablet""")
 def tablets_from_documents(v):
     """S13, M3, M4, J9, D5, D8, P12, P13, P15"""
-    entries = written(tablet_reports.split_documents(_report_files(v)), "entries")
+    with shuffles_dropped(v.spark):
+        entries = written(tablet_reports.split_documents(_report_files(v)), "entries")
     return tablet_reports.tablets(entries, _servers(v)).drop("bundle", "file_name", "pos")
 
 

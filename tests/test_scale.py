@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bundlelens.operators import flags, pattern_index, series
 from bundlelens.plans import tablet_queries
+from bundlelens.session import DROPS_SHUFFLES
 from bundlelens.sources.listing import dealt
 from tests.conftest import rows
 
@@ -48,6 +49,20 @@ def test_report_texts_are_not_shuffled(spark):
     assert files.count() == 9 and files.filter(F.col("text").contains('"tabletId":"t1001"')).count() == 1
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_texts_leave_no_shuffle_files(spark):
+    v = SimpleNamespace(spark=spark, ts_tablet=lambda: replicas(spark), ts_cluster=lambda: servers(spark))
+    before = shuffle_files(spark)
+    got = tablet_queries.tablets_from_documents(v)
+    assert shuffle_files(spark) <= before  # the replicas' shuffle is gone once the entries are stored
+    assert spark.conf.get(DROPS_SHUFFLES, None) in (None, "false")
+    assert got.count() == 3000 and rows(got.filter("tablet_uuid = 't7'"), "node_uuid", "sst_size") == [("s1", 7)]
+
+
 def test_many_small_files_share_tasks(spark):
     small = spark.createDataFrame([(f"/{i}", 10) for i in range(100)], "path string, length bigint")
     assert dealt(small).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
