@@ -245,12 +245,16 @@ def tablets_from_documents(v):
 def tablets_from_files(v):
     """The same reports written as files and read as streams"""
     root = shared_dir(v.spark, "reports")
-    files = _report_files(v, ["node_uuid"])
     # A server's texts lie in one task, so they are the lines of one file.
-    files.select(F.col("node_uuid").alias("name"), "text").write.partitionBy("name").option("compression", "gzip").text(root)
-    # Spark names its files itself, so the folder stands for the report file.
-    entries = tablet_reports.scan_report_files(v.spark, root, "*").withColumns({
-        "bundle": F.lit(""), "file_name": F.concat(F.regexp_replace("bundle", "^name=", ""), F.lit("_tablet_report.json"))})
+    files = _report_files(v, ["node_uuid"]).select(F.col("node_uuid").alias("node_name"), "text")
+    with shuffles_dropped(v.spark):
+        named = tablet_reports.write_report_files(files, root)
+        if not named:
+            files.write.partitionBy("node_name").option("compression", "gzip").text(root)
+    entries = tablet_reports.scan_report_files(v.spark, root, tablet_reports.REPORTS_GLOB if named else "*")
+    if not named:  # Spark names its files itself, so the folder stands for the report file.
+        entries = entries.withColumns({
+            "bundle": F.lit(""), "file_name": F.concat(F.regexp_replace("bundle", "^node_name=", ""), F.lit("_tablet_report.json"))})
     return tablet_reports.tablets(written(entries, "entries"), _servers(v)).drop("bundle", "file_name", "pos")
 
 

@@ -51,15 +51,21 @@ def _text(line: bytes) -> str:
     return line.decode("utf-8", "ignore").replace("�", "")
 
 
-def open_file(path: str):
-    """A file that can be read in ranges; an error where Python has no client for its store."""
+def located(path: str):
+    """(file system, path in it); an error where Python has no client for its store."""
     scheme, _, rest = path.rpartition(":/") if "://" not in path else path.partition("://")
     if scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/") if scheme else path)
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if scheme else path
     host, _, inner = rest.partition("/")
     if scheme == "hdfs":
-        return fs.FileSystem.from_uri(f"hdfs://{host}/")[0].open_input_file("/" + inner)
-    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{host}")[0].open_input_file(f"{host}/{inner}")
+        return fs.FileSystem.from_uri(f"hdfs://{host}/")[0], "/" + inner
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{host}")[0], f"{host}/{inner}"
+
+
+def open_file(path: str):
+    """A file that can be read in ranges; an error where Python has no client for its store."""
+    store, place = located(path)
+    return store.open_input_file(place)
 
 
 def first_dated(file, size: int, year: int, piece: int = PIECE) -> tuple[str | None, int]:

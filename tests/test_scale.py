@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bundlelens.operators import flags, pattern_index, series
 from bundlelens.plans import tablet_queries
 from bundlelens.session import DROPS_SHUFFLES
+from bundlelens.sources import tablet_reports
 from bundlelens.sources.listing import dealt
 from tests.conftest import rows
 
@@ -63,6 +64,34 @@ def test_texts_leave_no_shuffle_files(spark):
     assert got.count() == 3000 and rows(got.filter("tablet_uuid = 't7'"), "node_uuid", "sst_size") == [("s1", 7)]
 
 
+def test_reports_are_files_named_by_their_server(spark, tmp_path, monkeypatch):
+    v = SimpleNamespace(spark=spark, ts_tablet=lambda: replicas(spark), ts_cluster=lambda: servers(spark))
+    monkeypatch.setattr(tablet_queries, "shared_dir", lambda spark, label: f"file://{tmp_path}/{label}")
+    want = rows(tablet_queries.tablets_from_documents(v), "node_uuid", "tablet_uuid", "sst_size", "start_key")
+    got = tablet_queries.tablets_from_files(v)
+    assert rows(got, "node_uuid", "tablet_uuid", "sst_size", "start_key") == want and len(want) == 3000
+    assert sorted(os.listdir(tmp_path / "reports")) == [f"s{i}_tablet_report.json.gz" for i in range(3)]
+    # the same where Python has no client for the store
+    def none(path):
+        raise NotImplementedError
+    monkeypatch.setattr(tablet_queries, "shared_dir", lambda spark, label: f"file://{tmp_path}/other")
+    monkeypatch.setattr(tablet_reports, "located", none)
+    assert rows(tablet_queries.tablets_from_files(v), "node_uuid", "tablet_uuid", "sst_size", "start_key") == want
+
+
+def test_folders_are_listed_in_few_tasks_and_once(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"b{i}").mkdir()
+        (tmp_path / f"b{i}" / "n1_tablet_report.json").write_text("{}")
+    started = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    before = started()
+    entries = tablet_reports.scan_report_files(spark, f"file://{tmp_path}")
+    stages = range(before, started())
+    tasks = [info.numTasks for i in stages if (info := spark.sparkContext.statusTracker().getStageInfo(i))]
+    assert max(tasks) <= 16 * spark.sparkContext.defaultParallelism < 300
+    assert entries.count() == 0 and spark.conf.get(tablet_reports.LISTING_TASKS) == "10000"
+
+
 def test_many_small_files_share_tasks(spark):
     small = spark.createDataFrame([(f"/{i}", 10) for i in range(100)], "path string, length bigint")
     assert dealt(small).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism

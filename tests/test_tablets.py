@@ -229,6 +229,19 @@ def test_a_large_file_is_scanned_in_bounded_memory():
     assert count == 4 * (90 * 2000 + 1) and peak < 20_000_000
 
 
+def test_fields_are_text_or_json():
+    def picked(entry):
+        row = [None] * len(tablet_reports.FIELDS)
+        tablet_reports._pick(entry, tablet_reports._TREE, row)
+        return {name: value for name, value in zip(tablet_reports.FIELDS, row) if value is not None}
+    status = {"tabletId": True, "tableName": 1.5, "sstFilesDiskSize": 2**70, "namespaceName": {"a": [1]}, "state": None, "walFilesDiskSize": "x",
+              "partition": {"partitionKeyStart": "", "partitionKeyEnd": float("nan")}}
+    assert picked({"tablet": {"tablet_status": status}, "consensus_state": {"cstate": [], "leaderLeaseStatus": -1}}) == {
+        "tablet_uuid": "true", "table_name": "1.5", "sst_text": str(2**70), "namespace": '{"a": [1]}', "wal_text": "x", "start_text": "",
+        "end_text": "NaN", "lease_status": "-1"}
+    assert picked(None) == picked([1]) == picked({"tablet": 3}) == picked({"tablet": {"tablet_status": "x"}}) == {}
+
+
 def test_entries_of_bad_documents_do_not_count(spark):
     text = json.dumps({"content": [entry(1)]}) + '{"content": [' + json.dumps(entry(2)) + ", nonsense]}" + json.dumps({"content": [entry(3)]})
     files = spark.createDataFrame([("b", "n1_x", text), ("b", "n1_y", None), ("b", "n1_z", "{}")], "bundle string, file_name string, text string")
